@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselake.llm import bpe, exact_dedup
+from clauselake.llm import bpe, exact_dedup, mixing, repetition
 from clauselake.session import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_source_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
+        "op5_repetition_rules": lambda spark, d: repetition.query(table(spark, d, "documents")),
         "op8_exact_dedup": lambda spark, d: exact_dedup.query(table(spark, d, "documents")),
         "op10_byte_bpe": lambda spark, d: bpe.query(table(spark, d, "documents")),
     }
