@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselake.llm import bpe, exact_dedup, minhash, mixing, repetition
+from clauselake.llm import bpe, exact_dedup, minhash, mixing, neighbours, repetition, toxicity
 from clauselake.session import table
 
 
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_source_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
         "op5_repetition_rules": lambda spark, d: repetition.query(table(spark, d, "documents")),
+        "op6_neighbour_quality": lambda spark, d: neighbours.query(table(spark, d, "documents"), table(spark, d, "labels")),
         "op7_minhash": lambda spark, d: minhash.query(table(spark, d, "documents")),
         "op8_exact_dedup": lambda spark, d: exact_dedup.query(table(spark, d, "documents")),
+        "op9_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
         "op10_byte_bpe": lambda spark, d: bpe.query(table(spark, d, "documents")),
     }
 
