@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselake.llm import bpe, exact_dedup, minhash, mixing, neighbours, repetition, toxicity
+from clauselake.llm import bpe, exact_dedup, lm, minhash, mixing, neighbours, repetition, toxicity
 from clauselake.session import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_backoff_lm": lambda spark, d: lm.query(table(spark, d, "documents")),
         "op4_source_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
         "op5_repetition_rules": lambda spark, d: repetition.query(table(spark, d, "documents")),
         "op6_neighbour_quality": lambda spark, d: neighbours.query(table(spark, d, "documents"), table(spark, d, "labels")),
