@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselake.llm import bpe, exact_dedup, lm, minhash, mixing, neighbours, repetition, toxicity
+from clauselake.llm import bpe, exact_dedup, lm, minhash, mixing, neighbours, pii, repetition, toxicity, warc
 from clauselake.session import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_backoff_lm": lambda spark, d: lm.query(table(spark, d, "documents")),
+        "op2_personal_data": lambda spark, d: pii.query(table(spark, d, "documents")),
+        "op3_warc": lambda spark, d: warc.query(table(spark, d, "pages")),
         "op4_source_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
         "op5_repetition_rules": lambda spark, d: repetition.query(table(spark, d, "documents")),
         "op6_neighbour_quality": lambda spark, d: neighbours.query(table(spark, d, "documents"), table(spark, d, "labels")),
@@ -24,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.SQL}
+    return {"op3_warc": warc.SQL, "op8_exact_dedup": exact_dedup.SQL}
