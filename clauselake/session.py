@@ -9,6 +9,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -75,3 +76,13 @@ def ship(spark: SparkSession) -> None:
         out.write(data.getvalue())
     sc.addPyFile(path)
     sc._clauselake_shipped = True
+
+
+#: Rows, of some 50 bytes each, that a table is broadcast with at most.
+BROADCAST_ROWS = 200_000
+
+
+def sized(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df`, written, and marked for broadcast if it is known to have few rows; a larger one is left to sort-merge."""
+    written = materialize(df, name)
+    return F.broadcast(written) if written.count() <= rows else written
