@@ -33,10 +33,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class ByteBpe:
     """Encodes and decodes with a vocabulary of ranks and a pattern that cuts texts into pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 300_000):
         self.ranks, self.cut = ranks, regex.compile(pattern).findall
         self.tokens = {r: t for t, r in ranks.items()}
-        self.remember, self.known = remember, {}
+        self.named = {str(r): t for t, r in ranks.items()}
+        #: ids in decimal by pre-token, of late and of before; the older half is dropped when the newer is full
+        self.remember, self.known, self.older = remember, {}, {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -128,32 +130,33 @@ class ByteBpe:
             i = to
         return out
 
-    def __call__(self, piece: str) -> tuple[str, list[int]]:
-        found = self.merge(piece.encode())
-        found = (",".join(map(str, found)), found)
+    def __call__(self, piece: str) -> str:
+        """The ids of a pre-token in decimal, joined by commas."""
+        found = self.older.get(piece) or ",".join(map(str, self.merge(piece.encode())))
         if len(piece) <= 64:
             if len(self.known) >= self.remember:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[piece] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
+    def said(self, text: str) -> str:
+        """The ids of a text in decimal, joined by commas."""
+        out = []
         for piece in self.cut(text):
-            out += (known.get(piece) or self(piece))[1]
-        return out
+            out.append(self.known.get(piece) or self(piece))
+        return ",".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return list(map(int, self.said(text).split(","))) if text else []
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """The number of ids, and the SHA-256 of the ids in decimal and of the bytes they decode to."""
-        known, ids, said = self.known, [], []
-        for piece in self.cut(text):
-            s, x = known.get(piece) or self(piece)
-            said.append(s)
-            ids += x
-        return len(ids), hashlib.sha256(",".join(said).encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+        said = self.said(text)
+        ids = said.split(",") if said else []
+        return len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(b"".join(map(self.named.__getitem__, ids))).hexdigest()
 
 
 _LOADED: dict[tuple[str, str], ByteBpe] = {}
