@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,14 +27,39 @@ def tfidf_boost(keyword: Column, body: Column, freq: Column) -> Column:
     return F.least(F.lit(1.0), hits / n * F.ln(F.lit(1.0) / (freq + F.lit(1e-9))) * 10)
 
 
-def _matches(clause: Column, k: int, risk_type: str, pattern: str, severity: str, freq: float, why: str) -> Column:
+def needed(pattern: str) -> list[str]:
+    """Lower-case strings of which every match of the pattern has one; none if the pattern promises nothing.
+
+    Of each alternative it is the longest run of plain letters outside of groups. Looking for plain strings is far
+    cheaper than running an expression, so a rule is run only where one of its strings occurs.
+    """
+    if m := re.fullmatch(r"\\b\((?!\?)([^()]*)\)\\b", pattern):
+        pattern = m[1]
+    while (flat := re.sub(r"\([^()]*\)\??", "\0", pattern)) != pattern:
+        pattern = flat
+    out = []
+    for part in pattern.split("|"):
+        plain = re.sub(r"\[[^\]]*\][?*+]?|\\b|\\[a-z][?*+]?|\\?.[?*]|[^A-Za-z ]", "\0", part)
+        longest = max((r.strip() for r in plain.split("\0")), key=len)
+        if not longest:
+            return []
+        out.append(longest.lower())
+    return out
+
+
+def _matches(clause: Column, low: Column, k: int, risk_type: str, pattern: str, severity: str, freq: float, why: str) -> Column:
     """The matches of one rule as an array of structs."""
 
     def found(m: Column, i: Column) -> Column:
         of_rule = (("risk_type", risk_type), ("severity", severity), ("freq", freq), ("base", packs.CONFIDENCE[severity]), ("explanation", why))
         return F.struct(F.lit(k).alias("rule_ord"), i.alias("match_ord"), *[F.lit(v).alias(n) for n, v in of_rule], m.alias("keyword"))
 
-    return F.transform(F.regexp_extract_all(clause, F.lit("(?iu)" + pattern), F.lit(0)), found)
+    stems = needed(pattern)
+    some = F.lit(not stems)
+    for stem in stems:
+        some = some | F.contains(low, F.lit(stem))
+    none = F.array().cast("array<string>")
+    return F.transform(F.when(some, F.regexp_extract_all(clause, F.lit("(?iu)" + pattern), F.lit(0))).otherwise(none), found)
 
 
 def rule_scan(clauses: DataFrame, clause: str = "clause", rules: list[tuple] | None = None) -> DataFrame:
@@ -42,8 +69,10 @@ def rule_scan(clauses: DataFrame, clause: str = "clause", rules: list[tuple] | N
     clause without matches makes no row. rule_ord and match_ord keep the order of finds. A null clause has none.
     """
     rules = rules if rules is not None else packs.rule_rows()
-    found = [_matches(F.col(clause), *rule) for rule in rules]
-    hits = clauses.withColumn("__hit", F.explode(F.flatten(F.array(*found)))).select(*clauses.columns, "__hit.*")
+    # letters that fold to s and i without being their capitals
+    low = F.translate(F.lower(F.col(clause)), "ſıİ", "sii")
+    found = [_matches(F.col(clause), F.col("__low"), *rule) for rule in rules]
+    hits = clauses.withColumn("__low", low).withColumn("__hit", F.explode(F.flatten(F.array(*found)))).select(*clauses.columns, "__hit.*")
     boost = tfidf_boost(F.col("keyword"), F.col(clause), F.col("freq"))
     score = F.bround(F.least(F.lit(1.0), F.col("base") + boost * 0.15), 3)
     return hits.withColumns({"snippet": text.snippet(F.col(clause)), "score": score, "source": F.lit("regex")}).drop("freq", "base")

@@ -52,3 +52,16 @@ def test_analyze(spark):
         detect.analyze(docs, layers=("regex", "other"))
     overall = {r["doc_id"]: r["overall_level"] for r in detect.overall_risk(docs, detect.analyze(docs)).collect()}
     assert overall == {1: "High", 2: "Low", 3: "Low"}
+
+
+def test_needed_strings():
+    """Every match of a rule has one of the strings that the rule is run for."""
+    import re
+
+    assert all(detect.needed(r[2]) for r in packs.rule_rows())
+    assert detect.needed(r"\b(?:a|b)\b") == [] and detect.needed(r"\bab?c+d\b") == ["a"]
+    texts = ["the GDPR", "PCI-DSS", "anti-bribery and anticorruption", "SANCTIONS", "as is", "no warranties", "auto-renew", "net 30", "penalties", "interest charges of 1.5 %", "right of offset", "at its sole discretion", "as we deem fit", "standard practice", "PII", "opt-out"]
+    for _, _, pattern, *_ in packs.rule_rows():
+        for t in texts:
+            for m in re.finditer(pattern, t, re.IGNORECASE):
+                assert any(s in m[0].lower() for s in detect.needed(pattern))
