@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.llm.batches import ascii_lower
+from clauselake.session import materialize, sized
 
 #: Characters of a text that the second grouping looks at.
 PREFIX = 64
@@ -28,8 +29,8 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tells them apart. Further columns of `docs` are left behind, so their names cannot clash. An empty table gives
     an empty result.
 
-    The text is read in one scan, which reduces each row to its id, length, prefix hash and digest; no shuffle
-    carries text. The digest is an output of every row; grouping by it is left to the rows that share both length
+    The text is read in one scan, which reduces each row to its id, length, prefix hash and digest; these are
+    written, and no shuffle carries text. The digest is an output of every row; grouping by it is left to the rows that share both length
     and prefix hash with another row. Each grouping joins its keys back, which adaptive execution splits where a
     group of copies is hot.
     """
@@ -40,13 +41,15 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.xxhash64(F.substring("__norm", 1, PREFIX)).alias("__prefix"),
         F.unhex(F.sha2("__norm", 256)).alias("__sha"),
     )
-    lengths = _shared(rows, ["__len"], "__by_len")
+    rows = materialize(rows, "exact-rows")
+    lengths = sized(_shared(rows, ["__len"], "__by_len"), "exact-lengths")
     rows = rows.join(lengths, "__len", "left")
     some = rows.where("__by_len").select("__len", "__prefix")
-    prefixes = _shared(some, ["__len", "__prefix"], "__by_prefix")
+    prefixes = sized(_shared(some, ["__len", "__prefix"], "__by_prefix"), "exact-prefixes")
     rows = rows.join(prefixes, ["__len", "__prefix"], "left")
     pick = F.max if keep == "max" else F.min
     full = rows.where("__by_prefix").groupBy("__sha").agg(pick("__id").alias("__keep"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    full = sized(full, "exact-digests")
     keep_id = F.when(F.col("__n").isNotNull(), F.col("__keep")).otherwise(F.col("__id"))
     return rows.join(full, "__sha", "left").select(
         F.col("__id").alias(id_col),
@@ -60,10 +63,10 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the rows that equal another of larger id; columns and rows are otherwise as they were.
 
-    Rows repeated with the same id and equal text become one, which the pass over ids cannot do: their positions
-    are not known. They stay, as equal_groups keeps them.
+    Rows repeated with the same id and equal text all stay where that id does, as equal_groups keeps them.
     """
     gone = equal_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone"), F.col("text_sha256").alias("__gone_sha")).distinct()
+    gone = sized(gone, "exact-gone")
     sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
     return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")) & (sha == F.col("__gone_sha")), "left_anti")
 
