@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.functions import packs, text
+from clauselake.session import bounded
 
 # Evidence for each boolean field, as patterns over a sentence; written from the meaning of the fields.
 EVIDENCE: dict[str, dict[str, str]] = {
@@ -64,7 +65,7 @@ def as_record(extracted: DataFrame, clause_type: str) -> DataFrame:
 
 def prompts(clauses: DataFrame, templates: DataFrame, body: str = "clause") -> DataFrame:
     """Each clause with its type's system prompt and template filled in. templates: clause_type, system, template."""
-    j = clauses.join(F.broadcast(templates.limit(1000)), "clause_type", "left")
+    j = clauses.join(bounded(templates, 1000, "prompt templates"), "clause_type", "left")
     return j.withColumn("prompt", F.replace("template", F.lit("{clause_text}"), F.coalesce(F.col(body), F.lit("")))).drop("template")
 
 

@@ -94,7 +94,7 @@ def train_classifier(rows: DataFrame, label: str, strengths: tuple[float, ...] =
     data = rows.select(array_to_vector("embedding").alias("features"), F.col(label).cast("double").alias("label"))
     n = data.groupBy("label").agg(F.count(F.lit(1)).alias("k"))
     total, kinds = n.agg(F.sum("k"), F.count(F.lit(1))).first()
-    data = data.join(F.broadcast(n), "label").withColumn("weight", F.lit(float(total)) / (F.col("k") * kinds)).drop("k")
+    data = data.join(n, "label").withColumn("weight", F.lit(float(total)) / (F.col("k") * kinds)).drop("k")
     lr = LogisticRegression(weightCol="weight", maxIter=50)
     grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * max(total, 1)) for c in strengths]).build()
     return CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="f1"), numFolds=folds, seed=seed).fit(data)

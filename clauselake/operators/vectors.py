@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clauselake.session import bounded
+
 
 def dot(a: Column, b: Column) -> Column:
     """The dot product of two arrays of numbers, in doubles and from left to right."""
@@ -21,7 +23,7 @@ def normalized(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
 
 
-#: Queries that are broadcast at most; more are worked on in as many passes as they need.
+#: Queries, and canonical clauses, that are broadcast at most.
 MOST_QUERIES = 10_000
 
 
@@ -32,10 +34,8 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, least: float | None = Non
     which each partition keeps k rows a query before the shuffle. Ties go to the smaller id. `same` names a column
     that has to agree. Null vectors match nothing.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; split them")
     q = queries.select(F.col(query_id), F.col("embedding").alias("__q"), *([F.col(same).alias("__same")] if same else []))
-    j = corpus.where(F.col("embedding").isNotNull()).join(F.broadcast(q), (F.col(same) == F.col("__same")) if same else F.lit(True))
+    j = corpus.where(F.col("embedding").isNotNull()).join(bounded(q, MOST_QUERIES, "queries; split them"), (F.col(same) == F.col("__same")) if same else F.lit(True))
     sim = dot(F.col("embedding"), F.col("__q"))
     scored = j.select(query_id, *[c for c in corpus.columns if c != "embedding"], F.bround(sim, 6).alias("similarity"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("similarity"), id_col))).where(F.col("rank") <= k)
@@ -60,7 +60,7 @@ def semantic_finds(clauses: DataFrame, canon: DataFrame, k: int = 3, least: floa
     """
     c = canon.select("canon_idx", "category", "severity", F.col("embedding").alias("__c"))
     sim = F.bround(dot(F.col("embedding"), F.col("__c")), 6)
-    j = clauses.join(F.broadcast(c), F.lit(True)).select("clause_idx", "canon_idx", "category", "severity", sim.alias("similarity"))
+    j = clauses.join(bounded(c, MOST_QUERIES, "canonical clauses"), F.lit(True)).select("clause_idx", "canon_idx", "category", "severity", sim.alias("similarity"))
     top = j.withColumn("r", F.row_number().over(Window.partitionBy("clause_idx").orderBy(F.desc("similarity"), F.desc("canon_idx")))).where((F.col("r") <= k) & (F.col("similarity") >= least))
     best = top.withColumn("n", F.row_number().over(Window.partitionBy("clause_idx", "category").orderBy("r"))).where("n = 1")
     rank = F.when(F.col("severity") == "High", 2).when(F.col("severity") == "Medium", 1).otherwise(0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clauselake.operators import evaluate
 from clauselake.plans import fixtures as X
 from clauselake.plans.catalog import query
-from clauselake.session import table
+from clauselake.session import bounded, table
 from clauselake.sources import tables
 from clauselake.streaming import state
 
@@ -60,7 +60,7 @@ def grounding_scores(spark, d):
     """J15 of passages in documents; pairs that do not even share the passage's start score 0 and are left out."""
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("clause"))
-    j = docs.join(F.broadcast(b), F.contains(F.lower("clause"), F.lower(F.left(F.trim("quote"), F.lit(50)))))
+    j = docs.join(bounded(b, 100_000, "passages"), F.contains(F.lower("clause"), F.lower(F.left(F.trim("quote"), F.lit(50)))))
     return j.select("item_id", "doc_id", evaluate.grounding(F.col("quote"), F.col("clause")).alias("score"))
 
 

@@ -8,7 +8,7 @@ from clauselake.functions import packs, text
 from clauselake.operators import detect
 from clauselake.plans import fixtures as X
 from clauselake.plans.catalog import query
-from clauselake.session import table
+from clauselake.session import bounded, table
 
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '\r\n|\r', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 _SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace({t}, '\b(Mr|Mrs|Ms|Dr|Prof|Sr|Jr|vs|etc|i\.e|e\.g|Inc|Ltd|Corp|Co|No|Sec|Art)\.', '\1' || chr(1), 'g'), '([.!?])\s+([A-Z0-9"])', '\1' || chr(2) || '\2', 'g'), chr(2)), lambda s: regexp_replace(replace(s, chr(1), '.'), '^\s+|\s+$', '', 'g')), lambda s: s <> '')"""
@@ -254,6 +254,6 @@ def risk_paragraph_match(spark, d):
     """
     p = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("para_idx", "para")).select("doc_id", "para_idx", F.lower("para").alias("para"))
     n = table(spark, d, "benchmark").select("item_id", F.lower(F.left("text", F.lit(60))).alias("needle"), F.lower(F.left("text", F.lit(30))).alias("short"))
-    j = p.join(F.broadcast(n), F.contains("para", "short"))
+    j = p.join(bounded(n, 100_000, "passages"), F.contains("para", "short"))
     first = F.coalesce(F.min(F.when(F.contains("para", "needle"), F.col("para_idx"))), F.min(F.when((F.length("short") >= 10), F.col("para_idx"))))
     return j.groupBy("item_id", "doc_id").agg(first.cast("long").alias("para_idx")).where("para_idx IS NOT NULL")

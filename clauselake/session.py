@@ -101,3 +101,10 @@ def sized(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, written, and marked for broadcast if it is known to have few rows; a larger one is left to sort-merge."""
     written = materialize(df, name)
     return F.broadcast(written) if written.count() <= rows else written
+
+
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """`df`, marked for broadcast; an error if it has more than `most` rows, for tables that are small by contract."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what}")
+    return F.broadcast(df)
