@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.llm.batches import WordHashes, blocks, mix, windows
-from clauselake.session import materialize, ship
+from clauselake.session import materialize, ship, sized
 
 #: log2 of the number of registers.
 BUCKET_BITS = 7
@@ -92,12 +92,16 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n long, hi long, lo long, bands array<long>")
 
 
+#: Edges that a file of a written step holds, about; small graphs take few files whatever the shuffle's width.
+EDGES_PER_FILE = 500_000
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """node, root: the least node of each connected component of edges (a, b), by large-star and small-star steps.
 
-    Every step is a count-free aggregation and a join; a node with very many edges is pre-aggregated before the
-    shuffle, and adaptive execution splits it in the join. Steps are written, so that lost executors cost no more
-    than the step at hand.
+    Every step is an aggregation and a join. A node with very many edges is pre-aggregated before the shuffle; what
+    is aggregated is written before it is joined back, since adaptive execution splits a hot node only where both
+    sides of the join come from a shuffle of their own. Lost executors cost no more than the step at hand.
     """
     pair = lambda a, b: (F.col(a).alias("a"), F.col(b).alias("b"))
     state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -105,27 +109,29 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     before = None
     while before != (now := state(e)) and now[0]:
         before = now
+        files = max(4, now[0] // EDGES_PER_FILE)
         both = e.union(e.select(*pair("b", "a")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).repartition(files), name)
         e = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
+        e = materialize(e.repartition(files), name)
+        least = materialize(e.groupBy("a").agg(F.min("b").alias("m")).repartition(files), name)
         j = e.join(least, "a")
         e = j.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(least.select(*pair("a", "m"))).where("a <> b").distinct()
-        e = materialize(e, name)
+        e = materialize(e.repartition(files), name)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 #: Buckets of up to so many classes give their pairs to the estimate; larger ones are joined to one cluster whole.
 SMALL_BUCKET = 32
 #: Shingles of the sets that are checked against each other in one task, about.
-PART_SHINGLES = 400_000
+PART_SHINGLES = 100_000
 
 
 def _candidates(classes: DataFrame, low: float) -> DataFrame:
     """Edges (a, b) between class numbers that put each pair which shares a band, and may be similar, in one cluster."""
     rows = classes.select("cid", F.posexplode("bands").alias("at", "band")).select("cid", F.xxhash64("at", "band").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("leader")).where("m > 1")
-    members = materialize(rows.join(shared, "bucket"), "near-members")
+    members = materialize(rows.join(materialize(shared, "near-buckets"), "bucket"), "near-members")
     stars = members.where((F.col("m") > SMALL_BUCKET) & (F.col("cid") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("cid").alias("b"))
     few = members.where(F.col("m") <= SMALL_BUCKET)
     pairs = few.select("bucket", F.col("cid").alias("a")).join(few.select("bucket", F.col("cid").alias("b")), "bucket").where("a < b").select("a", "b").distinct()
@@ -189,8 +195,11 @@ def _links(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
                 p, q = top(i), top(int(j))
                 if p != q:
                     root[q] = p
-                    a.append(items[i][0])
-                    b.append(items[j][0])
+        tops = [top(i) for i in range(len(items))]
+        for i, r in enumerate(tops):  # a star for each component: its edges need no more steps to find the root
+            if r != i:
+                a.append(items[r][0])
+                b.append(items[i][0])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return texts.groupBy("root", "x", "y").applyInArrow(run, "a long, b long")
@@ -220,14 +229,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = clusters.select("root").distinct().select("root", F.col("root").alias("node"))
     inside = materialize(clusters.select("root", "node").union(roots).join(classes.select(F.col("cid").alias("node"), "hi", "lo", "n", "least_id"), "node"), "near-inside")
     parts = inside.groupBy("root").agg(F.ceil(F.sum("n") / PART_SHINGLES).cast("int").alias("parts"))
-    inside = inside.join(parts, "root").withColumn("part", F.pmod(F.hash("node"), F.col("parts")))
+    inside = inside.join(materialize(parts, "near-parts"), "root").withColumn("part", F.pmod(F.hash("node"), F.col("parts")))
+    inside = sized(inside, "near-placed")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(inside, F.col("id").eqNullSafe(F.col("least_id")))
     met = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select("root", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", F.col("node").alias("cid"), "hi", "lo", "text")
     linked = components(_links(met, shingle, percent), "near-links")
     named = classes.select("cid", "hi", "lo", "least_id").join(linked, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     named = materialize(named.select("hi", "lo", "root", "least_id"), "near-named")
-    first = named.groupBy("root").agg(F.min("least_id").alias("component"))
+    first = materialize(named.groupBy("root").agg(F.min("least_id").alias("component")), "near-first")
     named = named.join(first, "root").select(F.col("hi").alias("h"), F.col("lo").alias("l"), "component")
     out = rows.join(named, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")), "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
@@ -242,6 +252,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     found = near_duplicates(docs, id_col, text_col, shingle, percent)
     gone = found.groupBy(id_col).agg(F.max("kept").alias("__kept")).where("not __kept").select(F.col(id_col).alias("__gone"))
+    gone = sized(gone, "near-gone")
     return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
 
 
