@@ -59,9 +59,10 @@ def label(line: Column) -> Column:
 
 
 def windows(text: Column, n: int) -> Column:
-    """The text's words in groups of n."""
-    w = words(text)
-    return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(1), F.size(w), F.lit(n)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    """The text's words in groups of n. The array of one binds the words, so that they are cut once."""
+    none = F.array().cast("array<string>")
+    groups = lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(1), F.size(w), F.lit(n)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(none)
+    return F.element_at(F.transform(F.array(words(text)), groups), 1)
 
 
 def context(text: Column, start: Column, end: Column, window: int = 150) -> Column:
