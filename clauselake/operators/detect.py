@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauselake.functions import packs, text
+from clauselake.session import ship
 
 
 def severity_rank(c: Column) -> Column:
@@ -109,29 +114,59 @@ def hybrid_merge(primary: DataFrame, semantic: DataFrame, keys: tuple[str, ...]
     )
 
 
+def unlike(sets: list[list[str]], threshold: float) -> list[int]:
+    """Positions of the sets that are not similar to one kept before: Jaccard similarity below the threshold.
+
+    A similar set shares at least threshold * n of a set's n words, so that it has one of the first
+    n - threshold * n + 1 in any order common to all sets. Sets are looked for by these words only, the rarest first.
+    """
+    seen = Counter(w for s in sets for w in s)
+    rank = {w: i for i, w in enumerate(sorted(seen, key=lambda w: (seen[w], w)))}
+    held: dict[int, set[int]] = {}
+    having: dict[int, list[int]] = {}
+    for i, s in enumerate(sets):
+        own = {rank[w] for w in s}
+        n = len(own)
+        first = sorted(own)[: n + 1 - max(1, min(n, math.ceil(threshold * n - 1e-6)))]
+        near = held if threshold <= 0 else dict.fromkeys(j for w in first for j in having.get(w, ()))
+        for j in near:
+            m = len(held[j])
+            if n + m > 0 and min(n, m) >= threshold * max(n, m):
+                both = len(own & held[j])
+                if both / (n + m - both) >= threshold:
+                    break
+        else:
+            held[i] = own
+            for w in first:
+                having.setdefault(w, []).append(i)
+    return list(held)
+
+
 def greedy_dedup(risks: DataFrame, group: str, order: str, severity: str = "severity", body: str = "snippet", threshold: float = 0.7) -> DataFrame:
     """Of each group's risks, by severity downward and then `order`, those whose words are not similar to those of
     one kept before: Jaccard similarity of lower-case word sets below the threshold. Empty sets are never duplicates.
 
-    Repeats of a word set are dropped before the fold, which changes nothing: what the first of them meets, the others
-    meet. The fold is one expression for each group; a group is a document's findings.
+    One shuffle brings a group's risks together; the fold takes all of them in one row. A group is a document's findings.
     """
-    w = F.array_sort(F.array_distinct(text.words(F.lower(F.coalesce(F.col(body), F.lit(""))))))
-    rows = risks.withColumn("__w", w)
-    first = Window.partitionBy(group, "__w").orderBy(F.desc(severity_rank(F.col(severity))), order)
-    rows = rows.withColumn("__n", F.row_number().over(first)).where((F.col("__n") == 1) | (F.size("__w") == 0)).drop("__n")
-    item = F.struct((-severity_rank(F.col(severity))).alias("s"), F.col(order).alias("o"), F.col("__w").alias("w"))
-    listed = rows.groupBy(F.col(group).alias("__g")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-    def near(a: Column, b: Column) -> Column:
-        n, m = F.size(a), F.size(b)
-        both = F.size(F.array_intersect(a, b))
-        return (n + m > 0) & (F.least(n, m) >= threshold * F.greatest(n, m)) & (both / F.nullif(n + m - both, F.lit(0)) >= threshold)
-
-    empty = F.array().cast(listed.schema["items"].dataType)
-    kept = F.aggregate("items", empty, lambda acc, x: F.when(F.exists(acc, lambda y: near(x["w"], y["w"])), acc).otherwise(F.concat(acc, F.array(x))))
-    ids = listed.select("__g", F.explode(kept).alias("k")).select("__g", F.col("k.o").alias("__o"))
-    return rows.join(ids, F.col(group).eqNullSafe(F.col("__g")) & (F.col(order) == F.col("__o")), "left_semi").drop("__w")
+    ship(risks.sparkSession)
+    listed = risks.groupBy(F.col(group).alias("__g")).agg(F.collect_list(F.struct(*risks.columns)).alias("risks"))
+    # words have no white space in them, and one string a set is read faster than an array
+    words = lambda x: F.array_join(F.array_distinct(text.words(F.lower(F.coalesce(x[body], F.lit(""))))), " ")
+    item = lambda x, i: F.struct((-severity_rank(x[severity])).alias("s"), x[order].alias("o"), words(x).alias("w"), i.alias("i"))
+    listed = listed.select("risks", F.array_sort(F.transform("risks", item)).alias("items"))
+    listed = listed.select("risks", F.col("items.w").alias("w"), F.col("items.i").alias("i"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            taken, begin = [], 0
+            for texts, places in zip(batch.column(1), batch.column(2), strict=True):
+                found, at = unlike([t.split(" ") if t else [] for t in texts.as_py()], threshold), places.as_py()
+                taken += [begin + at[k] for k in found]
+                begin += len(at)
+            rows = batch.column(0).flatten()
+            yield pa.RecordBatch.from_struct_array(rows.take(pa.array(taken, pa.int64())))
+
+    return listed.mapInArrow(fold, risks.schema)
 
 
 def escalate(risks: DataFrame, group: tuple[str, ...] = ("doc_id", "clause_idx")) -> DataFrame:

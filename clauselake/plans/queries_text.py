@@ -207,7 +207,7 @@ def analyze_regex(spark, d):
 @query("greedy_dedup")
 def greedy_dedup(spark, d):
     """A20 over the sentences of each document, as a reader of near-repeated clauses meets them."""
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.slice(text.clauses(F.col("text")), 1, 200)).alias("ord", "snippet"))
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(text.clauses(F.col("text"))).alias("ord", "snippet"))
     return detect.greedy_dedup(docs.withColumn("severity", F.lit("High")), "doc_id", "ord").select("doc_id", "ord")
 
 

@@ -65,3 +65,19 @@ def test_needed_strings():
         for t in texts:
             for m in re.finditer(pattern, t, re.IGNORECASE):
                 assert any(s in m[0].lower() for s in detect.needed(pattern))
+
+
+def test_greedy_dedup_query_takes_whole_documents(spark, tmp_path):
+    """Clauses far into a long document are compared and returned."""
+    from __spark_entry__ import queries
+
+    r = random.Random(7)
+    clauses = [f"Clause {' '.join(f'w{r.randrange(400)}' for _ in range(12))}." for _ in range(700)]
+    clauses[650] = clauses[3].replace("Clause", "Section")
+    clauses[690] = clauses[640]
+    spark.createDataFrame([(1, " ".join(clauses)), (2, " ".join(clauses[:5]))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(x["doc_id"], x["ord"]) for x in queries()["greedy_dedup"](spark, str(tmp_path)).collect()}
+    rows = [(1, i, "High", c) for i, c in enumerate(clauses)]
+    want = set(plain_dedup(rows, 0.7))
+    assert {650, 690}.isdisjoint(want) and {649, 651, 699} <= want
+    assert got == {(1, i) for i in want} | {(2, i) for i in range(5)}
