@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauselake.session import bounded
+from clauselake.session import bounded, materialize
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,19 +25,31 @@ def normalized(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
 
 
-#: Queries, and canonical clauses, that are broadcast at most.
+#: Queries, and canonical clauses, that are broadcast at most; more queries are dealt into blocks.
 MOST_QUERIES = 10_000
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int, least: float | None = None, same: str | None = None, id_col: str = "vec_id", query_id: str = "query_id") -> DataFrame:
     """O3: for each query its k nearest corpus rows by exact cosine: query_id, id_col, similarity, rank.
 
-    Queries are a stated set of at most MOST_QUERIES rows; they are broadcast and meet the corpus in one pass, in
-    which each partition keeps k rows a query before the shuffle. Ties go to the smaller id. `same` names a column
-    that has to agree. Null vectors match nothing.
+    Up to MOST_QUERIES queries are broadcast and meet the corpus in one pass, in which each partition keeps k rows a
+    query before the shuffle; more are dealt by the hash of their id into blocks of about half as many, each of which
+    makes a pass and is written. Ties go to the smaller id. `same` names a column that has to agree. Null vectors
+    match nothing.
     """
+    if queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+        return _nearest(corpus, queries, k, least, same, id_col, query_id)
+    queries = materialize(queries, "knn-queries")
+    blocks = -(-2 * queries.count() // MOST_QUERIES)
+    part = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    found = [materialize(_nearest(corpus, queries.where(part == b), k, least, same, id_col, query_id), "knn-block") for b in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _nearest(corpus: DataFrame, queries: DataFrame, k: int, least: float | None, same: str | None, id_col: str, query_id: str) -> DataFrame:
+    """knn() for queries that are broadcast at once."""
     q = queries.select(F.col(query_id), F.col("embedding").alias("__q"), *([F.col(same).alias("__same")] if same else []))
-    j = corpus.where(F.col("embedding").isNotNull()).join(bounded(q, MOST_QUERIES, "queries; split them"), (F.col(same) == F.col("__same")) if same else F.lit(True))
+    j = corpus.where(F.col("embedding").isNotNull()).join(F.broadcast(q), (F.col(same) == F.col("__same")) if same else F.lit(True))
     sim = dot(F.col("embedding"), F.col("__q"))
     scored = j.select(query_id, *[c for c in corpus.columns if c != "embedding"], F.bround(sim, 6).alias("similarity"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("similarity"), id_col))).where(F.col("rank") <= k)
