@@ -134,7 +134,7 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     for kind, pattern in CANDIDATES.items():
         if kind in ("phone", "ssn", "iban") and not digit:
             continue
-        if kind == "email" and not (" dot " in text or " DOT " in text or "[" in text or "(" in text or "{" in text or " at " in text):
+        if kind == "email" and not (" dot " in text or " DOT " in text or "[" in text or "(" in text or "{" in text or " at " in text or " AT " in text):
             continue
         found += [(m.start(), KINDS.index(kind), m.end()) for m in pattern.finditer(text)]
     if not found:

@@ -68,3 +68,15 @@ def test_reliabilities():
             assert p > 0.5
         if v[:4].count(1) >= 3:
             assert p < 0.5
+
+
+def test_shortcut_before_the_email_candidates():
+    """Whatever the email candidate pattern matches passes the shortcut before it."""
+    from clauselake.llm import pii
+
+    for at in (" at ", " AT ", "[at]", "(at)", " [AT] "):
+        for dot in (".", " dot ", " DOT ", "[dot]"):
+            for text in (f"joe{at}example{dot}com", f"JOE{at}EXAMPLE{dot}COM"):
+                if pii.CANDIDATES["email"].search(text):
+                    assert any(pii.KINDS[k] == "email" for k, *_ in pii.candidates(text, [])), text
+    assert pii.candidates("JOE AT EXAMPLE.COM", [])
