@@ -1,13 +1,13 @@
 """A quality classifier by nearest-neighbour voting on latent-semantic vectors.
 
-A text becomes counts of hashed byte trigrams and a few shares of its words and characters. A truncated singular
-value decomposition of a bounded labelled sample gives the latent space; the sample's vectors are broadcast. Each
-document takes exact cosines with all of them, block by block, and its nearest neighbours vote by similarity.
+The terms of a text are hashed n-grams of its characters' shapes: letters count as capital or small, digits as one
+sign, other signs as themselves. A truncated singular value decomposition of the log counts of a bounded labelled
+sample gives the latent space; the sample's vectors are broadcast. Each document takes exact cosines with all of
+them, block by block, and its nearest neighbours vote by similarity.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,49 +20,33 @@ from clauselake.session import ship
 
 #: Labelled documents that the model is fitted on, at most, of each class; those of least hash of the id.
 SAMPLE = 1500
-#: Hashed trigram counts, latent dimensions, neighbours that vote.
-TRIGRAM_BITS, LATENT, NEIGHBOURS = 12, 48, 15
+#: Lengths of the n-grams of shapes, bits of their hashes, latent dimensions, neighbours that vote.
+GRAMS, TERM_BITS, LATENT, NEIGHBOURS = (1, 2, 3, 4), 12, 48, 15
 #: Exponent of the similarity in a vote, and documents of a block.
 SHARPNESS, BLOCK = 8, 256
-_SHARES = 9
+#: Bytes of a text whose n-grams are counted at once; n-grams across the cut count with the piece that they start in.
+PIECE = 1 << 20
+
+#: The shape of each byte: a capital, a small letter or part of a longer letter, a digit, a line's end, or itself.
+_SHAPE = np.arange(256, dtype=np.uint64)
+_SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:], _SHAPE[48:58], _SHAPE[10:14] = 65, 97, 97, 48, 10
 
 
 def features(text: bytes) -> np.ndarray:
-    """Log counts of trigrams (norm 1), then shares in pairs (x, 1 - x); never zero, whatever the text."""
-    out = np.zeros((1 << TRIGRAM_BITS) + 2 * _SHARES, np.float32)
-    b = np.frombuffer(text, np.uint8).astype(np.uint32)
-    if len(b) > 2:
-        h = ((b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]) * np.uint32(2654435761)
-        counts = np.log1p(np.bincount(h >> np.uint32(32 - TRIGRAM_BITS), minlength=1 << TRIGRAM_BITS)).astype(np.float32)
-        out[: 1 << TRIGRAM_BITS] = counts / np.linalg.norm(counts)
-    words = text.split()
-    n, size = len(words), max(1, len(b))
-    kinds = np.bincount(_KIND[b], minlength=5)
-    most = Counter(words).most_common(1)[0][1] if n else 0
-    again = sum(map(bytes.__eq__, words[1:], words)) if n > 1 else 0
-    long = [hash_ for hash_ in zip(words, words[1:], words[2:], strict=False)]
-    share = [
-        min(1.0, 3 * kinds[1] / size),  # capitals
-        min(1.0, 6 * kinds[2] / size),  # symbols
-        min(1.0, 6 * kinds[3] / size),  # digits
-        min(1.0, 3 * kinds[4] / size),  # other punctuation
-        again / max(1, n - 1),  # words equal to the one before
-        1 - len(set(long)) / len(long) if long else 0.0,  # repeated word trigrams
-        min(1.0, 3 * most / n) if n > 5 else 0.0,
-        min(1.0, np.log1p(n) / 8),
-        min(1.0, size / max(1, n) / 24),
-    ]
-    out[1 << TRIGRAM_BITS :: 2] = share
-    out[(1 << TRIGRAM_BITS) + 1 :: 2] = 1 - np.array(share)
-    out[1 << TRIGRAM_BITS :] *= 0.5
-    return out
-
-
-_KIND = np.zeros(256, np.int64)
-_KIND[65:91] = 1
-_KIND[list(b"#*$%&|<>")] = 2
-_KIND[48:58] = 3
-_KIND[list(b"!?.,;:\"'()-")] = 4
+    """Log counts of the hashed n-grams of shapes, of norm 1. The text stands between line ends, so none is zero."""
+    signs = np.frombuffer(b"\n" + text + b"\n", np.uint8)
+    counts = np.zeros(1 << TERM_BITS)
+    for at in range(0, len(signs), PIECE):
+        for n in GRAMS:
+            shapes = _SHAPE[signs[at : at + PIECE + n - 1]]
+            m = len(shapes) - n + 1
+            if m > 0:
+                gram = np.full(m, n, np.uint64)
+                for k in range(n):
+                    gram = (gram << np.uint64(8)) | shapes[k : k + m]
+                counts += np.bincount(((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TERM_BITS)).astype(np.int64), minlength=1 << TERM_BITS)
+    out = np.log1p(counts)
+    return (out / np.linalg.norm(out)).astype(np.float32)
 
 
 class Model:
@@ -101,7 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_co
     """The model of at most `sample` labelled rows of each class; None if there is none.
 
     Ids are chosen from the labels alone, so the number of documents that are read for it has a bound, as has what
-    reaches the driver. Ids that repeat give one row; labels that repeat count once, by their mean.
+    reaches the driver. Of an id that repeats the least text is taken; labels that repeat count once, by their mean.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -117,8 +101,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_co
         for batch, texts in blocks(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t).tobytes() for t in texts], pa.binary())], ["id", "y", "x"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
-    found = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, y int, x binary").dropDuplicates(["id"]).collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text"))
+    found = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, y int, x binary").collect()
     if not found:
         return None
     found.sort(key=lambda r: str(r["id"]))
@@ -129,8 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_co
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """id_col and score, from 0 to 1, for each row of `docs`: higher means label 1 is likelier.
 
-    Null and empty texts are a text like any other: their shares differ from those of real texts. Repeated rows
-    score alike. Without labels the score is 0.5 everywhere. `labels` needs id_col and label_col; labels, ids and
+    A null text counts as empty, which is a text like any other. Repeated rows score alike. A long text is taken
+    whole. An empty table gives an empty result. Without labels the score is 0.5 everywhere. `labels` needs id_col and label_col; labels, ids and
     other columns are no input of a score. The broadcast has at most 2 * `sample` vectors of LATENT numbers.
     """
     spark = docs.sparkSession
@@ -156,6 +141,8 @@ FOLDS, HELD_OUT, ACCEPT = 4, 2, 0.7
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """classify() of all documents, learned outside the held-out fold: doc_id, held_out, score, predicted. Nulls, empty
+    texts, ties and repeated rows as there; null ids belong to the fold of the empty text."""
     train = labels.where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
     scored = classify(docs, train)
     return scored.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
@@ -164,7 +151,9 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without the rows that score below ACCEPT; rows and columns are otherwise as they were.
 
-    The verdict is made in the pass that reads the rows, so it needs no join and works for any ids.
+    The verdict is made in the pass that reads the rows, so it needs no join and works for any ids, null and repeated
+    ones too; equal texts share their fate, and a null text is judged as an empty one. Without labels all rows stay.
+    Further columns pass through under any names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)

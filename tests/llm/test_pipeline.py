@@ -42,6 +42,48 @@ def test_quality(labelled, empty):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for r in neighbours.query(docs, labels).where("predicted = 1").collect() for i in [r["doc_id"]])
 
 
+def test_quality_query_against_brute_force(labelled):
+    """Terms by a plain reading of their definition, voters from the model, and every cosine by itself."""
+    import math
+    import zlib
+    from collections import Counter
+
+    docs, labels = labelled
+    m = neighbours.fit(docs, labels.where(neighbours.remainder(F.col("doc_id"), 4) != 2), "quality", "doc_id", "text", neighbours.SAMPLE)
+    shape = lambda b: 65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else 10 if 10 <= b <= 13 else b
+    got = {(r["doc_id"], round(r["score"], 5), r["held_out"]) for r in neighbours.query(docs, labels).collect()}
+    want = set()
+    for r in docs.where("doc_id % 7 = 1 OR doc_id > 240 OR doc_id IS NULL").collect():
+        b = [shape(x) for x in b"\n" + (r["text"] or "").encode() + b"\n"]
+        terms = Counter()
+        for n in (1, 2, 3, 4):
+            for i in range(len(b) - n + 1):
+                code = n
+                for x in b[i : i + n]:
+                    code = code << 8 | x
+                terms[(code * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 52] += 1
+        size = math.sqrt(sum(math.log1p(c) ** 2 for c in terms.values()))
+        x = [-float(v) for v in m.mean]
+        for t, c in terms.items():
+            x[t] += math.log1p(c) / size
+        z = [sum(a * float(w) for a, w in zip(x, column, strict=True)) for column in m.axes.T]
+        length = math.sqrt(sum(a * a for a in z))
+        cos = sorted(((sum(a * float(w) for a, w in zip(z, v, strict=True)) / length, float(w), float(y)) for v, w, y in zip(m.voters, m.weight, m.label, strict=True)), reverse=True)[:15]
+        votes = [max(c, 0.0) ** 8 * w for c, w, _ in cos]
+        score = (sum(v * y for v, (_, _, y) in zip(votes, cos, strict=True)) + 1e-3 * m.prior) / (sum(votes) + 1e-3)
+        want.add((r["doc_id"], round(score, 3), zlib.crc32(b"" if r["doc_id"] is None else str(r["doc_id"]).encode()) % 4 == 2))
+    assert want <= {(i, round(s, 3), h) for i, s, h in got}
+
+
+def test_features_of_pieces(monkeypatch):
+    import numpy as np
+
+    text = b"Ab1 c.\n" * 50
+    whole = neighbours.features(text)
+    monkeypatch.setattr(neighbours, "PIECE", 7)
+    assert np.array_equal(neighbours.features(text), whole)
+
+
 def test_toxicity(labelled, empty):
     docs, labels = labelled
     got = {r["doc_id"]: r for r in toxicity.query(docs, labels).collect()}
