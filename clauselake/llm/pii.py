@@ -3,13 +3,21 @@
 Patterns of fixed kinds are found exactly. Beyond them, wider patterns propose candidates, on which labelers vote:
 a strict form, a gazetteer, the context, the value's own make-up and its isolation. Expectation maximisation over
 the vote patterns of all candidates estimates how reliable each labeler is and how likely each pattern is a hit;
-these probabilities train the span classifier that decides.
+these probabilities train the span classifier that decides, which also sees what the labelers do not vote on: the
+value's shape and length, and the words and signs around it.
+
+Every pattern is linear in the length of the text: what could be tried from each place of a long run starts at the
+run's start only, and does not give back what it has taken.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
+import itertools
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,26 +29,29 @@ from clauselake.llm.batches import blocks
 from clauselake.session import materialize, ship
 
 #: Kinds in the order of results: four with an exact pattern, then those that the method alone finds.
-KINDS = ("email", "ip", "card", "phone", "iban", "secret", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "secret", "ssn", "ipv6")
 #: Labelers, each voting 0 (abstains), 1 (no) or 2 (yes).
 LABELERS = ("form", "gazetteer", "context", "content", "isolation")
 #: Most characters before a candidate that count as its context.
 CONTEXT = 48
+#: Bits of the hashed features of a span, how many it has, and spans that the classifier is fitted on, at most.
+FEATURE_BITS, FEATURES, TRAIN_SPANS = 10, 6, 20_000
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 
 # Patterns of candidates, words and lists of the gazetteers.
 CANDIDATES = {
-    "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*(?: ?[\[({] ?(?:at|AT|@) ?[\])}] ?| at | AT )[A-Za-z0-9-]+(?:(?: ?[\[({] ?(?:dot|DOT|\.) ?[\])}] ?| dot | DOT |\.)[A-Za-z0-9-]+)+"),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[._%+-]*+([A-Za-z0-9][A-Za-z0-9._%+-]*+(?: ?[\[({] ?(?:at|AT|@) ?[\])}] ?| at | AT )[A-Za-z0-9-]++(?:(?: ?[\[({] ?(?:dot|DOT|\.) ?[\])}] ?| dot | DOT |\.)[A-Za-z0-9-]++)++)"),
     "phone": re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w+.-])00[1-9][0-9]{0,2}[ .-][0-9][0-9 .-]{5,13}[0-9](?![\w-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "secret": re.compile(r"(?<![A-Za-z0-9])(?:(?i:token|password|passwd|pwd|secret|api[_-]?key)[\"']?\s?[=:]\s?[\"']?[^\s\"',;]{8,}|AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}|(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})(?![A-Za-z0-9]))"),
     "ssn": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
+    "ipv6": re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:])"),
 }
 _STRICT = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+ ?[\[({] ?(?:at|AT|@) ?[\])}] ?[A-Za-z0-9-]+(?: ?[\[({] ?(?:dot|DOT|\.) ?[\])}] ?[A-Za-z0-9-]+)+|\S+ (?:at|AT) \S+(?: (?:dot|DOT) \S+)+"),
@@ -48,6 +59,7 @@ _STRICT = {
     "iban": re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,36}"),
     "secret": re.compile(r"AKIA.*|gh[pousr]_.*|(?i:token|password|passwd|pwd|secret|api[_-]?key).*"),
     "ssn": re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"),
+    "ipv6": re.compile(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f:]*::[0-9A-Fa-f:]*"),
 }
 ENDINGS = frozenset("com org net edu gov info io co de fr es it uk eu nl pl pt at ch be us ca example test".split())
 IBAN_COUNTRIES = frozenset("AD AT BE CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM".split())
@@ -57,6 +69,7 @@ HINTS = {
     "iban": re.compile(r"(?i)iban|account|konto|compte|cuenta|bank|bic"),
     "secret": re.compile(r"(?i)token|passw|secret|key|credential|login"),
     "ssn": re.compile(r"(?i)ssn|social|security"),
+    "ipv6": re.compile(r"(?i)\bip|addr|host|server|node|gateway|dns"),
 }
 AGAINST = re.compile(r"(?i)isbn|issn|version|order|invoice|chapter|page|section|part no|serial|commit|sha-?1|md5|checksum")
 
@@ -115,6 +128,12 @@ def votes(kind: str, text: str, start: int, end: int) -> int:
     elif kind == "secret":
         gazetteer = 2 if re.match(r"AKIA|gh[pousr]_|sk[-_]|xox", body) else 0
         content = 2 if len(set(flat)) >= 6 and re.search("[0-9]", flat) and re.search("[A-Za-z]", flat) else 1
+    elif kind == "ipv6":
+        gazetteer = 2 if re.match(r"(?i)20|2[4-9a-f]|f[cde]|::1", value) else 1
+        try:
+            content = 2 if ipaddress.IPv6Address(value) else 1
+        except ValueError:
+            content = 1
     else:
         content = 1 if len(set(flat)) < 3 else 2
     hinted = HINTS[kind].search(before) or kind == "secret" and body != value
@@ -126,24 +145,41 @@ def votes(kind: str, text: str, start: int, end: int) -> int:
     return code
 
 
-def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(kind, start, end, votes) of what the wider patterns find outside of `taken`; the leftmost comes first and
-    what overlaps it is left out, the kind listed first where two start together."""
+_LETTER = re.compile(r"[^\W\d_]+")
+_SMALL, _CAPITAL, _NUMBER = re.compile("[a-z]+"), re.compile("[A-Z]+"), re.compile("[0-9]+")
+
+
+def features(kind: str, text: str, start: int, end: int) -> list[int]:
+    """FEATURES numbers below 2**FEATURE_BITS: hashes of the value's shape, its length and how varied it is, of the last
+    word before it, and of the signs on both sides."""
+    value = text[start : min(end, start + 2 * CONTEXT)]
+    shape = _NUMBER.sub("9", _CAPITAL.sub("A", _SMALL.sub("a", value)))
+    word = _LETTER.findall(text[max(0, start - CONTEXT) : start])
+    said = (shape[:12], f"l{(end - start).bit_length()}", f"v{len(set(value)) // 4}", f"w{word[-1].lower()[:12] if word else ''}", f"b{text[start - 1 : start]}", f"e{text[end : end + 1]}")
+    return [zlib.crc32(f"{kind}|{k}|{x}".encode("utf-8", "replace")) >> 32 - FEATURE_BITS for k, x in enumerate(said)]
+
+
+def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, ...]]:
+    """(kind, start, end, votes, *features) of what the wider patterns find outside of `taken`; the leftmost comes first
+    and what overlaps it is left out, the kind listed first where two start together."""
     digit = _DIGIT.search(text) is not None
     found = []
     for kind, pattern in CANDIDATES.items():
-        if kind in ("phone", "ssn", "iban") and not digit:
+        if kind in ("phone", "ssn", "iban") and not digit or kind == "ipv6" and ":" not in text:
             continue
         if kind == "email" and not (" dot " in text or " DOT " in text or "[" in text or "(" in text or "{" in text or " at " in text or " AT " in text):
             continue
-        found += [(m.start(), KINDS.index(kind), m.end()) for m in pattern.finditer(text)]
+        group = pattern.groups  # where there is one, it is the candidate
+        found += [(m.start(group), KINDS.index(kind), m.end(group)) for m in pattern.finditer(text)]
     if not found:
         return []
     out, end = [], 0
     spans = sorted((s, e) for _, s, e in taken)
+    begins, furthest = [s for s, _ in spans], list(itertools.accumulate((e for _, e in spans), max))
     for start, kind, stop in sorted(found):
-        if start >= end and not any(s < stop and start < e for s, e in spans):
-            out.append((kind, start, stop, votes(KINDS[kind], text, start, stop)))
+        before = bisect_left(begins, stop)  # spans from there on begin behind the candidate
+        if start >= end and not (before and furthest[before - 1] > start):
+            out.append((kind, start, stop, votes(KINDS[kind], text, start, stop), *features(KINDS[kind], text, start, stop)))
             end = stop
     return out
 
@@ -152,12 +188,11 @@ def digits(code: int) -> list[int]:
     return [code // 3**k % 3 for k in range(len(LABELERS) - 1, -1, -1)]
 
 
-def train(counts: dict[tuple[int, int], int], rounds: int = 100) -> dict[tuple[int, int], float]:
-    """The classifier's probability for each (kind, votes), from how often each was seen.
+def posteriors(counts: dict[tuple[int, int], int], rounds: int = 100) -> dict[tuple[int, int], float]:
+    """How likely each (kind, votes) is a hit, from how often each was seen.
 
     Expectation maximisation knows for each kind how common hits are, and for each labeler what it votes on hits and
-    on others; pseudo-counts start labelers as right in four votes of five and keep rare kinds near that. Then a
-    logistic model on kind and votes is fitted to the probabilities, weighted by how often each pattern was seen.
+    on others; pseudo-counts start labelers as right in four votes of five and keep rare kinds near that.
     """
     if not counts:
         return {}
@@ -182,17 +217,33 @@ def train(counts: dict[tuple[int, int], int], rounds: int = 100) -> dict[tuple[i
         for j in range(len(KINDS)):
             m = kind == j
             rate[j] = (float((n * p)[m].sum()) + prior_rate * 0.5) / (float(n[m].sum()) + prior_rate)
-    x = np.concatenate([np.eye(len(KINDS))[kind], *(np.eye(3)[vote[:, k]] for k in range(len(LABELERS)))], axis=1)
-    w = np.zeros(x.shape[1])
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (n * (q - p)) + 0.1 * w
-        step = np.linalg.solve((x * (n * q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(len(w)), grad)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    return {k: float(v) for k, v in zip(keys, q, strict=True)}
+    return {k: float(v) for k, v in zip(keys, p, strict=True)}
+
+
+def columns(kind: np.ndarray, code: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """The features of spans that are 1: their kind, each labeler's vote, and their hashed features."""
+    vote = np.stack([code // 3**k % 3 + 3 * k for k in range(len(LABELERS))], 1)
+    base = len(KINDS)
+    return np.concatenate([kind[:, None], base + vote, base + 3 * len(LABELERS) + hashed], 1)
+
+
+def train(spans: list[list[int]], target: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """Weights of the span classifier: a logistic model of (kind, votes, *features) for the probabilities in `target`,
+    by gradient steps that each weight scales by what it has moved; the hashed features are held nearer to zero."""
+    own = len(KINDS) + 3 * len(LABELERS)
+    w = np.zeros(own + (1 << FEATURE_BITS))
+    if not spans:
+        return w
+    s = np.array(spans, np.int64)
+    at = columns(s[:, 0], s[:, 1], s[:, 2:])
+    ridge = np.where(np.arange(len(w)) < own, 0.1, 2.0)
+    moved = np.full(len(w), 1e-6)
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-np.clip(w[at].sum(1), -30, 30)))
+        grad = np.bincount(at.ravel(), weights=np.repeat(q - target, at.shape[1]), minlength=len(w)) + ridge * w
+        moved += grad * grad
+        w -= 0.5 * grad / np.sqrt(moved)
+    return w
 
 
 def said(spans: list[tuple[int, int, int]]) -> str:
@@ -204,11 +255,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
     Counts and base_sha256 are of the exact patterns; spans are these and the candidates that the classifier accepts,
     as kind:start:end in code points, end exclusive, by kind and start. A null text counts as empty; a text without
-    finds has zeros, the digest of the empty string and empty spans. Rows are independent but for the classifier,
-    which counts the vote patterns of all rows: at most 7 x 243 numbers reach the driver. Other columns are not read.
+    finds has zeros, the digest of the empty string and empty spans. Rows are independent but for the classifier:
+    the reliabilities of labelers come from the vote patterns of all rows, of which at most 8 x 243 counts reach the
+    driver; the classifier is fitted on the TRAIN_SPANS candidates of least hash of their place. Other columns are not
+    read. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
     names = ["n_email", "n_ip", "n_card", "n_phone"]
+    wide = 4 + FEATURES
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, "text"):
@@ -223,17 +277,25 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     found = materialize(source.mapInArrow(scan, f"id {kind}, base array<int>, more array<int>"), "pii-spans")
-    at = F.explode(F.sequence(F.lit(0), F.size("more") - 4, F.lit(4)))
-    each = found.where(F.size("more") > 0).select("more", at.alias("at")).select(F.element_at("more", F.col("at") + 1).alias("k"), F.element_at("more", F.col("at") + 4).alias("v"))
-    model = train({(r["k"], r["v"]): r["n"] for r in each.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).collect()})
-    accepted = frozenset(k for k, p in model.items() if p >= threshold)
+    at = F.explode(F.sequence(F.lit(0), F.size("more") - wide, F.lit(wide)))
+    each = found.where(F.size("more") > 0).select("id", "more", at.alias("at")).select("id", F.element_at("more", F.col("at") + 1).alias("k"), F.element_at("more", F.col("at") + 4).alias("v"), F.slice("more", F.col("at") + 1, F.lit(wide)).alias("span"))
+    likely = posteriors({(r["k"], r["v"]): r["n"] for r in each.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).collect()})
+    sample = [r["span"] for r in each.orderBy(F.xxhash64("id", F.element_at("span", 2), "k"), "span").limit(TRAIN_SPANS).select("span").collect()]
+    weights = train([[x[0], *x[3:]] for x in sample], np.array([likely[x[0], x[3]] for x in sample]))
+    logit = float(np.log(threshold / (1 - threshold)))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, sha, spans, added = [[], [], [], []], [], [], []
-            for base, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            listed = batch.column(2).to_pylist()
+            flat = np.array([x for more in listed for x in more], np.int64).reshape(-1, wide)
+            hit = weights[columns(flat[:, 0], flat[:, 3], flat[:, 4:])].sum(1) >= logit
+            place = 0
+            for base, more in zip(batch.column(1).to_pylist(), listed, strict=True):
                 own = list(zip(base[::3], base[1::3], base[2::3], strict=True))
-                extra = [(k, s, e) for k, s, e, v in zip(more[::4], more[1::4], more[2::4], more[3::4], strict=True) if (k, v) in accepted]
+                m = len(more) // wide
+                extra = [tuple(int(x) for x in flat[place + j, :3]) for j in range(m) if hit[place + j]]
+                place += m
                 for k in range(4):
                     n[k].append(sum(x[0] == k for x in own))
                 sha.append(hashlib.sha256(said(own).encode()).hexdigest())
@@ -246,4 +308,6 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """find() on all documents. Null, empty, blank and very long texts, repeated rows, null ids, empty tables and
+    further columns as there; equal texts have equal spans."""
     return find(docs)

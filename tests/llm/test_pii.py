@@ -61,7 +61,7 @@ def test_reliabilities():
         for x in v:
             code = code * 3 + x
         counts[3, code] = counts.get((3, code), 0) + 1
-    model = pii.train(counts)
+    model = pii.posteriors(counts)
     for (_, code), p in model.items():
         v = pii.digits(code)
         if v[:4].count(2) >= 3:
@@ -80,3 +80,51 @@ def test_shortcut_before_the_email_candidates():
                 if pii.CANDIDATES["email"].search(text):
                     assert any(pii.KINDS[k] == "email" for k, *_ in pii.candidates(text, [])), text
     assert pii.candidates("JOE AT EXAMPLE.COM", [])
+
+
+def test_long_texts_take_linear_time():
+    """A megabyte of any one thing; quadratic patterns take minutes to hours on these."""
+    import time
+
+    n = 1_000_000
+    for t in ("1" * n, "(" + "a" * n, "a.b" * (n // 3), "(" + "a." * (n // 2), "1.2.3" * (n // 5), "+1" * (n // 2), "a at " * (n // 5), "@" * n, "a@" * (n // 2), "1.2.3.4 (5) x at y dot z " * (n // 26), "f:" * (n // 2), "token=;" * (n // 7), "A1 " * (n // 3)):
+        began = time.time()
+        base = pii.base_spans(t)
+        pii.candidates(t, base)
+        assert time.time() - began < 12, t[:20]
+
+
+def test_ip_pattern_against_plain():
+    r = random.Random(8)
+    for _ in range(20000):
+        t = "".join(r.choice("12.x") for _ in range(r.randrange(0, 24)))
+        assert [m.span() for m in pii._IP.finditer(t)] == [m.span() for m in IP.finditer(t)], t
+
+
+def test_overlap_with_base_spans():
+    """No candidate shares a place with a base span, whatever their order and number."""
+    r = random.Random(6)
+    pieces = ["+1 (499) 555-6503 ", "499-555-6503 ", "a@b.com ", "joe at example dot com ", "078-05-1120 ", "2001:db8::1 ", "12:30:45 ", "4111111111111111 ", "x "]
+    for _ in range(300):
+        t = "".join(r.choice(pieces) for _ in range(12))
+        base = pii.base_spans(t)
+        taken = [(s, e) for _, s, e in base]
+        for _, start, stop, *_ in pii.candidates(t, base):
+            assert not any(s < stop and start < e for s, e in taken)
+            taken.append((start, stop))
+
+
+def test_span_classifier_sees_more_than_votes():
+    """Spans with the same votes part by the word before them where the probabilities of their likes do."""
+    import numpy as np
+
+    a, b = ([4, 0, *pii.features("iban", f"{w} GB82", len(w) + 1, len(w) + 5)] for w in ("account", "order"))
+    w = pii.train([a] * 300 + [b] * 300, np.array([0.9] * 300 + [0.1] * 300))
+    p = [w[pii.columns(np.array([x[0]]), np.array([x[1]]), np.array([x[2:]]))].sum() for x in (a, b)]
+    assert p[0] > 0 > p[1]
+
+
+def test_null_ids_and_repeats(spark):
+    df = spark.createDataFrame([(None, "a@b.com"), (None, "a@b.com"), (1, "a@b.com"), (1, None), (1, "")], "doc_id long, text string").withColumn("more", __import__("pyspark").sql.functions.lit(1))
+    got = sorted((str(r["doc_id"]), r["n_email"], r["spans"]) for r in pii.query(df).collect())
+    assert got == [("1", 0, ""), ("1", 0, ""), ("1", 1, "email:0:7"), ("None", 1, "email:0:7"), ("None", 1, "email:0:7")]
