@@ -35,10 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir, as a full URI; a temporary one only where that is
-    unset."""
+    """The folder all executors share, from spark.checkpoint.dir, as a full URI. Where that is unset a session on one
+    machine gets a temporary folder; a cluster has to name one."""
     path = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="clauselake-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -50,6 +52,13 @@ def scratch_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which clear() deletes."""
+    path = f"{scratch_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes the intermediate tables that this process has written; results that still read them end with them."""
     while _WRITTEN:
@@ -63,8 +72,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The files outlive any executor, so a lost one costs a reread and no recomputation.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
