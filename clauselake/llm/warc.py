@@ -1,9 +1,12 @@
 """WARC archives as a Spark data source, read and written.
 
-Reading plans partitions of whole files by size, takes predicates on record types and headers, parses the headers
-of a record first and passes over the payloads of records that are not wanted, and of all if none is asked for.
-Archives may be plain or compressed record by record. Compressed records written here say how long they are in an
-extra field of their gzip header, so that a reader inflates the headers alone and jumps to the next record.
+Reading plans partitions by size, takes predicates on record types and headers, parses the headers of a record first
+and passes over the payloads of records that are not wanted, and of all if none is asked for. Archives may be plain or
+compressed record by record. Compressed records written here say how long they are in an extra field of their gzip
+header, so that a reader inflates the headers alone and jumps to the next record.
+
+A file is read by one task unless the option splitBytes is given: then a larger one is cut, and each part begins at the
+first place behind the cut that looks like a record. That is for archives whose payloads hold no archives themselves.
 
 The module stands by itself, as Spark may load it in processes that do not have the package.
 """
@@ -34,21 +37,30 @@ _ARROW = pa.schema([*((c, pa.string()) for c in HEADERS), ("payload_bytes", pa.i
 FILE_BYTES, PARTITION_BYTES, BATCH_BYTES = 64 << 20, 64 << 20, 4 << 20
 #: Payloads of fewer bytes are never written as revisits.
 LEAST_REVISIT = 1000
+#: The longest that a length of 32 bits can say.
+_LONGEST = 0xFFFFFFFF
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _open_fs(path: str):
+    """The file system of a path as Spark writes it, and the path in it; s3a and s3n are what pyarrow calls s3."""
+    import re
+
     from pyarrow import fs
 
+    path = re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "file:///", path))
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
 
 
 def gzip_member(data: bytes, level: int = 1) -> bytes:
-    """A gzip member whose extra field "sl" holds its compressed and its full length."""
+    """A gzip member whose extra field "sl" holds its compressed and its full length. A record that is too long for these
+    numbers of 32 bits has an ordinary header, and is inflated to find its end."""
     deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = deflate.compress(data) + deflate.flush()
     size = 10 + 2 + 12 + len(body) + 8
-    extra = b"sl" + struct.pack("<HII", 8, size & 0xFFFFFFFF, len(data) & 0xFFFFFFFF)
+    if max(size, len(data)) > _LONGEST:
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    extra = b"sl" + struct.pack("<HII", 8, size, len(data))
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -72,48 +84,91 @@ def _parse(head: bytes) -> dict[str, str]:
 
 
 class _Inflated(io.RawIOBase):
-    """One gzip member of a stream, inflated as it is read."""
+    """One gzip member of a stream, inflated as it is read and no further than asked for."""
 
     def __init__(self, f, start: int):
-        self.f, self.z, self.left, self.done = f, zlib.decompressobj(31), b"", False
+        self.f, self.z, self.raw, self.done = f, zlib.decompressobj(31), b"", False
         f.seek(start)
 
+    def _more(self, most: int) -> bytes:
+        """Up to `most` bytes more, some unless the member has ended."""
+        while not self.done:
+            raw = self.raw or self.f.read(min(max(most, 4 << 10), 1 << 20))
+            out = self.z.decompress(raw, most)
+            self.raw = self.z.unconsumed_tail
+            self.done = self.z.eof or not raw
+            if out:
+                return out
+        return b""
+
     def read(self, n: int = -1) -> bytes:
-        while not self.done and (n < 0 or len(self.left) < n):
-            raw = self.f.read(16 << 10)
-            self.left += self.z.decompress(raw)
-            if self.z.eof or not raw:
-                self.done = True
-        out, self.left = (self.left, b"") if n < 0 else (self.left[:n], self.left[n:])
-        return out
+        parts = []
+        while n and (out := self._more(n if n > 0 else 1 << 20)):
+            parts.append(out)
+            n -= len(out) if n > 0 else 0
+        return b"".join(parts)
 
     def end(self) -> int:
         """Where the next member begins."""
-        while not self.done:
-            raw = self.f.read(64 << 10)
-            self.z.decompress(raw)
-            self.done = self.z.eof or not raw
+        while self._more(1 << 20):
+            pass
         return self.f.tell() - len(self.z.unused_data)
 
 
-def records(f, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+_MAGIC = b"\x1f\x8b\x08"
+
+
+def next_record(f, at: int, size: int) -> int:
+    """The first place from `at` on where a record begins: a gzip member that holds one, or a plain one behind the two
+    line ends that close the record before; `size` if there is none."""
+    if at <= 0:
+        return 0
+    f.seek(0)
+    packed = f.read(3) == _MAGIC
+    mark = _MAGIC if packed else b"\r\n\r\nWARC/"
+    at, held = at if packed else max(0, at - 4), b""
+    f.seek(at)
+    while more := f.read(1 << 20):
+        held += more
+        found = held.find(mark)
+        while found >= 0:
+            if not packed:
+                return at + found + 4
+            if found + 4096 > len(held):
+                held += f.read(4096)
+            try:
+                if zlib.decompressobj(31).decompress(held[found : found + 4096], 64).startswith(b"WARC/"):
+                    return at + found
+            except zlib.error:
+                pass
+            found = held.find(mark, found + 1)
+        cut = max(0, len(held) - len(mark) + 1)
+        at, held = at + cut, held[cut:]
+    return size
+
+
+def records(f, wanted, payloads: bool, start: int = 0, end: int | None = None) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """(headers, payload) of the records of an open archive for which wanted(headers) holds, in their order; the
-    payload is None unless `payloads`. The payload of other records is not inflated where the record tells its length."""
-    size, at = f.size(), 0
-    while at < size:
+    payload is None unless `payloads`. The payload of other records is not inflated where the record tells its length.
+    With `start` and `end`, of those records that begin from the one on and before the other."""
+    size = f.size()
+    at, end = next_record(f, start, size), size if end is None else min(end, size)
+    while at < end:
         f.seek(at)
-        start = f.read(24)
-        packed = start[:2] == b"\x1f\x8b"
-        known = packed and start[3] & 4 and start[12:14] == b"sl"
+        front = f.read(24)
+        packed = front[:2] == _MAGIC[:2]
+        known = packed and front[3] & 4 and front[12:14] == b"sl"
         source = _Inflated(f, at) if packed else f
         if not packed:
             f.seek(at)
-        head = b""
-        while b"\r\n\r\n" not in head:
-            more = source.read(1024)
+        head, seen = bytearray(), 0
+        while head.find(b"\r\n\r\n", max(0, seen - 3)) < 0:
+            seen = len(head)
+            more = source.read(1024 + seen)
             if not more:
                 break
             head += more
+        head = bytes(head)
         if not head.strip():
             at = source.end() if packed else at + max(1, len(head))
             continue
@@ -127,7 +182,7 @@ def records(f, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], bytes |
             if len(body) < length:
                 body += source.read(length - len(body))
         if known:
-            at += struct.unpack("<I", start[16:20])[0]
+            at += struct.unpack("<I", front[16:20])[0]
         else:
             at = source.end() if packed else at + len(raw) + 4 + length + 4
         if want:
@@ -136,13 +191,15 @@ def records(f, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], bytes |
 
 @dataclass
 class Files(InputPartition):
-    paths: tuple[str, ...]
+    #: path, start and end of each part; an end of None is the file's
+    parts: tuple[tuple[str, int, int | None], ...]
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.payloads = options["path"], str(options.get("payload", "true")).lower() == "true"
         self.most, self.tests = int(options.get("partitionBytes", PARTITION_BYTES)), []
+        self.split = int(options.get("splitBytes", 0))
 
     def pushFilters(self, filters):  # noqa: N802
         """Takes the predicates on header columns that it can apply to them; gives back the others."""
@@ -163,11 +220,14 @@ class WarcReader(DataSourceReader):
         found = sorted((f for f in found if f.type == fs.FileType.File and f.path.endswith((".warc", ".warc.gz")) and not f.base_name.startswith(("_", "."))), key=lambda f: f.path)
         out, held, total = [], [], 0
         for f in found:
-            if held and total + f.size > self.most:
-                out.append(Files(tuple(held)))
-                held, total = [], 0
-            held.append(f.path)
-            total += f.size
+            step = self.split or f.size or 1
+            for at in range(0, max(f.size, 1), step):
+                size = min(step, f.size - at)
+                if held and total + size > self.most:
+                    out.append(Files(tuple(held)))
+                    held, total = [], 0
+                held.append((f.path, at, None if at + step >= f.size else at + step))
+                total += size
         return out + [Files(tuple(held))] if held or not out else out
 
     def wanted(self, headers: dict[str, str]) -> bool:
@@ -189,9 +249,9 @@ class WarcReader(DataSourceReader):
     def read(self, partition):
         store, _ = _open_fs(self.path)
         rows, held = [], 0
-        for path in partition.paths:
+        for path, start, end in partition.parts:
             with store.open_input_file(path) as f:
-                for headers, body in records(f, self.wanted, self.payloads):
+                for headers, body in records(f, self.wanted, self.payloads, start, end):
                     full = headers.get("x-payload-length", headers.get("content-length"))
                     rows.append((*(headers.get(h) for h in HEADERS.values()), None if full is None else int(full), body))
                     held += len(body or b"") + 200
@@ -208,7 +268,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    """Writes rows of SCHEMA; files get their names when all tasks are done, so a lost task leaves none."""
+    """Writes rows of SCHEMA; files get their names when all tasks are done, so a lost task leaves none. Rows come one
+    at a time, so that a task holds no more than one long payload."""
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite = options["path"], overwrite
@@ -257,7 +318,8 @@ class WarcWriter(DataSourceWriter):
 
 
 class WarcDataSource(DataSource):
-    """format("warc"). Options: path; payload=false leaves payloads unread; compress, fileBytes, partitionBytes."""
+    """format("warc"). Options: path; payload=false leaves payloads unread; compress, fileBytes, partitionBytes;
+    splitBytes cuts larger files, see above."""
 
     @classmethod
     def name(cls):
@@ -274,6 +336,7 @@ class WarcDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the source known to a session and lets Spark push predicates down to Python sources."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
 
@@ -316,12 +379,13 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 def query(pages: DataFrame) -> DataFrame:
     """Writes the pages' archives and reads them back. Lengths and digests of responses are those of the payloads as
-    read, those of revisits stand in their headers."""
-    from clauselake.session import scratch_dir
+    read, those of revisits stand in their headers. Nulls, empty and very long pages, repeated rows, null ids and empty
+    tables as in page_records(); further columns are not read. The archives stay until session.clear()."""
+    from clauselake.session import scratch_path
 
     spark = pages.sparkSession
     register(spark)
-    path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "warc")
     page_records(pages).write.format("warc").mode("append").save(path)
     kind = pages.schema["page_id"].dataType
     number = lambda c: F.nullif(F.regexp_extract(c, rf"^<{_URN}(.*)>$", 1), F.lit("")).cast(kind)

@@ -77,3 +77,47 @@ def test_unwanted_payloads_are_not_read():
     assert [len(b) for _, b in warc.records(Counting(plain), lambda h: True, True)] == [0, 5, 70_000]
     raw = b"".join(warc.record({"WARC-Type": "response"}, b"a" * n) for n in (0, 5, 70_000))
     assert [len(b) for _, b in warc.records(Counting(raw), lambda h: True, True)] == [0, 5, 70_000]
+
+
+def test_long_payloads_take_linear_time():
+    import time
+
+    body = random.Random(1).randbytes(1 << 20) * 100
+    for packed in (warc.gzip_member, gzip.compress):
+        data = packed(warc.record({"WARC-Type": "response"}, body))
+        began = time.time()
+        ((_, got),) = warc.records(Counting(data), lambda h: True, True)
+        assert got == body and time.time() - began < 10
+
+
+def test_lengths_beyond_32_bits(monkeypatch):
+    """A record too long for the extra field goes without it, and is passed over by inflating it."""
+    monkeypatch.setattr(warc, "_LONGEST", 50_000)
+    data = b"".join(warc.gzip_member(warc.record({"WARC-Type": k}, random.Random(n).randbytes(n))) for k, n in (("a", 10), ("b", 90_000), ("c", 20)))
+    assert [(h["warc-type"], len(b)) for h, b in warc.records(Counting(data), lambda h: h["warc-type"] != "b", True)] == [("a", 10), ("c", 20)]
+    assert len(next(b for h, b in warc.records(Counting(data), lambda h: h["warc-type"] == "b", True))) == 90_000
+
+
+@pytest.mark.parametrize("kind", ["sized", "gzip", "plain"])
+def test_parts_of_a_file(kind):
+    """However a file is cut, each record is read once, in the part that it begins in."""
+    r = random.Random(3)
+    pack = {"sized": warc.gzip_member, "gzip": gzip.compress, "plain": bytes}[kind]
+    data = b"".join(pack(warc.record({"WARC-Type": "response", "WARC-Record-ID": str(i)}, r.randbytes(r.randrange(0, 3000)))) for i in range(60))
+    for step in (1, 37, 1000, 5000, len(data) + 1) if kind != "gzip" else (611, 5000):
+        if step == 1:
+            cuts = list(range(0, 400)) + [400]
+        else:
+            cuts = list(range(0, len(data), step))
+        ends = [*cuts[1:], None]
+        got = [int(h["warc-record-id"]) for a, b in zip(cuts, ends, strict=True) for h, _ in warc.records(Counting(data), lambda h: True, False, a, b)]
+        assert got == list(range(60)), (kind, step)
+
+
+def test_split_option(spark, pages, tmp_path):
+    warc.register(spark)
+    path = f"file://{tmp_path}/w"
+    warc.page_records(pages).coalesce(1).write.format("warc").mode("append").save(path)
+    read = spark.read.format("warc").option("partitionBytes", 2000).option("splitBytes", 2000).load(path)
+    assert read.rdd.getNumPartitions() > 1
+    assert sorted(r["record_id"] for r in read.collect()) == sorted(r["record_id"] for r in spark.read.format("warc").load(path).collect())
