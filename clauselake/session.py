@@ -69,12 +69,36 @@ def clear(spark: SparkSession) -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` as a Parquet table in the shared folder and reads it back, which cuts the lineage.
 
-    The files outlive any executor, so a lost one costs a reread and no recomputation.
+    The files outlive any executor, so a lost one costs a reread and no recomputation. The shuffles that made them are
+    deleted when they are written.
     """
+    return written(df, name)[0]
+
+
+#: Tells Spark to delete the files of a query's shuffles when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """materialize() with the path, for discard()."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes written tables that nothing is to read any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
 
 
 def ship(spark: SparkSession) -> None:
