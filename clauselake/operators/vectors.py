@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauselake.session import bounded, materialize
+from clauselake.session import bounded, materialize, ship
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,17 +28,18 @@ def normalized(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
 
 
-#: Queries, and canonical clauses, that are broadcast at most; more queries are dealt into blocks.
-MOST_QUERIES = 10_000
+#: Queries of a block, canonical clauses that are broadcast at most, and corpus rows that meet a block at once.
+MOST_QUERIES, CORPUS_BLOCK = 10_000, 2048
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int, least: float | None = None, same: str | None = None, id_col: str = "vec_id", query_id: str = "query_id") -> DataFrame:
-    """O3: for each query its k nearest corpus rows by exact cosine: query_id, id_col, similarity, rank.
+    """O3: for each query its k nearest corpus rows by exact cosine: query_id, the corpus columns but the vector,
+    similarity, rank.
 
-    Up to MOST_QUERIES queries are broadcast and meet the corpus in one pass, in which each partition keeps k rows a
-    query before the shuffle; more are dealt by the hash of their id into blocks of about half as many, each of which
-    makes a pass and is written. Ties go to the smaller id. `same` names a column that has to agree. Null vectors
-    match nothing.
+    Up to MOST_QUERIES queries are broadcast as one matrix, which meets the corpus in one pass by matrix products; each
+    task keeps k rows a query, and only these are shuffled. More queries are dealt by the hash of their id into blocks of
+    about half as many, each of which makes a pass and is written. Ties go to the smaller id. `same` names a column that
+    has to agree. Null vectors match nothing.
     """
     if queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
         return _nearest(corpus, queries, k, least, same, id_col, query_id)
@@ -48,14 +52,74 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, least: float | None = Non
 
 def _nearest(corpus: DataFrame, queries: DataFrame, k: int, least: float | None, same: str | None, id_col: str, query_id: str) -> DataFrame:
     """knn() for queries that are broadcast at once."""
-    q = queries.select(F.col(query_id), F.col("embedding").alias("__q"), *([F.col(same).alias("__same")] if same else []))
-    j = corpus.where(F.col("embedding").isNotNull()).join(F.broadcast(q), (F.col(same) == F.col("__same")) if same else F.lit(True))
-    sim = dot(F.col("embedding"), F.col("__q"))
-    scored = j.select(query_id, *[c for c in corpus.columns if c != "embedding"], F.bround(sim, 6).alias("similarity"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("similarity"), id_col))).where(F.col("rank") <= k)
+    spark = corpus.sparkSession
+    ship(spark)
+    rows = queries.where(F.col("embedding").isNotNull()).select(query_id, "embedding", *([same] if same else [])).collect()
+    ids = [r[query_id] for r in rows]
+    matrix = np.array([r["embedding"] for r in rows], np.float64)
+    kinds = np.array([r[same] for r in rows], object) if same else None
+    shared = spark.sparkContext.broadcast((matrix, kinds))
+    kept = [c for c in corpus.columns if c != "embedding"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, of = shared.value
+        best = [np.empty((0, 2))] * len(m)  # of each query: similarity and place among the rows held
+        worst = np.full(len(m), -np.inf)  # the similarity that a query's k-th best has so far
+        held: list[pa.RecordBatch] = []
+        base = 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, CORPUS_BLOCK):
+                batch = whole.slice(at, CORPUS_BLOCK)
+                vectors = batch.column(0)
+                x = np.array(vectors.to_pylist(), np.float64)
+                sim = np.round(x @ m.T, 6)
+                own = np.array(batch.column(1).to_pylist())  # ids, for ties
+                if of is not None:
+                    sim[np.array(batch.column(2).to_pylist(), object)[:, None] != of[None, :]] = -np.inf
+                for q in range(len(m)):
+                    column = sim[:, q]
+                    some = np.flatnonzero((column >= worst[q]) & (column > -np.inf))
+                    if len(some):
+                        some = some[np.lexsort((own[some], -column[some]))][:k]
+                        best[q] = np.concatenate([best[q], np.stack([column[some], base + some.astype(float)], 1)])
+                        if len(best[q]) >= k:
+                            worst[q] = np.partition(best[q][:, 0], -k)[-k]
+                held.append(batch.select(range(3 if of is not None else 2, batch.num_columns)))  # the id, then the corpus columns
+                base += batch.num_rows
+                if len(held) >= 16:
+                    held, best, base = _packed(held, best, k)
+        if held and len(m):
+            held, best, base = _packed(held, best, k)
+            table = held[0]
+            place = np.concatenate([b[:, 1] for b in best]).astype(np.int64)
+            number = np.repeat(np.arange(len(m)), [len(b) for b in best])
+            out = table.take(pa.array(place))
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(np.concatenate([b[:, 0] for b in best]), pa.float64()), *out.columns[1:]], ["__q", "similarity", *[f"c{i}" for i in range(len(kept))]])
+
+    source = corpus.where(F.col("embedding").isNotNull()).select("embedding", F.col(id_col).alias("__id"), *([F.col(same).alias("__same")] if same else []), F.col(id_col).alias("__tie"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)])
+    schema = "__q int, similarity double, " + ", ".join(f"c{i} {corpus.schema[c].dataType.simpleString()}" for i, c in enumerate(kept))
+    found = source.mapInArrow(run, schema)
+    names = F.broadcast(spark.createDataFrame(list(enumerate(ids)), f"__q int, `{query_id}` {queries.schema[query_id].dataType.simpleString()}"))
+    out = found.join(names, "__q").select(query_id, *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "similarity")
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("similarity"), id_col))).where(F.col("rank") <= k)
     return ranked if least is None else ranked.where(F.col("similarity") >= least)
 
 
+def _packed(held: list[pa.RecordBatch], best: list[np.ndarray], k: int) -> tuple[list[pa.RecordBatch], list[np.ndarray], int]:
+    """The rows that some query still holds, as one batch, and what each query holds of them: its k best."""
+    table = pa.Table.from_batches(held).combine_chunks()
+    ids = np.array(table.column(0).to_pylist())
+    for q, b in enumerate(best):
+        at = b[:, 1].astype(np.int64)
+        best[q] = b[np.lexsort((ids[at], -b[:, 0]))][:k] if len(b) else b
+    used = np.unique(np.concatenate([np.empty(0), *[b[:, 1] for b in best]]).astype(np.int64))
+    rows = table.take(pa.array(used))
+    for b in best:
+        b[:, 1] = np.searchsorted(used, b[:, 1].astype(np.int64))
+    batches = rows.combine_chunks().to_batches()
+    return batches or [pa.RecordBatch.from_pylist([], schema=rows.schema)], best, len(used)
+
+
 def centroids(vectors: DataFrame, group: str = "label") -> DataFrame:
     """A32, long form: the mean of each component for each group."""
     return vectors.select(group, F.posexplode("embedding").alias("pos", "x")).groupBy(group, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
