@@ -95,6 +95,7 @@ def hybrid_merge(primary: DataFrame, semantic: DataFrame, keys: tuple[str, ...]
         F.max("score").alias("p_score"),
         F.max(severity_rank(F.col("severity"))).alias("p_rank"),
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "keyword"))), lambda x: x["keyword"]).alias("p_words"),
+        F.min("ord").alias("p_ord"),
     )
     s = semantic.select(*keys, F.col("snippet").alias("s_snippet"), F.col("score").alias("s_score"), severity_rank(F.col("severity")).alias("s_rank"), F.col("keyword").alias("s_word"), "similarity")
     j = p.join(s, list(keys), "full_outer")
@@ -111,6 +112,8 @@ def hybrid_merge(primary: DataFrame, semantic: DataFrame, keys: tuple[str, ...]
         F.element_at(F.array(*map(F.lit, packs.SEVERITIES)), rank.cast("int")).alias("severity"),
         F.concat_ws("|", kept).alias("keywords"),
         F.concat_ws("+", F.when(F.col("p_score").isNotNull(), "regex"), F.when(F.col("s_score").isNotNull(), "semantic")).alias("source"),
+        "similarity",
+        F.col("p_ord").alias("ord"),
     )
 
 
@@ -142,14 +145,15 @@ def unlike(sets: list[list[str]], threshold: float) -> list[int]:
     return list(held)
 
 
-def greedy_dedup(risks: DataFrame, group: str, order: str, severity: str = "severity", body: str = "snippet", threshold: float = 0.7) -> DataFrame:
+def greedy_dedup(risks: DataFrame, group: str | tuple[str, ...], order: str, severity: str = "severity", body: str = "snippet", threshold: float = 0.7) -> DataFrame:
     """Of each group's risks, by severity downward and then `order`, those whose words are not similar to those of
     one kept before: Jaccard similarity of lower-case word sets below the threshold. Empty sets are never duplicates.
 
     One shuffle brings a group's risks together; the fold takes all of them in one row. A group is a document's findings.
     """
     ship(risks.sparkSession)
-    listed = risks.groupBy(F.col(group).alias("__g")).agg(F.collect_list(F.struct(*risks.columns)).alias("risks"))
+    keys = (group,) if isinstance(group, str) else group
+    listed = risks.groupBy(F.struct(*keys).alias("__g")).agg(F.collect_list(F.struct(*risks.columns)).alias("risks"))
     # words have no white space in them, and one string a set is read faster than an array
     words = lambda x: F.array_join(F.array_distinct(text.words(F.lower(F.coalesce(x[body], F.lit(""))))), " ")
     item = lambda x, i: F.struct((-severity_rank(x[severity])).alias("s"), x[order].alias("o"), words(x).alias("w"), i.alias("i"))
@@ -172,7 +176,7 @@ def greedy_dedup(risks: DataFrame, group: str, order: str, severity: str = "seve
 def escalate(risks: DataFrame, group: tuple[str, ...] = ("doc_id", "clause_idx")) -> DataFrame:
     """In clauses with a High risk and two categories, Medium becomes High and gains 0.05; marked by `escalated`."""
     w = Window.partitionBy(*group)
-    cross = (F.count_if(F.col("severity") == "High").over(w) >= 1) & (F.size(F.collect_set("risk_type").over(w)) >= 2)
+    cross = (F.count_if(F.col("severity") == "High").over(w) >= 1) & (F.min("risk_type").over(w) != F.max("risk_type").over(w))
     hit = cross & (F.col("severity") == "Medium")
     return risks.withColumns({"escalated": hit, "severity": F.when(hit, "High").otherwise(F.col("severity")), "score": F.when(hit, F.least(F.lit(1.0), F.bround(F.col("score") + 0.05, 3))).otherwise(F.col("score"))})
 
@@ -220,26 +224,120 @@ def clause_offsets(sections: DataFrame) -> DataFrame:
     return sections.withColumn("offset", F.coalesce(F.sum(F.coalesce(F.col("max_idx") + 1, F.lit(0))).over(w), F.lit(0)))
 
 
-LAYERS = ("regex", "semantic")
-
-
-def analyze(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layers: tuple[str, ...] = ("regex",), semantic: DataFrame | None = None) -> DataFrame:
-    """Clauses, finds, de-duplication, escalation, scores, in that order: one row for each risk that is left.
-
-    Layers are chosen when the plan is built; unknown ones are an error. The semantic layer takes its finds (doc_id,
-    clause_idx, risk_type, severity, score, similarity, keyword, snippet) from the caller.
+LAYERS = ("regex", "ml", "semantic", "merge")
+
+
+def ml_finds(classified: DataFrame) -> DataFrame:
+    """What a classifier says of clauses (doc_id, clause_idx, risk_type, severity, confidence) as finds: the score is the
+    mean of the severity's confidence and the classifier's."""
+    base = F.lit(0.55)
+    for severity, c in packs.CONFIDENCE.items():
+        base = F.when(F.col("severity") == severity, c).otherwise(base)
+    source = F.when(F.col("confidence") >= 0.75, "ml_strong").otherwise("ml_weak")
+    return classified.withColumns({"score": F.bround(0.5 * base + 0.5 * F.col("confidence"), 3), "source": source})
+
+
+def _concatenated(primary: DataFrame, semantic: DataFrame | None) -> DataFrame:
+    """Finds in order: the primary ones and then the semantic ones."""
+    if semantic is None:
+        return primary
+    return primary.unionByName(semantic)
+
+
+def _merged(primary: DataFrame, semantic: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """hybrid_merge() of the documents that have finds of both kinds; the finds of others are as they were."""
+    p, s = (x.select(*keys).distinct() for x in (primary, semantic))
+    both = p.join(s, list(keys), "left_semi")
+    of = lambda x, how: x.join(both, list(keys), how)
+    m = hybrid_merge(of(primary, "left_semi"), of(semantic, "left_semi"), (*keys, "clause_idx", "risk_type"))
+    # of a merged find the semantic order counts only where there is no primary one
+    own = of(semantic, "left_semi").select(*keys, "clause_idx", "risk_type", F.col("ord").alias("s_ord"))
+    m = m.join(own, [*keys, "clause_idx", "risk_type"], "left").withColumn("ord", F.coalesce("ord", "s_ord"))
+    first = of(primary, "left_semi").groupBy(*keys, "clause_idx", "risk_type").agg(F.min_by("source", "ord").alias("own"))
+    m = m.join(first, [*keys, "clause_idx", "risk_type"], "left")
+    m = m.withColumn("source", F.when(F.col("source") == "regex+semantic", "both").when(F.col("source") == "semantic", "semantic").otherwise(F.col("own")))
+    m = m.select(*primary.columns[: len(keys)], "clause_idx", "risk_type", "severity", "score", "similarity", "source", "snippet", F.split("keywords", r"\|").alias("words"), "ord")
+    rest = of(primary, "left_anti").unionByName(of(semantic, "left_anti"))
+    return m.unionByName(rest.withColumn("words", F.array_compact(F.array("keyword"))).drop("keyword"))
+
+
+def analyze_clauses(clauses: DataFrame, layers: tuple[str, ...] | None = None, classified: DataFrame | None = None, semantic: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id",), threshold: float | None = 0.7) -> DataFrame:
+    """R8 from clauses (keys, clause_idx, clause) on: a row for each risk that is left, with its rank by score in `rank`.
+
+    Without `layers` all of them are on: the classifier's finds are the primary ones where there are any to give, else
+    the rules'. Named layers run each by itself; an unknown one is an error, none at all leave nothing. `classified`
+    holds what a classifier says (keys, clause_idx, risk_type, severity, confidence), `semantic` similar clauses (keys,
+    clause_idx, risk_type, severity, score, similarity, keyword, snippet), one a clause and category. A layer whose finds
+    are not given finds nothing. "merge" joins both kinds where a document has both, and escalates. `threshold` is that of
+    greedy_dedup(); with None nothing is taken for a copy.
     """
-    if unknown := set(layers) - set(LAYERS):
+    if layers is not None and (unknown := set(layers) - set(LAYERS)):
         raise ValueError(f"unknown layers: {sorted(unknown)}")
+    active = set(LAYERS if layers is None else layers)
+    if layers is None:
+        active -= {"regex"} if classified is not None else {"ml"}
+    named = [*keys, "clause_idx", "risk_type", "severity", "score", "similarity", "source", "snippet", "keyword", "ord"]
+    none = F.lit(None).cast("double")
+    place = F.col("clause_idx") * 1_000_000
+    rules = rule_scan(clauses.where(F.lit("regex" in active)))
+    primary = rules.withColumns({"similarity": none, "ord": F.lit(1 << 60) + place + F.col("rule_ord") * 1000 + F.col("match_ord")}).select(*named)
+    if "ml" in active and classified is not None:
+        body = clauses.select(*keys, "clause_idx", text.snippet(F.col("clause")).alias("snippet"))
+        found = ml_finds(classified).join(body, [*keys, "clause_idx"])
+        # the classifier's finds stand before the rules', in the order of categories
+        of = F.array_position(F.array(*map(F.lit, packs.RULES)), F.col("risk_type"))
+        primary = primary.unionByName(found.withColumns({"similarity": none, "keyword": F.lit(None).cast("string"), "ord": place + of}).select(*named))
+    similar = None
+    if "semantic" in active and semantic is not None:
+        of = F.array_position(F.array(*map(F.lit, packs.RULES)), F.col("risk_type"))
+        similar = semantic.withColumns({"source": F.lit("semantic"), "ord": F.lit(1 << 61) + place + of}).select(*named)
+    if "merge" in active and similar is not None:
+        found = _merged(primary, similar, keys)
+    else:
+        found = _concatenated(primary, similar).withColumn("words", F.array_compact(F.array("keyword"))).drop("keyword")
+    if threshold is not None:
+        found = greedy_dedup(found, keys, "ord", threshold=threshold)
+    found = escalate(found, (*keys, "clause_idx")) if "merge" in active else found.withColumn("escalated", F.lit(False))
+    from clauselake.operators import extract
+
+    out = extract.explained(finalize(found), "words").withColumnRenamed("why", "explanation")
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score100"), "ord")))
+
+
+def analyze(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layers: tuple[str, ...] | None = None, classifier=None, semantic=None) -> DataFrame:
+    """Clauses, finds, merge, de-duplication, escalation, scores and explanations of each document.
+
+    `classifier` and `semantic` are functions that take the clauses (doc_id, clause_idx, clause) and give the tables that
+    analyze_clauses() takes, or such tables. A null or empty text has no clauses.
+    """
     clauses = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(text.clauses(F.col(text_col))).alias("clause_idx", "clause"))
-    found = None
-    if "regex" in layers:
-        found = rule_scan(clauses).select("doc_id", "clause_idx", "risk_type", "severity", "score", F.lit(None).cast("double").alias("similarity"), "source", "snippet", "explanation", "keyword", (F.col("rule_ord") * 1000 + F.col("match_ord")).alias("o"))
-    if "semantic" in layers:
-        if semantic is None:
-            raise ValueError("the semantic layer needs its finds")
-        s = semantic.select("doc_id", "clause_idx", "risk_type", "severity", "score", "similarity", F.lit("semantic").alias("source"), "snippet", F.lit("").alias("explanation"), "keyword", F.lit(1_000_000).alias("o"))
-        found = s if found is None else found.unionByName(s)
-    found = found.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("clause_idx", "o")))
-    left = greedy_dedup(found, "doc_id", "ord")
-    return finalize(escalate(left)).drop("o")
+    given = [f(clauses) if callable(f) else f for f in (classifier, semantic)]
+    return analyze_clauses(clauses, layers, *given)
+
+
+def analyze_document(docs: DataFrame, layers: tuple[str, ...] | None = None, threshold: float = 0.7, **sections: int) -> DataFrame:
+    """Each section of a document (doc_id, text) is analyzed by itself; clause numbers go on from section to section;
+    a last de-duplication takes the whole document, and `rank` its scores. `section` is the header, null without one."""
+    from clauselake.functions import chunking
+
+    cut = chunking.section_documents(docs, **sections)
+    clauses = cut.select("doc_id", "sec", F.posexplode(text.clauses(F.col("text"))).alias("clause_idx", "clause"))
+    found = analyze_clauses(clauses, layers, keys=("doc_id", "sec"), threshold=threshold)
+    top = found.groupBy("doc_id", "sec").agg(F.max("clause_idx").alias("max_idx"))
+    starts = clause_offsets(cut.select("doc_id", "sec").join(top, ["doc_id", "sec"], "left")).select("doc_id", "sec", "offset")
+    heads = cut.select("doc_id", "sec", F.nullif(F.col("header"), F.lit("")).alias("section"))
+    j = found.join(starts, ["doc_id", "sec"]).join(heads, ["doc_id", "sec"])
+    j = j.withColumns({"clause_idx": F.col("clause_idx") + F.col("offset"), "place": F.col("sec") * 1_000_000 + F.col("rank")}).drop("offset", "rank")
+    left = greedy_dedup(j.withColumn("level", F.col("severity")).withColumn("severity", F.col("band")), "doc_id", "place", threshold=threshold)
+    return left.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score100"), "place"))).drop("place", "level")
+
+
+def shown(risks: DataFrame, chosen: str = "all") -> DataFrame:
+    """F8: the risks of a chosen band; all of them for "all"."""
+    return risks if chosen == "all" else risks.where(F.col("band") == chosen)
+
+
+def by_severity(risks: DataFrame, keys: tuple[str, ...], order: str = "ord") -> DataFrame:
+    """The risks of each paragraph with `place`, by severity downward and then in their order."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(severity_rank(F.col("severity"))), order)
+    return risks.withColumn("place", F.row_number().over(w))

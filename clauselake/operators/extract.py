@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.functions import packs, text
-from clauselake.session import bounded
+from clauselake.session import ship
 
 # Evidence for each boolean field, as patterns over a sentence; written from the meaning of the fields.
 EVIDENCE: dict[str, dict[str, str]] = {
@@ -65,7 +65,7 @@ def as_record(extracted: DataFrame, clause_type: str) -> DataFrame:
 
 def prompts(clauses: DataFrame, templates: DataFrame, body: str = "clause") -> DataFrame:
     """Each clause with its type's system prompt and template filled in. templates: clause_type, system, template."""
-    j = clauses.join(bounded(templates, 1000, "prompt templates"), "clause_type", "left")
+    j = clauses.join(templates, "clause_type", "left")
     return j.withColumn("prompt", F.replace("template", F.lit("{clause_text}"), F.coalesce(F.col(body), F.lit("")))).drop("template")
 
 
@@ -107,57 +107,103 @@ def validated(record: dict | None, clause: str, expected: set[str], marks: tuple
     return {k: v for k, v in checked(record).items() if k in expected}
 
 
-def extract_with(clauses: DataFrame, backend: Callable[[str], str], expected: set[str], id_col: str = "chunk_id", body: str = "clause", tries: int = 3) -> DataFrame:
-    """id_col, data, ok, by a back end that answers a prompt with text. It runs in the workers and may fail;
-    after `tries` failures data is null. Control characters are taken out of the clause first."""
+class RateLimited(Exception):
+    """A back end's refusal that no further try mends; it ends the job."""
 
-    def one(clause: str | None) -> str | None:
-        for _ in range(tries):
+
+def extract_with(clauses: DataFrame, backend: Callable[[str], str], expected: set[str], id_col: str = "chunk_id", body: str = "clause", tries: int = 3, wait: float = 1.0, marks: tuple[str, ...] = (), threshold: int = 5, recovery: float = 30.0) -> DataFrame:
+    """id_col, data, ok, by a back end that answers a prompt with text. It runs in the workers and may fail; it is
+    tried again after `wait`, 2 * `wait`, ... seconds, and after `tries` failures data is null. A worker that has seen
+    `threshold` failures in a row leaves the back end alone for `recovery` seconds, in which data is null. RateLimited
+    is raised on. Control characters are taken out of the clause first; answers that repeat one of `marks` are void."""
+    import time
+
+    from clauselake.streaming.state import Breaker
+
+    ship(clauses.sparkSession)
+
+    def one(clause: str | None, breaker: Breaker) -> str | None:
+        for k in range(tries):
+            if breaker.state == "open" and time.monotonic() - breaker.since < recovery:
+                return None
+            record = None
             try:
-                record = validated(json_of(backend(clause or "")), clause or "", expected)
-            except Exception:  # noqa: BLE001, S112  a back end may raise anything
-                continue
+                record = validated(json_of(backend(clause or "")), clause or "", expected, marks)
+            except RateLimited:
+                raise
+            except Exception:  # noqa: BLE001, S110  a back end may raise anything
+                pass
+            breaker.call(time.monotonic(), record is not None)
             if record is not None:
                 return json.dumps(record, sort_keys=True)
+            if k + 1 < tries:
+                time.sleep(wait * 2**k)
         return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        breaker = Breaker(threshold, recovery)
         for b in batches:
-            data = [one(c) for c in b["clause"]]
+            data = [one(c, breaker) for c in b["clause"]]
             yield pd.DataFrame({"id": b["id"], "data": data, "ok": [x is not None for x in data]})
 
     source = clauses.select(F.col(id_col).alias("id"), text.sanitized(F.col(body)).alias("clause"))
     return source.mapInPandas(run, f"id {source.schema['id'].dataType.simpleString()}, data string, ok boolean").withColumnRenamed("id", id_col)
 
 
-# Keys and texts of explanations, by category; an empty key is the default. Written for this package.
-TEMPLATES: list[tuple[str, str, str]] = [
-    ("Liability Risk", "indemnif", "One side pays for the other's losses."),
-    ("Liability Risk", "harmless", "One side gives up claims against the other."),
-    ("Liability Risk", "warrant", "What is promised about quality is limited."),
-    ("Liability Risk", "", "Who pays for harm is set here."),
-    ("Financial Risk", "renew", "The contract goes on unless someone stops it."),
-    ("Financial Risk", "penalt", "A breach costs a fixed amount."),
-    ("Financial Risk", "", "Money is owed under this clause."),
-    ("Compliance Risk", "sanction", "Trade limits apply."),
-    ("Compliance Risk", "", "Outside rules apply."),
-    ("Privacy/Data Risk", "third", "Data may go to others."),
-    ("Privacy/Data Risk", "", "Personal data is handled."),
-    ("Contractual Ambiguity", "discretion", "One side decides alone."),
-    ("Contractual Ambiguity", "", "A term is open."),
-]
-
-
-def explained(risks: DataFrame) -> DataFrame:
+# Strings that choose an explanation, by category, in the order in which they are looked for.
+KEYS = {
+    "Liability Risk": ("indemnif", "hold harmless", "make whole", "unlimited", "as-is", "as is", "liquidated damages", "force majeure", "consequential", "warranty", "waive", "aggregate liability"),
+    "Compliance Risk": ("gdpr", "hipaa", "ccpa", "sox", "pci", "anti-bribery", "fcpa", "sanction", "export control", "must comply", "applicable law", "regulatory", "license", "industry standard"),
+    "Privacy/Data Risk": ("personal data", "pii", "sell", "monetize", "share", "third part", "data breach", "breach", "biometric", "track", "cookie", "collect", "retain", "transfer", "encrypt", "opt-out"),
+    "Financial Risk": ("automatic renew", "auto-renew", "non-refundable", "early termination", "penalty", "interest", "unilateral", "change", "minimum", "cancellation fee", "setoff", "escrow", "currency"),
+    "Contractual Ambiguity": ("sole discretion", "absolute discretion", "discretion", "at any time", "deem", "reasonable", "including but not limited to", "without limitation", "material", "from time to time", "good faith", "continued use", "customary", "generally accepted"),
+}
+#: What a category's findings are about, in this package's own words.
+_ABOUT = {
+    "Liability Risk": "who pays for harm, and how much",
+    "Compliance Risk": "rules from outside that the parties have to keep",
+    "Privacy/Data Risk": "what happens to personal data",
+    "Financial Risk": "money that is owed or may become due",
+    "Contractual Ambiguity": "a term that one side may read its own way",
+}
+#: Category, key and text of each explanation; an empty key is the default.
+TEMPLATES: list[tuple[str, str, str]] = [(t, k, f"With '{k}' it settles {_ABOUT[t]}." if k else f"It touches on {_ABOUT[t]}.") for t, ks in KEYS.items() for k in (*ks, "")]
+
+
+def explained(risks: DataFrame, keywords: str = "keywords") -> DataFrame:
     """`why`: the severity, the text of the category's first key that the snippet has, up to three keywords that
     it has as evidence, and where the finding comes from; weak semantic finds say so in front."""
     low = F.lower("snippet")
     body = F.lit(None).cast("string")
-    for t, key, said in reversed(TEMPLATES):
-        body = F.when((F.col("risk_type") == t) & (F.contains(low, F.lit(key)) if key else F.lit(True)), said).otherwise(body)
-    evidence = F.slice(F.filter("keywords", lambda k: F.contains(F.lower("snippet"), F.lower(k))), 1, 3)
+    for t in KEYS:
+        held = F.lit(None).cast("string")
+        for _, key, said in reversed([x for x in TEMPLATES if x[0] == t]):
+            held = F.when(F.contains(low, F.lit(key)), said).otherwise(held) if key else F.lit(said)
+        body = F.when(F.col("risk_type") == t, held).otherwise(body)
+    evidence = F.slice(F.filter(keywords, lambda k: F.contains(low, F.lower(k))), 1, 3)
     weak = (F.col("source") == "semantic") & (F.coalesce("similarity", F.lit(0.0)) < 0.55)
     front = F.when(weak, "Possible match: ").otherwise(F.concat("severity", F.lit(" risk: ")))
     shown = F.when(F.size(evidence) > 0, F.concat(F.lit(" Evidence: "), F.array_join(evidence, ", "), F.lit("."))).otherwise("")
     behind = F.when(F.col("source") == "both", " Found by rule and by similarity.").when(F.col("source") == "semantic", " Found by similarity.").otherwise("")
     return risks.withColumn("why", F.concat(front, F.coalesce(body, F.lit("A risk.")), shown, behind))
+
+
+def user_field(record: str, field: str, clause_type: str):
+    """A field of a user's record, by the path that its type registers, else by its name."""
+    path = dict([*packs.BOOL_FIELDS.get(clause_type, []), *packs.CATEGORY_FIELDS.get(clause_type, [])]).get(field, f"$.{field}")
+    return F.get_json_object(F.col(record), path)
+
+
+REDLINES = "struct<suggestions:array<struct<original_text:string,proposed_text:string,justification:string,market_citation:string,risk_addressed:string,priority:string>>,summary:string>"
+
+
+def redlines(answers: DataFrame, keys: tuple[str, ...], answer: str = "answer") -> DataFrame:
+    """A row for each usable suggestion in a model's JSON answers, in their order; a clause whose answer has none
+    keeps one row with its summary, and one whose answer is no JSON says that it failed."""
+    read = answers.withColumn("__r", F.from_json(F.col(answer), REDLINES))
+    usable = F.filter(F.coalesce("__r.suggestions", F.array().cast("array<struct<original_text:string,proposed_text:string,justification:string,market_citation:string,risk_addressed:string,priority:string>>")), lambda s: s.isNotNull() & ((F.coalesce(s["original_text"], F.lit("")) != "") | (F.coalesce(s["proposed_text"], F.lit("")) != "")))
+    failed = F.col("__r").isNull() | (F.col("__r.suggestions").isNull() & F.col("__r.summary").isNull())
+    summary = F.when(failed, "Redline generation failed. Please try again.").otherwise(F.coalesce("__r.summary", F.lit("")))
+    out = read.select(*keys, summary.alias("summary"), F.posexplode_outer(usable).alias("ord", "s"))
+    said = lambda c, d="": F.coalesce(F.nullif(F.col(f"s.{c}"), F.lit("")), F.lit(d))
+    return out.select(*keys, "summary", "ord", said("original_text").alias("original"), said("proposed_text").alias("proposed"), said("justification").alias("justification"), said("market_citation").alias("citation"), said("risk_addressed").alias("risk"), said("priority", "medium").alias("priority"))

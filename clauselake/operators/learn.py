@@ -76,8 +76,8 @@ def dataset_stats(examples: DataFrame) -> DataFrame:
 
 
 def tuning_pairs(clauses: DataFrame, instruction: str) -> DataFrame:
-    """M7, M8: instruction, input and output of each clause that has a record, and the same as one chat text."""
-    rows = clauses.where(F.col("data").isNotNull()).select("clause_type", F.lit(instruction).alias("instruction"), F.col("clause").alias("input"), F.col("data").alias("output"))
+    """M7, M8: instruction, input and output of each clause that has a text and a record, and the same as one chat text."""
+    rows = clauses.where(F.col("data").isNotNull() & F.col("clause").isNotNull()).select("clause_type", F.lit(instruction).alias("instruction"), F.col("clause").alias("input"), F.col("data").alias("output"))
     return rows.withColumn("chat", F.format_string("<|user|>\n%s\n\n%s\n<|assistant|>\n%s", "instruction", "input", "output"))
 
 
