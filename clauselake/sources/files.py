@@ -114,10 +114,12 @@ def polite(fetch: Callable[[str, int], dict], least_gap: float = 0.1, tries: int
 
 
 class PagedSearchReader(DataSourceReader):
-    """A partition for each query; pages are asked for until one is empty."""
+    """A partition for each query; pages are asked for, not faster than politeness allows, until so many in a row
+    are empty."""
 
     def __init__(self, options: dict):
         self.folder, self.queries = options["path"], json.loads(options["queries"])
+        self.gap, self.empty, self.page = float(options.get("leastGap", 0.1)), int(options.get("emptyPages", 1)), int(options.get("pageSize", 100))
 
     def partitions(self):
         return [SearchQuery(i, q) for i, q in enumerate(self.queries)]
@@ -134,15 +136,18 @@ class PagedSearchReader(DataSourceReader):
             with store.open_input_stream(path) as f:
                 return json.loads(f.read())
 
-        get, start = polite(fetch, least_gap=0.0), 0
-        while hits := get(partition.text, start)["hits"]:
+        get, start, empty = polite(fetch, least_gap=self.gap), 0, 0
+        while empty < self.empty:
+            hits = get(partition.text, start)["hits"]
+            empty = 0 if hits else empty + 1
             for i, h in enumerate(hits):
                 yield partition.ord, start + i, h.get("id"), h.get("file_type"), json.dumps(h)
-            start += len(hits)
+            start += len(hits) or self.page
 
 
 class PagedSearch(DataSource):
-    """format("paged_search"): saved answers of a paged search service. Options: path, queries (a JSON list)."""
+    """format("paged_search"): saved answers of a paged search service. Options: path, queries (a JSON list),
+    leastGap (seconds), emptyPages, pageSize."""
 
     @classmethod
     def name(cls):

@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Tags that break a line, and tags whose content is not shown.
 _BREAKS = frozenset(("br", "p", "div", "tr", "li", "h1", "h2", "h3", "h4"))
 _HIDDEN = frozenset(("script", "style"))
 
 
 class _Text(HTMLParser):
-    """Collects what is shown; block tags begin a line."""
+    """Collects what is shown; block tags begin and end a line."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -28,8 +29,10 @@ class _Text(HTMLParser):
             self.shown.append("\n")
 
     def handle_endtag(self, tag):
-        if tag in _HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
+        if tag in _BREAKS:
+            self.shown.append("\n")
+        elif tag in _HIDDEN and self.hidden:
+            self.hidden -= 1
 
     def handle_data(self, data):
         if not self.hidden:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clauselake.session import materialize, sized
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
     """K1-K3: `old` with the rows of `new` in place of those with equal keys; of new rows with equal keys the one of
@@ -65,11 +67,21 @@ def accepted_exhibits(docs: DataFrame, text: str = "text", least: int = 2000, mo
     return docs.where((F.length(t) >= least) & F.rlike(F.left(t, F.lit(5000)), F.lit("(?iu)" + pattern))).withColumn(text, F.left(t, F.lit(most)))
 
 
-def numbered(new: DataFrame, known: DataFrame, order: str, key: str = "accession", prefix: str = "edgar_") -> DataFrame:
-    """New rows that are not known yet, with ids that go on from the number of known ones."""
+def numbered(new: DataFrame, known: DataFrame, order: str, key: str = "accession", prefix: str = "edgar_", target: int | None = None) -> DataFrame:
+    """New rows that are not known yet, with ids that go on from the number of known ones; with `target`, the
+    first ones, until there are so many in all. Rows are ranked by ranges of `order`, not in one task."""
     left = missing(new, known, key)
     n = known.count()
-    return left.withColumn("contract_id", F.format_string(prefix + "%04d", (F.row_number().over(Window.orderBy(order)) + n).cast("int")))
+    at = F.monotonically_increasing_id()
+    dealt = left.repartitionByRange(order).sortWithinPartitions(order)
+    placed = materialize(dealt.withColumns({"__pid": F.shiftright(at, 33), "__idx": at.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    counts = placed.groupBy("__pid").agg((F.max("__idx") + 1).alias("__n"))  # a row for a partition
+    starts = counts.select("__pid", F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    rank = F.col("__start") + F.col("__idx") + 1
+    out = placed.join(sized(starts, "numbered-starts"), "__pid").withColumn("__rank", rank + n)
+    if target is not None:
+        out = out.where(F.col("__rank") <= target)
+    return out.withColumn("contract_id", F.format_string(prefix + "%04d", F.col("__rank"))).drop("__pid", "__idx", "__start", "__rank")
 
 
 def upload_problem(filename: Column, size: Column, magic: Column) -> Column:
@@ -92,3 +104,38 @@ def html_text(html: Column) -> Column:
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
         t = F.replace(t, F.lit(a), F.lit(b))
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+def ingest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], version: str):
+    """ST6: the query that writes a stream of rows into the table at `path`, each key once, in its highest version.
+
+    Each batch is merged with the table as it stands and written beside it as the next generation; a batch that is run
+    again after a failure writes the same generation. current() reads the newest one. Old generations are deleted two
+    batches later, so that a reader of the last one is not cut off.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = current(spark, path, number - 1)
+        newest = batch.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version)))).where("__n = 1").drop("__n")
+        if before is not None:
+            old = before.select(*keys, F.col(version).alias("__old"))
+            newest = newest.join(old, keys, "left").where(F.col("__old").isNull() | (F.col(version) >= F.col("__old"))).drop("__old").select(batch.columns)
+            newest = before.join(newest.select(*keys), keys, "left_anti").unionByName(newest)
+        newest.write.mode("overwrite").parquet(f"{path}/generation={number}")
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation={number - 2}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def current(spark, path: str, number: int | None = None) -> DataFrame | None:
+    """The newest whole generation that ingest() has written at `path`, up to `number`; None if there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    found = [s.getPath() for s in fs.listStatus(p)]
+    whole = [int(f.getName().split("=")[1]) for f in found if f.getName().startswith("generation=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    whole = [n for n in whole if number is None or n <= number]
+    return spark.read.parquet(f"{path}/generation={max(whole)}") if whole else None

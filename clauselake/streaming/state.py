@@ -46,6 +46,11 @@ def rolling_budget(events: DataFrame, client: str, ts: str, tokens: str, seconds
     return out.withColumn("over", F.col("used") > budget).drop("__s")
 
 
+def token_valid(issued: Column, now: Column, lives: str = "1 hour") -> Column:
+    """ST9: whether a token is still valid."""
+    return issued + F.expr(f"INTERVAL {lives}") > now
+
+
 def latency_histogram(events: DataFrame, key: str, value: str, bounds: tuple[float, ...] = BUCKETS) -> DataFrame:
     """ST5, long form: by key, how many values are at or below each bound; a null bound counts all."""
     counts = events.groupBy(key).agg(*[F.count_if(F.col(value) <= b).alias(f"b{i}") for i, b in enumerate(bounds)], F.count(value).alias("all"))
