@@ -31,49 +31,33 @@ def sections_no_loss(spark, d):
     return g.select("doc_id", F.size(w).cast("long").alias("n_words"), F.md5(F.array_join(w, " ").cast("binary")).alias("words_md5"))
 
 
-_LAW = X.Fixture(
-    "chunk_id long, clause_type string, clause string",
-    [
-        (1, "governing_law", "This Agreement shall be governed by the laws of the State of Delaware"),
-        (2, "governing_law", "Disputes are settled by binding arbitration and each party waives any right to trial by jury"),
-        (3, "governing_law", "The prevailing party shall recover attorneys' fees in the courts located in New York"),
-        (4, "liability", "The total liability of either party shall not exceed the fees paid"),
-        (5, "liability", "Neither party is not liable for indirect damages except for fraud; it shall indemnify the other"),
-        (6, "liability", "The goods are sold as is, excluding nothing"),
-        (7, "termination", "Either party may terminate this Agreement for convenience upon 30 days written notice"),
-        (8, "payment", "Invoices are due net 30 and overdue amounts bear interest, fees are non-refundable"),
-        (9, "confidentiality", "Each party shall return or destroy all non-public information after 5 years"),
-        (10, "ip", "Customer owns the work made for hire and Provider hereby assigns it and grants a license"),
-        (11, "ip", None),
-        (12, "payment", ""),
-    ],
-)
-
-
 def _fields_sql(t: str) -> str:
     e = extract.EVIDENCE[t]
     hit = {f: "regexp_matches(coalesce(clause, ''), '(?i)" + p.replace("'", "''") + "')" for f, p in e.items()}
     for f, others in extract.ONLY_WITH.get(t, {}).items():
         hit[f] = f"({hit[f]} AND ({' OR '.join(hit[o] for o in others)}))"
-    return " UNION ALL ".join(f"SELECT chunk_id, '{f}' AS field, {h} AS value FROM {_LAW.sql()} WHERE clause_type = '{t}'" for f, h in hit.items())
+    return " UNION ALL ".join(f"SELECT chunk_id, clause_type, '{f}' AS field, {h} AS value FROM {X.LAWS.sql()} WHERE clause_type = '{t}'" for f, h in hit.items())
+
+
+_FIELDS = " UNION ALL ".join(_fields_sql(t) for t in packs.CLAUSE_TYPES)
 
 
-@query("extract_fields", " UNION ALL ".join(_fields_sql(t) for t in packs.CLAUSE_TYPES))
+@query("extract_fields", f"SELECT chunk_id, field, value FROM ({_FIELDS})")
 def extract_fields(spark, d):
     out = None
     for t in packs.CLAUSE_TYPES:
-        rows = extract.as_record(extract.extract_fields(_LAW.df(spark).where(F.col("clause_type") == t), t), t)
+        rows = extract.as_record(extract.extract_fields(X.LAWS.df(spark, d).where(F.col("clause_type") == t), t), t)
         part = market.unpivot_bools(rows.select("chunk_id", "clause_type", "data")).select("chunk_id", "field", F.col("value"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query("extract_and_benchmark")
+@query("extract_and_benchmark", f"SELECT clause_type, field, count(*) FILTER (value) AS n_true, count(*) FILTER (NOT value) AS n_false, count(value) AS n_total, round_even(100.0 * count(*) FILTER (value) / count(value), 1) AS true_pct FROM ({_FIELDS}) GROUP BY ALL")
 def extract_and_benchmark(spark, d):
     """X5 with the default extractor: each field's share over the extracted clauses of its type."""
     out = None
     for t in packs.CLAUSE_TYPES:
-        rows = extract.as_record(extract.extract_fields(_LAW.df(spark).where(F.col("clause_type") == t), t), t)
+        rows = extract.as_record(extract.extract_fields(X.LAWS.df(spark, d).where(F.col("clause_type") == t), t), t)
         out = rows.select("chunk_id", "clause_type", "data") if out is None else out.unionByName(rows.select("chunk_id", "clause_type", "data"))
     return market.bool_distribution(market.unpivot_bools(out), "clause_type", "field")
 
@@ -81,12 +65,12 @@ def extract_and_benchmark(spark, d):
 _PROMPTS = X.Fixture("clause_type string, system string, template string", [(t, f"Read {t}.", "Clause: {clause_text} End.") for t in packs.CLAUSE_TYPES[:4]])
 
 
-@query("prompt_format", f"SELECT chunk_id, c.clause_type, clause, system, replace(template, '{{clause_text}}', coalesce(clause, '')) AS prompt FROM {_LAW.sql()} c LEFT JOIN {_PROMPTS.sql()} p ON c.clause_type = p.clause_type")
+@query("prompt_format", f"SELECT chunk_id, c.clause_type, clause, system, replace(template, '{{clause_text}}', coalesce(clause, '')) AS prompt FROM {X.LAWS.sql()} c LEFT JOIN {_PROMPTS.sql()} p ON c.clause_type = p.clause_type")
 def prompt_format(spark, d):
-    return extract.prompts(_LAW.df(spark), _PROMPTS.df(spark))
+    return extract.prompts(X.LAWS.df(spark, d), _PROMPTS.df(spark))
 
 
-_EXPLAIN = X.Fixture("id long, risk_type string, severity string, source string, similarity double, snippet string, words string", [(1, "Liability Risk", "High", "regex", None, "We shall INDEMNIFY you and hold harmless", "indemnify|Hold Harmless|absent"), (2, "Liability Risk", "Low", "both", 0.7, "nothing of it", "x"), (3, "Financial Risk", "Medium", "semantic", 0.5, "it will renew with a penalty", "renew|penalty|it|will"), (4, "Unknown", "Medium", "semantic", 0.6, "s", ""), (5, "Contractual Ambiguity", "High", "regex", None, "at its discretion", "discretion")])
+_EXPLAIN = X.Derived("documents", id="doc_id", risk_type=X.pick(X.part("doc_id", 2), *extract.KEYS, "Unknown"), severity=X.pick(X.part("doc_id", 3), "High", "Medium", "Low"), source=X.pick("doc_id", "regex", "semantic", "both"), similarity=f"CASE WHEN doc_id % 3 > 0 THEN {X.share('40 + doc_id % 50', 100)} END", snippet="concat(coalesce(text, ''), ' ', " + X.pick(X.part("doc_id", 2), *(" ".join(("We", k, "you")) for ks in extract.KEYS.values() for k in ks)) + ")", words="concat(" + X.pick(X.part("doc_id", 5), "We|YOU|absent", "you", "", "x y z|it") + ", '|you')")
 
 
 def _explained_sql() -> str:
@@ -97,14 +81,14 @@ def _explained_sql() -> str:
 
 @query("explanations", _explained_sql())
 def explanations(spark, d):
-    return extract.explained(_EXPLAIN.df(spark).withColumn("keywords", F.filter(F.split("words", r"\|"), lambda w: w != ""))).select("id", "why")
+    return extract.explained(_EXPLAIN.df(spark, d).withColumn("keywords", F.filter(F.split("words", r"\|"), lambda w: w != ""))).select("id", "why")
 
 
 @query("response_rollup", f"WITH c AS (SELECT doc_id, count(*) AS total_risks, count(*) FILTER (severity = 'High') AS n_high, count(*) FILTER (severity = 'Medium') AS n_medium, count(*) FILTER (severity = 'Low') AS n_low, count(DISTINCT risk_type) AS n_types FROM {X.RISKS.sql()} GROUP BY 1) SELECT *, CASE WHEN n_high >= 2 THEN 'review' WHEN n_high = 1 THEN 'check' ELSE 'fine' END AS advice FROM c")
 def response_rollup(spark, d):
     """Counts by severity for each document, and advice by the number of high ones."""
     c = [F.count_if(F.col("severity") == s).alias(f"n_{s.lower()}") for s in ("High", "Medium", "Low")]
-    g = X.RISKS.df(spark).groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_risks"), *c, F.count_distinct("risk_type").alias("n_types"))
+    g = X.RISKS.df(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_risks"), *c, F.count_distinct("risk_type").alias("n_types"))
     return g.withColumn("advice", F.when(F.col("n_high") >= 2, "review").when(F.col("n_high") == 1, "check").otherwise("fine"))
 
 
@@ -129,9 +113,9 @@ def dataset_stats(spark, d):
     return learn.dataset_stats(learn.generated_examples(spark, _TEMPLATES, {"party": ["A", "B", "C"], "other": ["X", "Y"]}, 4))
 
 
-@query("tuning_pairs", f"SELECT e.clause_type, 'Extract.' AS instruction, c.clause AS input, e.data AS output, '<|user|>' || chr(10) || 'Extract.' || chr(10) || chr(10) || c.clause || chr(10) || '<|assistant|>' || chr(10) || e.data AS chat FROM {X.EXTRACTIONS.sql()} e JOIN {_LAW.sql()} c USING (chunk_id) WHERE e.data IS NOT NULL")
+@query("tuning_pairs", f"SELECT e.clause_type, 'Extract.' AS instruction, c.clause AS input, e.data AS output, '<|user|>' || chr(10) || 'Extract.' || chr(10) || chr(10) || c.clause || chr(10) || '<|assistant|>' || chr(10) || e.data AS chat FROM {X.EXTRACTIONS.sql()} e JOIN {X.LAWS.sql()} c USING (chunk_id) WHERE e.data IS NOT NULL AND c.clause IS NOT NULL")
 def tuning_pairs(spark, d):
-    j = X.EXTRACTIONS.df(spark).join(_LAW.df(spark).select("chunk_id", "clause"), "chunk_id")
+    j = X.EXTRACTIONS.df(spark, d).join(X.LAWS.df(spark, d).select("chunk_id", "clause"), "chunk_id")
     return learn.tuning_pairs(j, "Extract.")
 
 
@@ -159,3 +143,12 @@ def classifier_metrics(spark, d):
     scored = model.transform(rows.where("held_out").select("quality", array_to_vector("embedding").alias("features")))
     c = scored.select((F.col("quality") == 1).alias("t"), (F.col("prediction") == 1).alias("p")).agg(F.count_if(F.col("t") & F.col("p")).alias("tp"), F.count_if(~F.col("t") & F.col("p")).alias("fp"), F.count_if(F.col("t") & ~F.col("p")).alias("fn"), F.count_if(~F.col("t") & ~F.col("p")).alias("tn"), F.count(F.lit(1)).alias("total"))
     return evaluate.field_metrics(c)
+
+
+@query("compare_contracts")
+def compare_contracts(spark, d):
+    """X9 with the default extractor: neighbouring clauses of one type as the contracts of a group."""
+    from clauselake.operators import compare
+
+    laws = X.LAWS.df(spark, d).where("clause_type = 'payment'").select(F.floor(F.col("chunk_id") / 24).alias("grp"), F.col("chunk_id").alias("ord"), F.concat(F.lit("c"), F.col("chunk_id").cast("string")).alias("name"), "clause")
+    return compare.compare_contracts(laws, "payment")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clauselake.functions import packs, text
-from clauselake.operators import detect
+from clauselake.operators import detect, passages
 from clauselake.plans import fixtures as X
 from clauselake.plans.catalog import query
-from clauselake.session import bounded, table
+from clauselake.session import table
 
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '\r\n|\r', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 _SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace({t}, '\b(Mr|Mrs|Ms|Dr|Prof|Sr|Jr|vs|etc|i\.e|e\.g|Inc|Ltd|Corp|Co|No|Sec|Art)\.', '\1' || chr(1), 'g'), '([.!?])\s+([A-Z0-9"])', '\1' || chr(2) || '\2', 'g'), chr(2)), lambda s: regexp_replace(replace(s, chr(1), '.'), '^\s+|\s+$', '', 'g')), lambda s: s <> '')"""
@@ -43,7 +43,7 @@ p AS (SELECT *, CASE WHEN regexp_matches(t, '[a-z)]\\.(\\s|$)') THEN length(rege
 SELECT id, CASE WHEN n > 0 AND n <= 60 THEN left(t, n) WHEN length(t) <= 60 THEN t ELSE regexp_replace(left(t, 60), '\\s+$', '') || '…' END AS label FROM p
 """)
 def section_label(spark, d):
-    return X.LINES.df(spark).select("id", text.label(F.col("line")).alias("label"))
+    return X.LINES.df(spark, d).select("id", text.label(F.col("line")).alias("label"))
 
 
 @query("word_windows", f"WITH w AS (SELECT doc_id, {_WORDS.format(t='text')} AS w FROM documents) SELECT doc_id, i AS window_no, array_to_string(w[i * 50 + 1 : i * 50 + 50], ' ') AS part FROM (SELECT *, unnest(range(0, CAST(ceil(len(w) / 50.0) AS BIGINT))) AS i FROM w WHERE len(w) > 0)")
@@ -63,7 +63,7 @@ def size_limits(spark, d):
 
 @query("snippets", f"SELECT id, CASE WHEN length(text) <= 300 THEN text ELSE left(text, 297) || '...' END AS s300, CASE WHEN length(text) <= 280 THEN text ELSE left(text, 277) || '...' END AS s280 FROM {X.SNIPPETS.sql()}")
 def snippets(spark, d):
-    return X.SNIPPETS.df(spark).select("id", text.snippet(F.col("text")).alias("s300"), text.snippet(F.col("text"), 280).alias("s280"))
+    return X.SNIPPETS.df(spark, d).select("id", text.snippet(F.col("text")).alias("s300"), text.snippet(F.col("text"), 280).alias("s280"))
 
 
 def _type_sql(t: str) -> str:
@@ -75,7 +75,7 @@ def _type_sql(t: str) -> str:
 
 @query("classify_clauses", f"SELECT doc_id, clause_idx, {_type_sql('clause')} AS clause_type FROM {X.CLAUSES.sql()}")
 def classify_clauses(spark, d):
-    return X.CLAUSES.df(spark).select("doc_id", "clause_idx", text.clause_type(F.col("clause")).alias("clause_type"))
+    return X.CLAUSES.df(spark, d).select("doc_id", "clause_idx", text.clause_type(F.col("clause")).alias("clause_type"))
 
 
 @query("classify_chunk", f"SELECT doc_id, {_type_sql('text')} AS clause_type FROM documents")
@@ -85,13 +85,14 @@ def classify_chunk(spark, d):
 
 @query("resolved_type", f"SELECT doc_id, clause_idx, requested, CASE WHEN requested <> 'auto' THEN requested ELSE coalesce(nullif({_type_sql('clause')}, 'other'), 'liability') END AS resolved FROM {X.CLAUSES.sql()}, (VALUES ('auto'), ('payment')) r(requested)")
 def resolved_type(spark, d):
-    c = X.CLAUSES.df(spark).withColumn("requested", F.explode(F.array(F.lit("auto"), F.lit("payment"))))
+    c = X.CLAUSES.df(spark, d).withColumn("requested", F.explode(F.array(F.lit("auto"), F.lit("payment"))))
     return c.select("doc_id", "clause_idx", "requested", text.resolved_type(F.col("clause"), F.col("requested")).alias("resolved"))
 
 
 @query("chunk_histogram", f"WITH t AS (SELECT lang, {_type_sql('text')} AS clause_type FROM documents) SELECT lang, clause_type, count(*) AS n FROM t GROUP BY ALL")
 def chunk_histogram(spark, d):
-    return classify_chunk(spark, d).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang", "clause_type").agg(F.count(F.lit(1)).alias("n"))
+    docs = table(spark, d, "documents").select("lang", text.clause_type(F.col("text")).alias("clause_type"))
+    return docs.groupBy("lang", "clause_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _scan_sql(source: str, columns: str, body: str) -> str:
@@ -114,7 +115,7 @@ _BOOST = r"least(1.0, len(regexp_extract_all(lower(body), '\b' || regexp_escape(
 
 @query("rule_scan", f"WITH f AS ({_scan_sql(X.CLAUSES.sql(), 'doc_id, clause_idx', 'clause')}), k AS (SELECT * EXCLUDE (found, m), m AS keyword FROM (SELECT *, unnest(found) AS m FROM f)) SELECT doc_id, clause_idx, rule_ord, risk_type, severity, keyword, round_even(least(1.0, base + {_BOOST} * 0.15), 3) AS score FROM k")
 def rule_scan(spark, d):
-    return detect.rule_scan(X.CLAUSES.df(spark)).select("doc_id", "clause_idx", "rule_ord", "risk_type", "severity", "keyword", "score")
+    return detect.rule_scan(X.CLAUSES.df(spark, d)).select("doc_id", "clause_idx", "rule_ord", "risk_type", "severity", "keyword", "score")
 
 
 @query("rule_scan_documents", f"WITH f AS ({_scan_sql('documents', 'doc_id', 'text')}) SELECT doc_id, rule_ord, count(*) AS n FROM (SELECT doc_id, rule_ord, unnest(found) AS m FROM f) GROUP BY ALL")
@@ -134,7 +135,7 @@ SELECT clause_idx, risk_type, coalesce(ps, ss) AS snippet, CASE WHEN b THEN roun
   CASE WHEN b THEN 'regex+semantic' WHEN pc IS NOT NULL THEN 'regex' ELSE 'semantic' END AS source FROM k
 """)
 def hybrid_merge(spark, d):
-    return detect.hybrid_merge(X.MERGE_PRIMARY.df(spark), X.MERGE_SEMANTIC.df(spark))
+    return detect.hybrid_merge(X.MERGE_PRIMARY.df(spark, d), X.MERGE_SEMANTIC.df(spark, d)).drop("similarity", "ord")
 
 
 _ESC = f"(SELECT *, severity = 'Medium' AND count(*) FILTER (severity = 'High') OVER w >= 1 AND (SELECT count(DISTINCT risk_type) FROM {X.RISKS.sql()} r2 WHERE r2.doc_id = r.doc_id AND r2.clause_idx = r.clause_idx) >= 2 AS escalated FROM {X.RISKS.sql()} r WINDOW w AS (PARTITION BY doc_id, clause_idx))"
@@ -143,7 +144,7 @@ _ESC2 = f"(SELECT doc_id, clause_idx, ord, risk_type, source, similarity, escala
 
 @query("escalate", f"SELECT ord, severity, score, escalated FROM {_ESC2}")
 def escalate(spark, d):
-    return detect.escalate(X.RISKS.df(spark)).select("ord", "severity", "score", "escalated")
+    return detect.escalate(X.RISKS.df(spark, d)).select("ord", "severity", "score", "escalated")
 
 
 def _weight(f: str) -> str:
@@ -162,26 +163,26 @@ _FEATURES = ", ".join(f"f_{x}" for x in packs.FEATURES)
 
 @query("finalize_score", _final_sql(_ESC2) + f'SELECT ord, "primary", {_FEATURES}, score100, CASE WHEN score100 >= 70 THEN \'High\' WHEN score100 >= 40 THEN \'Medium\' ELSE \'Low\' END AS band FROM s')
 def finalize_score(spark, d):
-    return detect.finalize(detect.escalate(X.RISKS.df(spark))).select("ord", "primary", *[f"f_{x}" for x in packs.FEATURES], "score100", "band")
+    return detect.finalize(detect.escalate(X.RISKS.df(spark, d))).select("ord", "primary", *[f"f_{x}" for x in packs.FEATURES], "score100", "band")
 
 
-_DOC_IDS = X.Fixture("doc_id long", [(1,), (2,), (3,), (9,)])
+_DOC_IDS = X.Derived("customer", doc_id="c_custkey")
 
 
 @query("overall_risk", _final_sql(_ESC2) + f", t AS (SELECT doc_id, round_even(avg(score100), 0)::INT AS m FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score100 DESC) AS r FROM s) WHERE r <= 3 GROUP BY 1) SELECT doc_id, coalesce(m, 0) AS overall_score, CASE WHEN m IS NULL THEN 'Low' WHEN m >= 70 THEN 'High' WHEN m >= 40 THEN 'Medium' ELSE 'Low' END AS overall_level FROM {_DOC_IDS.sql()} LEFT JOIN t USING (doc_id)")
 def overall_risk(spark, d):
-    return detect.overall_risk(_DOC_IDS.df(spark), detect.finalize(detect.escalate(X.RISKS.df(spark))))
+    return detect.overall_risk(_DOC_IDS.df(spark, d), detect.finalize(detect.escalate(X.RISKS.df(spark, d))))
 
 
 @query("risk_summary", _final_sql(_ESC2) + "SELECT doc_id, risk_type, count(*) AS n, count(*) FILTER (score100 >= 70) AS n_high FROM s GROUP BY ALL")
 def risk_summary(spark, d):
-    r = detect.finalize(detect.escalate(X.RISKS.df(spark)))
+    r = detect.finalize(detect.escalate(X.RISKS.df(spark, d)))
     return r.groupBy("doc_id", "risk_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score100") >= 70).alias("n_high"))
 
 
 @query("clause_offsets", f"SELECT doc_id, sec, coalesce(sum(coalesce(max_idx + 1, 0)) OVER (PARTITION BY doc_id ORDER BY sec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS clause_offset FROM {X.SECTIONS.sql()}")
 def clause_offsets(spark, d):
-    return detect.clause_offsets(X.SECTIONS.df(spark)).select("doc_id", "sec", F.col("offset").alias("clause_offset"))
+    return detect.clause_offsets(X.SECTIONS.df(spark, d)).select("doc_id", "sec", F.col("offset").alias("clause_offset"))
 
 
 @query("merge_sections", f"""
@@ -193,15 +194,77 @@ def merge_sections(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("doc_id").orderBy("sec")
-    g = X.SECTIONS.df(spark).withColumn("part", F.greatest(F.lit(1), F.sum((F.col("words") >= 40).cast("long")).over(w)))
+    g = X.SECTIONS.df(spark, d).withColumn("part", F.greatest(F.lit(1), F.sum((F.col("words") >= 40).cast("long")).over(w)))
     return g.groupBy("doc_id", "part").agg(F.sum("words").alias("words"), F.min("sec").alias("first_sec"))
 
 
 @query("analyze_regex")
 def analyze_regex(spark, d):
-    """R8, T11 on the fixture's documents: the fold of A20 depends on order, which SQL does not express."""
-    docs = X.CLAUSES.df(spark).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("clause_idx", "clause"))), lambda x: x["clause"]), " ").alias("text"))
-    return detect.analyze(docs).select("doc_id", "clause_idx", "risk_type", "score100", "band", "keyword", "snippet")
+    """R8 on all documents: the fold of A20 depends on order, which SQL does not express."""
+    return detect.analyze(X.CLAUSES.df(spark, d).withColumnRenamed("clause", "text")).select("doc_id", "clause_idx", "risk_type", "score100", "band", F.col("words").alias("keywords"), "snippet", "explanation", "rank")
+
+
+@query("analyze_document")
+def analyze_document(spark, d):
+    """T11 on all documents, section by section."""
+    docs = X.CLAUSES.df(spark, d).select("doc_id", F.col("clause").alias("text"))
+    return detect.analyze_document(docs, least=20, most=100).select("doc_id", "section", "clause_idx", "risk_type", "score100", "band", "rank")
+
+
+_HITS = f"(WITH f AS ({_scan_sql(X.CLAUSES.sql(), 'doc_id, clause_idx', 'clause')}), k AS (SELECT * EXCLUDE (found, m), m AS keyword FROM (SELECT *, unnest(found) AS m FROM f)) SELECT doc_id, clause_idx, risk_type, severity, round_even(least(1.0, base + {_BOOST} * 0.15), 3) AS score FROM k)"
+_RANK = "CASE severity WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END"
+_ANALYSIS = f"""
+WITH k AS {_HITS}, m AS {X.SEMANTIC.sql()},
+both_ids AS (SELECT doc_id FROM k INTERSECT SELECT doc_id FROM m),
+kp AS (SELECT doc_id, clause_idx, risk_type, max(score) AS pc, max({_RANK}) AS pr FROM k WHERE doc_id IN (FROM both_ids) GROUP BY ALL),
+ms AS (SELECT doc_id, clause_idx, risk_type, score AS sc, {_RANK} AS sr, similarity FROM m WHERE doc_id IN (FROM both_ids)),
+j AS (SELECT * FROM kp FULL JOIN ms USING (doc_id, clause_idx, risk_type)),
+u AS (
+  SELECT doc_id, clause_idx, risk_type, CASE WHEN pc IS NOT NULL AND sc IS NOT NULL THEN round_even(least(1.0, 0.55 * pc + 0.45 * sc + 0.08), 3) ELSE coalesce(pc, sc) END AS score,
+    ['Low', 'Medium', 'High'][CASE WHEN pc IS NOT NULL AND sc >= 0.65 AND pr = 2 THEN 3 ELSE coalesce(pr, sr) END] AS severity,
+    CASE WHEN pc IS NOT NULL AND sc IS NOT NULL THEN 'both' WHEN pc IS NOT NULL THEN 'regex' ELSE 'semantic' END AS source, similarity FROM j
+  UNION ALL SELECT doc_id, clause_idx, risk_type, score, severity, 'regex', NULL FROM k WHERE doc_id NOT IN (FROM both_ids)
+  UNION ALL SELECT doc_id, clause_idx, risk_type, score, severity, 'semantic', similarity FROM m WHERE doc_id NOT IN (FROM both_ids)),
+e AS (SELECT *, severity = 'Medium' AND count(*) FILTER (severity = 'High') OVER w >= 1 AND min(risk_type) OVER w <> max(risk_type) OVER w AS escalated FROM u WINDOW w AS (PARTITION BY doc_id, clause_idx)),
+x AS (SELECT doc_id, clause_idx, risk_type, source, similarity, escalated, CASE WHEN escalated THEN 'High' ELSE severity END AS severity, CASE WHEN escalated THEN least(1.0, round_even(score + 0.05, 3)) ELSE score END AS score FROM e),
+"""
+
+
+@query("analyze_merge", _ANALYSIS + _final_sql("x").removeprefix("WITH ") + "SELECT doc_id, clause_idx, risk_type, source, escalated, score100, CASE WHEN score100 >= 70 THEN 'High' WHEN score100 >= 40 THEN 'Medium' ELSE 'Low' END AS band FROM s")
+def analyze_merge(spark, d):
+    """R8 with rules, similar clauses and their merge, without the fold, on all documents."""
+    found = detect.analyze_clauses(X.CLAUSES.df(spark, d), ("regex", "semantic", "merge"), semantic=X.SEMANTIC.df(spark, d), threshold=None)
+    return found.select("doc_id", "clause_idx", "risk_type", "source", "escalated", "score100", "band")
+
+
+_ML = f"(SELECT doc_id, clause_idx, risk_type, severity, confidence, round_even(0.5::DOUBLE * CASE severity WHEN 'Low' THEN 0.45 WHEN 'Medium' THEN 0.65 ELSE 0.85 END + 0.5::DOUBLE * confidence, 3) AS score, CASE WHEN confidence >= 0.75 THEN 'ml_strong' ELSE 'ml_weak' END AS source FROM {X.CLASSIFIED.sql()})"
+
+
+@query("ml_finds", f"SELECT * FROM {_ML}")
+def ml_finds(spark, d):
+    """R4."""
+    return detect.ml_finds(X.CLASSIFIED.df(spark, d))
+
+
+@query("analyze_ml", "WITH y AS (SELECT *, FALSE AS escalated, NULL::DOUBLE AS similarity FROM " + _ML + "), " + _final_sql("y").removeprefix("WITH ") + 'SELECT doc_id, clause_idx, risk_type, source, score100, row_number() OVER (PARTITION BY doc_id ORDER BY score100 DESC)::INT AS rank FROM s')
+def analyze_ml(spark, d):
+    """R8 with the classifier alone: its layer, scores and order (O1)."""
+    found = detect.analyze_clauses(X.CLAUSES.df(spark, d), ("ml",), classified=X.CLASSIFIED.df(spark, d), threshold=None)
+    return found.select("doc_id", "clause_idx", "risk_type", "source", "score100", "rank")
+
+
+@query("visible_risks", _final_sql(_ESC2) + "SELECT ord, chosen FROM s, (VALUES ('all'), ('High'), ('Low')) c(chosen) WHERE chosen = 'all' OR chosen = CASE WHEN score100 >= 70 THEN 'High' WHEN score100 >= 40 THEN 'Medium' ELSE 'Low' END")
+def visible_risks(spark, d):
+    """F8 for three choices."""
+    risks = detect.finalize(detect.escalate(X.RISKS.df(spark, d)))
+    parts = [detect.shown(risks, c).select("ord", F.lit(c).alias("chosen")) for c in ("all", "High", "Low")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("risks_by_severity", f"SELECT doc_id, clause_idx, ord, row_number() OVER (PARTITION BY doc_id, clause_idx ORDER BY {_RANK} DESC, ord)::INT AS place FROM {X.RISKS.sql()}")
+def risks_by_severity(spark, d):
+    """O7."""
+    return detect.by_severity(X.RISKS.df(spark, d), ("doc_id", "clause_idx")).select("doc_id", "clause_idx", "ord", "place")
 
 
 @query("greedy_dedup")
@@ -216,7 +279,7 @@ _FLAGS = ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{n}' END" f
 
 @query("injection_flags", f"SELECT id, nullif(array_to_string(list_filter([{_FLAGS}], lambda x: x IS NOT NULL), ','), '') AS flags, length(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f\\x{{200b}}\\x{{200c}}\\x{{200d}}\\x{{2060}}\\x{{feff}}]', '', 'g')) AS n_clean FROM {X.INPUTS.sql()}")
 def injection_flags(spark, d):
-    i = X.INPUTS.df(spark)
+    i = X.INPUTS.df(spark, d)
     return i.select("id", F.nullif(F.array_join(text.injection_flags(F.col("text")), ","), F.lit("")).alias("flags"), F.length(text.sanitized(F.col("text"))).cast("long").alias("n_clean"))
 
 
@@ -248,12 +311,10 @@ SELECT item_id, doc_id, coalesce(min(para_idx) FILTER (contains(lower(para), nee
 FROM p JOIN n ON contains(lower(para), short) GROUP BY ALL HAVING coalesce(min(para_idx) FILTER (contains(lower(para), needle)), min(para_idx) FILTER (length(short) >= 10 AND contains(lower(para), short))) IS NOT NULL
 """)
 def risk_paragraph_match(spark, d):
-    """The first paragraph that has a passage's first 60 characters, else its first 30.
-
-    The passages are a stated set of a few hundred; they are broadcast and meet each paragraph once.
-    """
-    p = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("para_idx", "para")).select("doc_id", "para_idx", F.lower("para").alias("para"))
+    """The first paragraph that has a passage's first 60 characters, else its first 30."""
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
     n = table(spark, d, "benchmark").select("item_id", F.lower(F.left("text", F.lit(60))).alias("needle"), F.lower(F.left("text", F.lit(30))).alias("short"))
-    j = p.join(bounded(n, 100_000, "passages"), F.contains("para", "short"))
+    some = passages.containing(docs, n, "doc_id", "low", "item_id", "short")
+    p = some.select("item_id", "doc_id", "needle", "short", F.posexplode(F.split("low", "\n")).alias("para_idx", "para")).where(F.contains("para", "short"))
     first = F.coalesce(F.min(F.when(F.contains("para", "needle"), F.col("para_idx"))), F.min(F.when((F.length("short") >= 10), F.col("para_idx"))))
-    return j.groupBy("item_id", "doc_id").agg(first.cast("long").alias("para_idx")).where("para_idx IS NOT NULL")
+    return p.groupBy("item_id", "doc_id").agg(first.cast("long").alias("para_idx")).where("para_idx IS NOT NULL")
