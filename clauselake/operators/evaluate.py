@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def join_predictions(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Each truth row with its last prediction (by ord), as columns p_*; p_found tells whether one succeeded."""
+    """Each truth row with its last prediction (by ord), as columns p_*; p_found tells whether one succeeded. A
+    prediction without an id goes by its chunk_id, where there is that column."""
+    if "chunk_id" in predicted.columns:
+        predicted = predicted.withColumn("id", F.coalesce("id", "chunk_id")).drop("chunk_id")
     last = predicted.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("ord")))).where("__n = 1")
     cols = [c for c in predicted.columns if c not in ("id", "ord", "failed")]
     p = last.select("id", (~F.col("failed")).alias("p_found"), *[F.col(c).alias(f"p_{c}") for c in cols])
@@ -108,13 +111,41 @@ def detection_recall(found: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def marginal(summary: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """What the second config of each pair adds to the first: risks, percent (null where the first has none),
-    recall in percentage points."""
+    """What the second config of each pair adds to the first: risks, percent (infinite where the first has none),
+    recall in percentage points. A config that found nothing is in no summary and counts as zero."""
     spark = summary.sparkSession
     p = spark.createDataFrame(pairs, "base string, enhanced string")
     a, b = (summary.select(F.col("config").alias(k), F.col("n_risks").alias(f"{k}_n"), F.col("recall").alias(f"{k}_r")) for k in ("base", "enhanced"))
-    j = p.join(a, "base").join(b, "enhanced")
-    return j.select("base", "enhanced", (F.col("enhanced_n") - F.col("base_n")).alias("delta"), F.bround(F.try_divide(100.0 * (F.col("enhanced_n") - F.col("base_n")), "base_n"), 1).alias("delta_pct"), F.bround(100 * (F.col("enhanced_r") - F.col("base_r")), 1).alias("recall_pp"))
+    j = p.join(a, "base", "left").join(b, "enhanced", "left").na.fill(0)
+    delta = F.col("enhanced_n") - F.col("base_n")
+    pct = F.when(F.col("base_n") > 0, F.bround(F.try_divide(100.0 * delta, "base_n"), 1)).when(delta > 0, float("inf")).otherwise(0.0)
+    return j.select("base", "enhanced", delta.alias("delta"), pct.alias("delta_pct"), F.bround(100 * (F.col("enhanced_r") - F.col("base_r")), 1).alias("recall_pp"))
+
+
+def best_config(summary: DataFrame, order: list[str]) -> DataFrame:
+    """The config of highest recall, the first of `order` where several have it."""
+    at = F.array_position(F.array(*map(F.lit, order)), F.col("config"))
+    return summary.where(at > 0).orderBy(F.desc("recall"), at).limit(1).select("config", "recall")
+
+
+def category_breakdown(found: DataFrame, categories: tuple[str, ...], severities: tuple[str, ...] = ("High", "Medium", "Low")) -> DataFrame:
+    """A28 by config: how many finds each severity and category has, zero where it has none, in long form."""
+    kinds = F.array(*[F.struct(F.lit("severity").alias("kind"), F.lit(s).alias("value")) for s in severities], *[F.struct(F.lit("category").alias("kind"), F.lit(c).alias("value")) for c in categories])
+    every = found.select("config").distinct().withColumn("k", F.explode(kinds)).select("config", "k.kind", "k.value")
+    long = found.select("config", F.explode(F.array(F.struct(F.lit("severity").alias("kind"), F.col("severity").alias("value")), F.struct(F.lit("category").alias("kind"), F.col("category").alias("value")))).alias("k"))
+    n = long.select("config", "k.kind", "k.value").groupBy("config", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    return every.join(n, ["config", "kind", "value"], "left").na.fill(0, ["n"])
+
+
+def eval_summary(joined: DataFrame, metrics: DataFrame, core: list[str], grounding_col: str | None = None) -> DataFrame:
+    """Macro F1 over the counted core fields and over all, the share of examples with a prediction, the average
+    grounding, and whether the core reaches 0.75."""
+    counted = metrics.where("total > 0")
+    mean = lambda c: F.bround(F.coalesce(F.avg(F.when(c, F.col("f1"))), F.lit(0.0)), 3)
+    f1 = counted.agg(mean(F.col("field").isin(*core)).alias("macro_f1_core"), mean(F.lit(True)).alias("macro_f1_all"))
+    g = F.avg(grounding_col) if grounding_col else F.lit(None).cast("double")
+    rate = joined.agg(F.bround(F.avg(F.col("p_found").cast("double")), 3).alias("success_rate"), F.bround(g, 3).alias("avg_grounding"))
+    return f1.join(F.broadcast(rate), F.lit(True)).withColumn("passed", F.col("macro_f1_core") >= 0.75)
 
 
 def path_compare(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -125,13 +156,19 @@ def path_compare(left: DataFrame, right: DataFrame) -> DataFrame:
     return j.groupBy("clause").agg(F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("both"), F.count_if(F.col("r").isNull()).alias("only_left"), F.count_if(F.col("l").isNull()).alias("only_right"))
 
 
-def example_f1(long: DataFrame) -> DataFrame:
+def example_f1(long: DataFrame, *keys: str) -> DataFrame:
     """Precision, recall and F1 over the flattened booleans of each example; a missing prediction of a false
-    field counts nothing. long: id, field, truth, pred."""
+    field counts nothing. long: keys, id, field, truth, pred."""
     t, p = F.coalesce("truth", F.lit(False)), F.col("pred")
     tp, fp, fn = F.count_if(t & F.coalesce(p, F.lit(False))), F.count_if(~t & F.coalesce(p, F.lit(False))), F.count_if(t & ~F.coalesce(p, F.lit(False)))
-    g = long.groupBy("id").agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
-    return g.select("id", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
+    g = long.groupBy(*keys, "id").agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    return g.select(*keys, "id", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
+
+
+def model_comparison(long: DataFrame, keys: tuple[str, ...] = ("backend", "clause_type")) -> DataFrame:
+    """M9: how many examples each back end has of each type, and its mean precision, recall and F1 over them."""
+    each = example_f1(long, *keys)
+    return each.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def classifier_decision(probs: DataFrame, gate: float = 0.55) -> DataFrame:

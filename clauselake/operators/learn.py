@@ -59,11 +59,22 @@ def stratified_split(rows: DataFrame, key: str, label: str, share: float = 0.2,
     return rows.withColumn("held_out", F.percent_rank().over(w) >= 1 - share)
 
 
-def generated_examples(spark, templates: list[tuple[str, str, str]], slots: dict[str, list[str]], copies: int = 3, seed: int = 42) -> DataFrame:
-    """M6: labelled texts from templates (category, severity, text with {slot}s), each in `copies` versions whose slot
-    values are chosen by hash."""
-    t = spark.createDataFrame([(i, *x) for i, x in enumerate(templates)], "template long, category string, severity string, text string")
-    out = t.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+def generated_examples(spark, templates: list[tuple[str, str, str]], slots: dict[str, list[str]], copies: int = 3, seed: int = 42, negatives: list[str] = (), swaps: int = 0, both: list[tuple[list[tuple[str, str]], str]] = ()) -> DataFrame:
+    """M6: labelled texts (category, severity, text, source) from templates (category, severity, text with {slot}s), each in
+    `copies` versions whose slot values are chosen by hash; texts without a category, `swaps` of them once more with
+    the names of the first slot exchanged; and texts with several labels, a row for each label and variant."""
+    rows = [(i, c, s, t, "template" if c else "negative") for i, (c, s, t) in enumerate(templates)]
+    rows += [(1_000_000 + i, None, None, t, "negative") for i, t in enumerate(negatives)]
+    t = spark.createDataFrame(rows, "template long, category string, severity string, text string, source string")
+    out = t.withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.col("template") < 1_000_000, copies - 1).otherwise(0))))
+    for i, (labels, body) in enumerate(both):
+        extra = spark.createDataFrame([(2_000_000 + i, c, s, body, "multi") for c, s in labels], t.schema)
+        out = out.unionByName(extra.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))))
+    if swaps and slots:
+        name = sorted(slots)[0]
+        again = [(3_000_000 + k, None, None, negatives[k % len(negatives)].replace("{" + name + "}", "{__swap}"), "swapped") for k in range(swaps if negatives else 0)]
+        out = out.unionByName(spark.createDataFrame(again, t.schema).withColumn("copy", F.lit(0)))
+        slots = slots | {"__swap": slots[name][::-1]}
     for name, values in sorted(slots.items()):
         pick = F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64("template", "copy", F.lit(name), F.lit(seed)), F.lit(len(values))) + 1).cast("int"))
         out = out.withColumn("text", F.replace("text", F.lit("{" + name + "}"), pick))
@@ -71,8 +82,53 @@ def generated_examples(spark, templates: list[tuple[str, str, str]], slots: dict
 
 
 def dataset_stats(examples: DataFrame) -> DataFrame:
-    """Examples by category and severity; those without a category are negatives."""
-    return examples.groupBy(F.coalesce("category", F.lit("none")).alias("category"), F.coalesce("severity", F.lit("none")).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+    """Examples by category and severity, and by source where they have one; those without a category are negatives."""
+    return examples.groupBy(*(["source"] if "source" in examples.columns else []), F.coalesce("category", F.lit("none")).alias("category"), F.coalesce("severity", F.lit("none")).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def load_bundle(path: str) -> dict | None:
+    """A classifier's coefficients from a JSON file; None where there is none to read, so that rules take its place."""
+    import json
+
+    try:
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+    except (OSError, ValueError):
+        return None
+    return found if isinstance(found, dict) and found else None
+
+
+def classify_clauses(rows: DataFrame, bundle: dict | None, keys: tuple[str, ...] = ("doc_id", "clause_idx"), gate: float = 0.55) -> DataFrame | None:
+    """M3: what a softmax for each category says of `rows` (keys, embedding): keys, risk_type, severity, confidence and
+    risk_probability where the latter, 1 less that of "None", reaches the gate. The severity is the likeliest of the
+    others, the first of the category's classes where several are. Without a bundle there is no classifier: None.
+
+    bundle: by category {"classes": names, "coef": a row of weights for each, "intercept": a number for each}.
+    """
+    if bundle is None:
+        return None
+    ship(rows.sparkSession)
+    models = [(c, b["classes"], np.array(b["coef"], float), np.array(b["intercept"], float)) for c, b in bundle.items()]
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            out: list[list[dict]] = [[] for _ in range(len(b))]
+            known = [i for i, v in enumerate(b) if v is not None]
+            x = np.array([b.iloc[i] for i in known], float).reshape(len(known), -1)
+            for name, classes, coef, intercept in models if known else []:
+                z = x @ coef.T + intercept
+                p = np.exp(z - z.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                none = classes.index("None")
+                others = [k for k in range(len(classes)) if k != none]
+                for i, row in zip(known, p, strict=True):
+                    if round(1 - row[none], 6) >= gate:
+                        best = max(others, key=lambda k: row[k])
+                        out[i].append({"risk_type": name, "severity": classes[best], "confidence": round(float(row[best]), 3), "risk_probability": round(float(1 - row[none]), 3)})
+            yield pd.Series(out)
+
+    said = F.pandas_udf(run, "array<struct<risk_type:string,severity:string,confidence:double,risk_probability:double>>")
+    return rows.select(*keys, F.explode(said("embedding")).alias("f")).select(*keys, "f.*")
 
 
 def tuning_pairs(clauses: DataFrame, instruction: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauselake.functions import packs
@@ -80,3 +80,41 @@ def market_context(dist: DataFrame, clause_type: str) -> DataFrame:
     """One text with a line for each field's share, in order of fields."""
     line = F.concat(F.lit("- "), "field", F.lit(": "), F.format_string("%.1f", "true_pct"), F.lit("% of "), F.col("n_total").cast("string"))
     return dist.where(F.col("clause_type") == clause_type).groupBy("clause_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("field", line.alias("l")))), lambda x: x["l"]), "\n").alias("context"))
+
+
+def coverage_report(covered: DataFrame) -> DataFrame:
+    """A10: coverage() with its share as text, N/A for a type without chunks."""
+    share = F.when(F.col("n_chunks") == 0, "N/A").otherwise(F.format_string("%.1f%%", "coverage_pct"))
+    return covered.withColumn("coverage", share)
+
+
+def citations(rows: DataFrame, most: int = 5) -> DataFrame:
+    """By query the companies of its nearest rows that have a record, at most `most`, in the order of ranks."""
+    w = Window.partitionBy("query_id").orderBy("rank", "chunk_id")
+    some = rows.where(F.col("data").isNotNull()).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most)
+    return some.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "company"))), lambda x: x["company"]).alias("cited"))
+
+
+def benchmark(queries: DataFrame, hits: DataFrame, extractions: DataFrame, contracts: DataFrame, most: int = 5) -> DataFrame:
+    """X5 from the hits on: query_id, sample_size, composite, verdict and cited for each clause that is benchmarked.
+
+    queries: query_id, clause_type, data (the clause's own record, null where its extraction failed); hits: query_id,
+    chunk_id, contract_id, clause_type, rank. A clause without hits has a sample of size 0 and nothing else.
+    """
+    rows = benchmark_rows(hits, extractions, contracts)
+    size = rows.groupBy("query_id").agg(F.count("data").alias("sample_size"))
+    market = unpivot_bools(rows.select("query_id", "clause_type", "data").where(F.col("data").isNotNull()))
+    dist = bool_distribution(market, "query_id", "field")
+    own = unpivot_bools(queries.select("query_id", "clause_type", "data"))
+    pcts = own.join(dist.where("n_total > 0"), ["query_id", "field"]).withColumn("percentile", percentile(F.col("value"), F.col("true_pct")))
+    verdicts = composite(pcts, "query_id")
+    out = queries.select("query_id").join(size, "query_id", "left").join(verdicts, "query_id", "left").join(citations(rows, most), "query_id", "left")
+    out = out.withColumn("sample_size", F.coalesce("sample_size", F.lit(0)))
+    some = F.col("sample_size") > 0
+    neutral = F.when(some, F.coalesce("composite", F.lit(50)))
+    return out.select("query_id", "sample_size", neutral.alias("composite"), F.when(some, F.coalesce("verdict", F.lit("neutral"))).alias("verdict"), F.array_join(F.coalesce("cited", F.array().cast("array<string>")), "|").alias("cited"))
+
+
+def for_keys(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """The rows whose key is in a set of keys."""
+    return rows.join(keys.select(*on).distinct(), list(on), "left_semi")

@@ -105,14 +105,6 @@ def metrics_page(spark, d):
     return files.exposition(state.latency_histogram(table(spark, d, "events"), "event_type", "value"), "seconds_bucket", ["event_type", "le"], "n")
 
 
-_TEMPLATES = [("Liability Risk", "High", "{party} shall indemnify {other}."), ("Financial Risk", "Low", "{party} pays {other}."), (None, None, "{party} and {other} met.")]
-
-
-@query("dataset_stats", "SELECT * FROM (VALUES ('Liability Risk', 'High', 4::BIGINT), ('Financial Risk', 'Low', 4), ('none', 'none', 4)) v(category, severity, n)")
-def dataset_stats(spark, d):
-    return learn.dataset_stats(learn.generated_examples(spark, _TEMPLATES, {"party": ["A", "B", "C"], "other": ["X", "Y"]}, 4))
-
-
 @query("tuning_pairs", f"SELECT e.clause_type, 'Extract.' AS instruction, c.clause AS input, e.data AS output, '<|user|>' || chr(10) || 'Extract.' || chr(10) || chr(10) || c.clause || chr(10) || '<|assistant|>' || chr(10) || e.data AS chat FROM {X.EXTRACTIONS.sql()} e JOIN {X.LAWS.sql()} c USING (chunk_id) WHERE e.data IS NOT NULL AND c.clause IS NOT NULL")
 def tuning_pairs(spark, d):
     j = X.EXTRACTIONS.df(spark, d).join(X.LAWS.df(spark, d).select("chunk_id", "clause"), "chunk_id")

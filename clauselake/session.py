@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import os
 import re
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -140,3 +142,19 @@ def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
     if df.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} {what}")
     return F.broadcast(df)
+
+
+@contextlib.contextmanager
+def traced(spark: SparkSession, name: str, sink=None):
+    """ST10: tags the jobs that run inside with a trace id, by which they can be told apart or cancelled, and tells `sink`
+    the name, the id, how long it took and whether it failed."""
+    trace, began, sc = uuid.uuid4().hex, time.monotonic(), spark.sparkContext
+    sc.addJobTag(trace)
+    ok = False
+    try:
+        yield trace
+        ok = True
+    finally:
+        sc.removeJobTag(trace)
+        if sink is not None:
+            sink({"name": name, "trace": trace, "seconds": time.monotonic() - began, "ok": ok})

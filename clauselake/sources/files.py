@@ -29,6 +29,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def read_examples(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """Evaluation examples from a JSON array: id, clause and the columns of each one's nested ground_truth, whose
+    fields are given as a schema."""
+    schema = f"id long, clause_text string, ground_truth struct<{fields}>"
+    return spark.read.option("multiLine", True).schema(schema).json(path).select("id", F.col("clause_text").alias("clause"), "ground_truth.*")
+
+
 def write_jsonl(rows: DataFrame, path: str) -> None:
     """S16, K5."""
     rows.write.mode("overwrite").json(path)

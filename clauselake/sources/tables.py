@@ -21,6 +21,12 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str | None
     return old.join(fresh, cond, "left_anti").unionByName(new)
 
 
+def with_defaults(rows: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """K1, K2: nulls replaced by the value, or the first column that is not null, that a column falls back to."""
+    fall = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return rows.withColumns({c: F.coalesce(F.col(c), fall(v)) for c, v in defaults.items()})
+
+
 def patch(table: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
     """K4: `column` replaced where `updates` has a value for the key."""
     u = updates.select(F.col(key).alias("__k"), F.col(column).alias("__v"))

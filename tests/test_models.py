@@ -163,3 +163,59 @@ def test_html_breaks_lines_at_both_ends_of_blocks():
 
     assert html.to_text("<p>alpha</p>beta<div>x</div>y<script>z</p></script>w &copy;") == "alpha\nbeta\nx\nyw ©"
     assert F is not None and html.to_text(None) is None
+
+
+def test_softmax_classifier_against_plain(spark, tmp_path):
+    import json
+
+    from clauselake.operators import learn
+
+    r = random.Random(1)
+    bundle = {c: {"classes": ["High", "Low", "Medium", "None"], "coef": [[r.uniform(-2, 2) for _ in range(3)] for _ in range(4)], "intercept": [r.uniform(-1, 1) for _ in range(4)]} for c in ("A", "B")}
+    (tmp_path / "b.json").write_text(json.dumps(bundle))
+    assert learn.load_bundle(f"{tmp_path}/none.json") is None and learn.classify_clauses(None, None) is None
+    rows = [(i, 0, [r.uniform(-1, 1) for _ in range(3)]) for i in range(40)] + [(99, 0, None)]
+    want = set()
+    for i, _, v in rows[:40]:
+        for c, b in bundle.items():
+            z = [sum(x * y for x, y in zip(w, v, strict=True)) + k for w, k in zip(b["coef"], b["intercept"], strict=True)]
+            p = [math.exp(x) / sum(map(math.exp, z)) for x in z]
+            if 1 - p[3] >= 0.55:
+                want.add((i, c, b["classes"][max(range(3), key=lambda k: p[k])], round(max(p[:3]), 3), round(1 - p[3], 3)))
+    df = spark.createDataFrame(rows, "doc_id long, clause_idx int, embedding array<double>")
+    got = {(x["doc_id"], x["risk_type"], x["severity"], x["confidence"], x["risk_probability"]) for x in learn.classify_clauses(df, learn.load_bundle(f"{tmp_path}/b.json")).collect()}
+    assert got == want and want
+
+
+def test_generated_examples(spark):
+    from clauselake.operators import learn
+
+    t = [("Liability Risk", "High", "{party} shall indemnify {other}."), ("Financial Risk", "Low", "{party} pays {other}.")]
+    made = learn.generated_examples(spark, t, {"party": ["A", "B", "C"], "other": ["X", "Y"]}, 4, negatives=["{party} met {other}.", "Nothing of note."], swaps=6, both=[([("Liability Risk", "High"), ("Financial Risk", "Low")], "{party} pays and indemnifies {other}.")])
+    n = {(r["source"], r["category"], r["severity"]): r["n"] for r in learn.dataset_stats(made).collect()}
+    assert n == {("template", "Liability Risk", "High"): 4, ("template", "Financial Risk", "Low"): 4, ("negative", "none", "none"): 2, ("swapped", "none", "none"): 6, ("multi", "Liability Risk", "High"): 2, ("multi", "Financial Risk", "Low"): 2}
+    assert not any("{" in r["text"] for r in made.collect())
+
+
+def test_examples_with_nested_truth(spark, tmp_path):
+    from clauselake.operators import evaluate
+    from clauselake.sources import files
+
+    (tmp_path / "e.json").write_text('[{"id": 1, "clause_text": "a", "ground_truth": {"has_a": true, "kind": "x"}}, {"id": 2, "clause_text": "b"}]')
+    truth = files.read_examples(spark, f"{tmp_path}/e.json", "has_a: boolean, kind: string")
+    assert [tuple(r) for r in truth.orderBy("id").collect()] == [(1, "a", True, "x"), (2, "b", None, None)]
+    predicted = spark.createDataFrame([(0, None, 1, True, False), (1, 2, None, False, False)], "ord long, id long, chunk_id long, has_a boolean, failed boolean")
+    assert [r["p_has_a"] for r in evaluate.join_predictions(truth, predicted).orderBy("id").collect()] == [True, False]
+
+
+def test_traced(spark):
+    from clauselake.session import traced
+
+    told = []
+    with traced(spark, "count", told.append) as trace:
+        assert trace in spark.sparkContext.getJobTags()
+        spark.range(3).count()
+    assert trace not in spark.sparkContext.getJobTags() and told[0]["ok"] and told[0]["name"] == "count"
+    with pytest.raises(ZeroDivisionError), traced(spark, "fail", told.append):
+        1 / 0  # noqa: B018
+    assert not told[1]["ok"]
