@@ -119,7 +119,8 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def judged(measured: DataFrame) -> DataFrame:
-    """With base_failed (few words, or many in repeated windows of five) and kept (no rule fails)."""
+    """With base_failed (few words, or many in repeated windows of five) and kept (no rule fails). A text without words
+    fails for having few; a share of exactly a limit passes."""
     chars = F.greatest("word_chars", F.lit(1))
     fails = [F.col(f"repeated_chars_{n}") > most * chars for n, most in NGRAM_LIMITS]
     fails.append(F.col("dup_line_chars") > LINE_LIMIT * chars)
@@ -132,5 +133,6 @@ def judged(measured: DataFrame) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """repetition() and judged() of all documents; nulls, empty and long texts, repeated rows and empty tables as there."""
     found = judged(repetition(docs, lengths=tuple(n for n, _ in NGRAM_LIMITS)))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.col("repeated_words_5").alias("n_repeat_words"), "base_failed", "kept", "repeated_chars_7", "repeated_chars_10")
