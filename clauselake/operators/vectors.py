@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauselake.session import bounded, materialize, ship
+from clauselake.session import materialize, ship
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -138,8 +138,17 @@ def semantic_finds(clauses: DataFrame, canon: DataFrame, k: int = 3, least: floa
     """
     c = canon.select("canon_idx", "category", "severity", F.col("embedding").alias("__c"))
     sim = F.bround(dot(F.col("embedding"), F.col("__c")), 6)
-    j = clauses.join(bounded(c, MOST_QUERIES, "canonical clauses"), F.lit(True)).select("clause_idx", "canon_idx", "category", "severity", sim.alias("similarity"))
-    top = j.withColumn("r", F.row_number().over(Window.partitionBy("clause_idx").orderBy(F.desc("similarity"), F.desc("canon_idx")))).where((F.col("r") <= k) & (F.col("similarity") >= least))
+    w = Window.partitionBy("clause_idx").orderBy(F.desc("similarity"), F.desc("canon_idx"))
+    ranked = lambda j: j.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    # more canonical clauses than a broadcast holds are dealt into blocks, of each of which a clause keeps its best
+    blocks = -(-2 * c.count() // MOST_QUERIES) if c.limit(MOST_QUERIES + 1).count() > MOST_QUERIES else 1
+    found = []
+    for b in range(blocks):
+        of = c.where(F.pmod(F.xxhash64("canon_idx"), F.lit(blocks)) == b) if blocks > 1 else c
+        top = ranked(clauses.join(F.broadcast(of), F.lit(True)).select("clause_idx", "canon_idx", "category", "severity", sim.alias("similarity")))
+        found.append(materialize(top.drop("r"), "canonical-block") if blocks > 1 else top)
+    top = ranked(functools.reduce(DataFrame.unionByName, found)) if blocks > 1 else found[0]
+    top = top.where(F.col("similarity") >= least)
     best = top.withColumn("n", F.row_number().over(Window.partitionBy("clause_idx", "category").orderBy("r"))).where("n = 1")
     rank = F.when(F.col("severity") == "High", 2).when(F.col("severity") == "Medium", 1).otherwise(0)
     down = F.when(F.col("similarity") >= 0.68, 0).when(F.col("similarity") >= 0.55, 1).otherwise(2)

@@ -137,13 +137,6 @@ def sized(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(written) if written.count() <= rows else written
 
 
-def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
-    """`df`, marked for broadcast; an error if it has more than `most` rows, for tables that are small by contract."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} {what}")
-    return F.broadcast(df)
-
-
 @contextlib.contextmanager
 def traced(spark: SparkSession, name: str, sink=None):
     """ST10: tags the jobs that run inside with a trace id, by which they can be told apart or cancelled, and tells `sink`
