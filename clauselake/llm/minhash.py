@@ -4,6 +4,11 @@ A document's set holds its distinct shingles. A register keeps, for the least ha
 number of leading zeros and the first mantissa bits; a bucket that no shingle falls into takes the least of the
 shingles' hashes under a salt of its own, so that short documents fill their registers too. Registers are banded
 to find candidates, compared with a correction for chance collisions, and what remains is checked on full sets.
+
+Candidates are settled in two steps. At first each document meets one leader, the least that it shares a bucket with, by
+the estimate and then on full sets, and what is linked becomes one component. Only pairs that share a bucket and still
+are in different components need more, and a second step checks all of those. A group of copies that are near their
+leader so costs in proportion to its members; only families whose members stay apart from it cost more.
 """
 
 from __future__ import annotations
@@ -12,7 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.llm.batches import WordHashes, blocks, mix, windows
@@ -64,32 +70,37 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, (same - CHANCE) / (1 - CHANCE))
 
 
+def text_hash(text_col: str) -> Column:
+    """What tells rows of one id apart that have different texts."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def set_hash(s: np.ndarray) -> tuple[int, int]:
+    """A 128-bit hash of a set, as two signed numbers."""
+    h = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """id, n (size of the set), hi and lo (a 128-bit hash of the set), bands (its registers, BAND to a number)."""
+    """id, th (a hash of the text), n (size of the set), hi and lo (a hash of the set), bands (its registers, BAND to a
+    number)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         hashes = WordHashes()
         for batch, texts in blocks(batches, "text"):
             n, hi, lo, bands = [], [], [], []
             for t in texts:
                 s = shingles(t, hashes, shingle)
                 n.append(len(s))
-                if len(s):
-                    h = xxhash.xxh3_128_intdigest(s.tobytes())
-                    hi.append((h >> 64) - (1 << 63))
-                    lo.append((h & (1 << 64) - 1) - (1 << 63))
-                    bands.append(registers(s).view("<i8"))
-                else:
-                    hi.append(None)
-                    lo.append(None)
-                    bands.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "hi", "lo", "bands"])
+                h = set_hash(s) if len(s) else (None, None)
+                hi.append(h[0])
+                lo.append(h[1])
+                bands.append(registers(s).view("<i8") if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "th", "n", "hi", "lo", "bands"])
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n long, hi long, lo long, bands array<long>")
+    source = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, th long, n long, hi long, lo long, bands array<long>")
 
 
 #: Edges that a file of a written step holds, about; small graphs take few files whatever the shuffle's width.
@@ -104,12 +115,13 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     sides of the join come from a shuffle of their own. Lost executors cost no more than the step at hand.
     """
     pair = lambda a, b: (F.col(a).alias("a"), F.col(b).alias("b"))
-    state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
-    before = None
-    while before != (now := state(e)) and now[0]:
-        before = now
-        files = max(4, now[0] // EDGES_PER_FILE)
+    while True:
+        n, nodes = e.agg(F.count(F.lit(1)), F.count_distinct("a")).first()
+        # done when each node has one edge, and that leads to a node without any
+        if n == nodes and e.join(e.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        files = max(4, n // EDGES_PER_FILE)
         both = e.union(e.select(*pair("b", "a")))
         least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).repartition(files), name)
         e = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -118,91 +130,240 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         j = e.join(least, "a")
         e = j.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(least.select(*pair("a", "m"))).where("a <> b").distinct()
         e = materialize(e.repartition(files), name)
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-#: Buckets of up to so many classes give their pairs to the estimate; larger ones are joined to one cluster whole.
-SMALL_BUCKET = 32
-#: Shingles of the sets that are checked against each other in one task, about.
-PART_SHINGLES = 100_000
+#: Shingles of the sets that meet a leader, or each other, at once; shingles and registers that a task's share holds.
+PART_SHINGLES, BIN_SHINGLES = 20_000, 500_000
+#: Members of a bucket whose registers are compared with each other at once.
+PART_MEMBERS = 1000
+
+
+def _binned(rows: DataFrame, keys: list[str], weight: int) -> DataFrame:
+    """`rows`, of `weight` shingles in all, with `bin`, which packs groups of `keys` into shares of about BIN_SHINGLES,
+    several for each shuffle task."""
+    bins = max(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-weight // BIN_SHINGLES))
+    return rows.withColumn("bin", F.pmod(F.xxhash64(*keys), F.lit(bins)))
+
 
+def _groups(rows: pa.Table, keys: list[str]) -> Iterator[dict[str, list]]:
+    """The rows of each value of `keys` in a bin, as lists by column; binary columns are arrays of numbers."""
+    rows = rows.sort_by([(k, "ascending") for k in keys])
+    if not rows.num_rows:
+        return
+    key = np.stack([rows.column(k).to_numpy() for k in keys])
+    cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+    for at, to in zip([0, *cuts], [*cuts, rows.num_rows], strict=True):
+        part = rows.slice(at, to - at)
+        yield {c: [np.frombuffer(x, np.uint64) for x in part.column(c).to_pylist()] if pa.types.is_binary(part.schema.field(c).type) else part.column(c).to_pylist() for c in part.column_names}
 
-def _candidates(classes: DataFrame, low: float) -> DataFrame:
-    """Edges (a, b) between class numbers that put each pair which shares a band, and may be similar, in one cluster."""
-    rows = classes.select("cid", F.posexplode("bands").alias("at", "band")).select("cid", F.xxhash64("at", "band").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("leader")).where("m > 1")
-    members = materialize(rows.join(materialize(shared, "near-buckets"), "bucket"), "near-members")
-    stars = members.where((F.col("m") > SMALL_BUCKET) & (F.col("cid") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("cid").alias("b"))
-    few = members.where(F.col("m") <= SMALL_BUCKET)
-    pairs = few.select("bucket", F.col("cid").alias("a")).join(few.select("bucket", F.col("cid").alias("b")), "bucket").where("a < b").select("a", "b").distinct()
-    both = pairs.join(classes.select(F.col("cid").alias("a"), F.col("bands").alias("x")), "a").join(classes.select(F.col("cid").alias("b"), F.col("bands").alias("y")), "b").select("a", "b", "x", "y")
+
+def _near(edges: DataFrame, classes: DataFrame, low: float) -> DataFrame:
+    """The edges (a, b) whose registers are near enough."""
+    both = edges.join(classes.select(F.col("cid").alias("a"), F.col("bands").alias("x")), "a").join(classes.select(F.col("cid").alias("b"), F.col("bands").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (batch.column(k).flatten().to_numpy().view("<u2").reshape(batch.num_rows, REGISTERS) for k in (2, 3))
-                near = pa.array(estimate(x, y) >= low)
-                yield batch.select(["a", "b"]).filter(near)
+                yield batch.select(["a", "b"]).filter(pa.array(estimate(x, y) >= low))
 
-    return both.mapInArrow(run, "a long, b long").union(stars.distinct())
+    return both.mapInArrow(run, "a long, b long")
 
 
-def _links(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Edges (a, b) that span what full sets link, from rows root, x, y, part, cid, hi, lo, text."""
+def _met(edges: DataFrame, sets: DataFrame, weight: int, percent: int) -> DataFrame:
+    """The edges (a, b), each b once, that full sets confirm. The sets of a leader's members are cut into parts, each of
+    which gets the leader's set once."""
+    members = edges.join(sets.withColumnRenamed("cid", "b"), "b")
+    parts = members.groupBy("a").agg(F.ceil(F.sum("n") / PART_SHINGLES).alias("parts"))
+    parts = materialize(parts, "near-leaders")
+    members = members.join(parts, "a").select("a", F.pmod(F.hash("b"), F.col("parts")).cast("long").alias("part"), "b", "n", "set")
+    leaders = parts.join(sets.withColumnRenamed("cid", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(-1).cast("long").alias("b"), "n", "set")
+    rows = members.union(leaders)
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        import xxhash
-
-        hashes, found = WordHashes(), {}
-        for batch in rows.to_batches():
-            for part, texts_ in blocks(iter([batch]), "text"):
-                for cid, p, hi, lo, t in zip(*(part.column(c).to_pylist() for c in ("cid", "part", "hi", "lo")), texts_, strict=True):
-                    if cid not in found:
-                        s = shingles(t, hashes, shingle)
-                        h = xxhash.xxh3_128_intdigest(s.tobytes())
-                        if (hi, lo) == ((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)):  # ids may repeat
-                            found[cid] = (len(s), p, s)
-        items = sorted(found.items(), key=lambda kv: kv[1][0])
-        if len(items) < 2:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        n = np.array([v[0] for _, v in items])
-        part = np.array([v[1] for _, v in items])
-        x, y = key[1].as_py(), key[2].as_py()
-        at = np.concatenate([[0], np.cumsum(n)])
-        ids = np.unique(np.concatenate([v[2] for _, v in items]), return_inverse=True)[1]
-        mark = np.zeros(int(ids.max()) + 1, np.int32)
-        root = list(range(len(items)))
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
+        a, b = [], []
+        for g in _groups(rows, ["a", "part"]):
+            lead = g["set"][g["b"].index(-1)]
+            for cid, s in zip(g["b"], g["set"], strict=True):
+                if cid >= 0:
+                    few, many = (s, lead) if len(s) < len(lead) else (lead, s)
+                    common = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+                    if 100 * common >= percent * (len(s) + len(lead) - common):
+                        a.append(g["a"][0])
+                        b.append(cid)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return _binned(rows, ["a", "part"], 2 * weight).groupBy("bin").applyInArrow(run, "a long, b long")
+
 
+def _unsettled(members: DataFrame, classes: DataFrame, low: float) -> DataFrame:
+    """Edges that tie together what shares a bucket (bucket, cid, root, m), is in different components and near by its
+    registers: of each part of a bucket a spanning forest of these pairs."""
+    placed = members.withColumn("parts", F.ceil(F.col("m") / PART_MEMBERS)).withColumn("part", F.pmod(F.hash("cid"), F.col("parts")).cast("long"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    placed = placed.select("bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "cid", "root")
+    rows = placed.join(classes.select("cid", "bands"), "cid")
+    weight = (members.agg(F.sum(F.ceil(F.col("m") / PART_MEMBERS))).first()[0] or 0) * REGISTERS
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
         a, b = [], []
-        for i in range(len(items) - 1):
-            to = int(np.searchsorted(n, n[i] * 100 // percent, "right"))  # a larger set cannot be similar enough
-            if to <= i + 1:
-                continue
-            own = ids[at[i] : at[i + 1]]
-            mark[own] = 1
-            common = np.add.reduceat(mark[ids[at[i + 1] : at[to]]], at[i + 1 : to] - at[i + 1])
-            mark[own] = 0
-            near = 100 * common >= percent * (n[i] + n[i + 1 : to] - common)
-            if x != y:
-                near &= part[i + 1 : to] != part[i]
-            for j in np.flatnonzero(near) + i + 1:
-                p, q = top(i), top(int(j))
-                if p != q:
-                    root[q] = p
-        tops = [top(i) for i in range(len(items))]
-        for i, r in enumerate(tops):  # a star for each component: its edges need no more steps to find the root
-            if r != i:
-                a.append(items[r][0])
-                b.append(items[i][0])
+        rows = rows.append_column("place", pa.array(np.arange(rows.num_rows)))
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().view("<u2").reshape(rows.num_rows, REGISTERS)
+        for g in _groups(rows.drop_columns(["bands"]), ["bucket", "x", "y"]):
+            regs, root, part, cid = bands[g["place"]], np.array(g["root"]), np.array(g["part"]), g["cid"]
+            apart, top = g["x"][0] != g["y"][0], Forest(len(cid))
+            for i in range(len(cid) - 1):
+                near = (root[i + 1 :] != root[i]) & (estimate(regs[i + 1 :], regs[i][None]) >= low)
+                if apart:
+                    near &= part[i + 1 :] != part[i]
+                for j in np.flatnonzero(near) + i + 1:
+                    if top.join(i, int(j)):
+                        a.append(cid[i])
+                        b.append(cid[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return texts.groupBy("root", "x", "y").applyInArrow(run, "a long, b long")
+    return _binned(rows, ["bucket", "x", "y"], weight).groupBy("bin").applyInArrow(run, "a long, b long")
+
+
+class Forest:
+    """Disjoint sets of 0 to n - 1."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def top(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether they were apart."""
+        i, j = self.top(i), self.top(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def _checked(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges that span what full sets link inside of clusters, from rows cluster, cid, root: all pairs of a cluster whose
+    roots differ are checked. The members of a cluster's largest component are never checked against each other, so
+    its parts only meet those of the others."""
+    inside = materialize(inside.join(sets.select("cid", "n"), "cid"), "near-inside")
+    by_root = inside.groupBy("cluster", "root").agg(F.sum("n").alias("w"))
+    major = by_root.groupBy("cluster").agg(F.max(F.struct("w", "root"))["root"].alias("major"))
+    placed = inside.join(major, "cluster").withColumn("is_major", F.col("root") == F.col("major"))
+    size = lambda c: F.coalesce(F.ceil(F.sum(F.when(c, F.col("n"))) / PART_SHINGLES), F.lit(0)).cast("long")
+    parts = materialize(placed.groupBy("cluster", "major").agg(size(~F.col("is_major")).alias("minors"), size(F.col("is_major")).alias("majors")), "near-parts")
+    placed = inside.join(parts, "cluster").withColumn("is_major", F.col("root") == F.col("major"))
+    part = F.when(F.col("is_major"), F.col("minors") + F.pmod(F.hash("cid"), F.col("majors"))).otherwise(F.pmod(F.hash("cid"), F.col("minors"))).cast("long")
+    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("is_major"), F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1)
+    met = placed.withColumn("part", part).withColumn("other", F.explode(others))
+    met = met.select("cluster", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "cid", "root")
+    rows = met.join(sets, "cid")
+    copies = F.col("minors") + F.when(F.col("is_major"), 0).otherwise(F.col("majors"))
+    weight = placed.agg(F.sum(F.col("n") * copies)).first()[0] or 0
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        a, b = [], []
+        for g in _groups(rows, ["cluster", "x", "y"]):
+            order = sorted(range(len(g["cid"])), key=lambda i: g["n"][i])
+            n, part, root = (np.array([g[c][i] for i in order]) for c in ("n", "part", "root"))
+            cid, apart, top = [g["cid"][i] for i in order], g["x"][0] != g["y"][0], Forest(len(order))
+            at = np.concatenate([[0], np.cumsum(n)])
+            ids = np.unique(np.concatenate([g["set"][i] for i in order]), return_inverse=True)[1]
+            mark = np.zeros(int(ids.max()) + 1, np.int32)
+            for i in range(len(order) - 1):
+                to = int(np.searchsorted(n, n[i] * 100 // percent, "right"))  # a larger set cannot be similar enough
+                differ = root[i + 1 : to] != root[i]
+                if apart:
+                    differ &= part[i + 1 : to] != part[i]
+                if not differ.any():
+                    continue
+                own = ids[at[i] : at[i + 1]]
+                mark[own] = 1
+                common = np.add.reduceat(mark[ids[at[i + 1] : at[to]]], at[i + 1 : to] - at[i + 1])
+                mark[own] = 0
+                near = differ & (100 * common >= percent * (n[i] + n[i + 1 : to] - common))
+                for j in np.flatnonzero(near) + i + 1:
+                    if top.join(i, int(j)):
+                        a.append(cid[i])
+                        b.append(cid[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return _binned(rows, ["cluster", "x", "y"], weight).groupBy("bin").applyInArrow(run, "a long, b long")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """cid, n and the set of each class in `wanted` (cid, rid, rth, hi, lo), from the texts of the rows that stand for
+    them; rows that repeat one are taken once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch, texts in blocks(batches, "text"):
+            cid, n, out = [], [], []
+            for c, hi, lo, t in zip(*(batch.column(k).to_pylist() for k in range(3)), texts, strict=True):
+                s = shingles(t, hashes, shingle)
+                if set_hash(s) == (hi, lo):
+                    cid.append(c)
+                    n.append(len(s))
+                    out.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["cid", "n", "set"])
+
+    texts = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
+    found = texts.join(wanted, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("cid", "hi", "lo", "text")
+    return found.mapInArrow(run, "cid long, n long, set binary").dropDuplicates(["cid"])
+
+
+def _linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """node, root of the classes that links tie to a smaller one."""
+    low = percent / 100 - MARGIN
+    slots = classes.select("cid", F.posexplode("bands").alias("at", "band")).select("cid", F.xxhash64("at", "band").alias("bucket"))
+    shared = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("a")).where("m > 1")
+    members = materialize(slots.join(materialize(shared, "near-buckets"), "bucket"), "near-members")
+    leaders = materialize(members.groupBy("cid").agg(F.min("a").alias("a")), "near-leaders")
+    wanted = classes.join(leaders, "cid").select("cid", F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth"), "hi", "lo")
+    wanted = sized(wanted, "near-wanted")
+    sets = materialize(_sets(docs, wanted, id_col, text_col, shingle), "near-sets")
+    weight = sets.agg(F.sum("n")).first()[0]
+    if not weight:
+        return classes.where("false").select(F.col("cid").alias("node"), F.col("cid").alias("root"))
+    near = materialize(_near(leaders.where("a <> cid").select("a", F.col("cid").alias("b")), classes, low), "near-edges")
+    links = materialize(_met(near, sets, weight, percent), "near-links")
+    comp = components(links, "near-components")
+    mixed = _mixed(members, comp)
+    if mixed.isEmpty():
+        return comp
+    clusters = components(_unsettled(mixed, classes, low), "near-clusters")
+    nodes = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct())
+    inside = _rooted(nodes.select(F.col("node").alias("cid"), F.col("root").alias("cluster")), comp)
+    return components(links.union(_checked(inside, sets, percent)), "near-components")
+
+
+def _rooted(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """`rows` with the root of each cid."""
+    return rows.join(comp.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+
+
+def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """bucket, cid, root, m of the buckets that hold more than one component, with their members."""
+    rooted = _rooted(members.select("bucket", "cid", "m"), comp)
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("bucket")
+    return materialize(rooted.join(materialize(several, "near-several"), "bucket", "left_semi"), "near-mixed")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """id, th, n of each row, and first: the id and text hash of the row of least id in its component."""
+    ship(docs.sparkSession)
+    rows = materialize(sketches(docs, id_col, text_col, shingle), "near-sketches")
+    rep = F.struct(F.col("id").isNull().alias("none"), "id", "th")  # null ids come last
+    classes = rows.where("n > 0").groupBy("hi", "lo").agg(F.min(rep).alias("rep"), F.first("bands").alias("bands"))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
+    linked = _linked(docs, classes, id_col, text_col, shingle, percent)
+    named = classes.select("cid", "hi", "lo", "rep").join(linked, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
+    named = materialize(named.select("hi", "lo", "root", "rep"), "near-named")
+    first = materialize(named.groupBy("root").agg(F.min("rep").alias("first")), "near-first")
+    named = named.join(first, "root").select(F.col("hi").alias("h"), F.col("lo").alias("l"), "first")
+    return rows.join(named, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")), "left").select("id", "th", "n", "first")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -215,47 +376,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     belong to the class of their own text. Null ids come last and are kept only where all of a component are null.
     Other columns are not read. An empty table gives an empty result.
 
-    No step gathers what grows without bound: classes come from a pre-aggregation, buckets of more than
-    SMALL_BUCKET classes are tied to their least member instead of giving pairs, and clusters are cut into parts
-    whose pairs are checked in separate tasks, sets of all its parts meeting once. Nothing is capped: a large
-    bucket's members are all checked against each other. Texts of candidates alone are read again.
+    No step gathers what grows without bound: classes come from a pre-aggregation; each class meets one leader, whose
+    members are dealt to parts; what is unsettled then is cut into parts that meet in separate groups.
+    Nothing is capped or skipped: two classes that share a bucket end in one component or are checked. Texts of
+    classes in shared buckets are read a second time, by a row's id and text hash; sets travel from there on.
     """
-    ship(docs.sparkSession)
-    rows = materialize(sketches(docs, id_col, text_col, shingle), "near-sketches")
-    some = rows.where("n > 0")
-    classes = some.groupBy("hi", "lo").agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
-    clusters = components(_candidates(classes, percent / 100 - MARGIN), "near-clusters")
-    roots = clusters.select("root").distinct().select("root", F.col("root").alias("node"))
-    inside = materialize(clusters.select("root", "node").union(roots).join(classes.select(F.col("cid").alias("node"), "hi", "lo", "n", "least_id"), "node"), "near-inside")
-    parts = inside.groupBy("root").agg(F.ceil(F.sum("n") / PART_SHINGLES).cast("int").alias("parts"))
-    inside = inside.join(materialize(parts, "near-parts"), "root").withColumn("part", F.pmod(F.hash("node"), F.col("parts")))
-    inside = sized(inside, "near-placed")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(inside, F.col("id").eqNullSafe(F.col("least_id")))
-    met = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("root", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", F.col("node").alias("cid"), "hi", "lo", "text")
-    linked = components(_links(met, shingle, percent), "near-links")
-    named = classes.select("cid", "hi", "lo", "least_id").join(linked, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
-    named = materialize(named.select("hi", "lo", "root", "least_id"), "near-named")
-    first = materialize(named.groupBy("root").agg(F.min("least_id").alias("component")), "near-first")
-    named = named.join(first, "root").select(F.col("hi").alias("h"), F.col("lo").alias("l"), "component")
-    out = rows.join(named, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")), "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
+    out = _components(docs, id_col, text_col, shingle, percent)
+    component = F.when(F.col("n") > 0, F.col("first.id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one document of each component, the one of least id; columns are as they were.
+    """`docs` with one text of each component, that of least id (null ids last; of an id that repeats, that of least
+    hash); columns are as they were, under any names.
 
-    A row goes when near_duplicates() marks its id and no row of that id is kept, so an id that repeats with
-    different texts stays whole.
+    Rows go by id and text, so rows that repeat both stay or go together: near_duplicates() is for documents without
+    exact copies. Rows without words stay. An empty table gives an empty result.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, percent)
-    gone = found.groupBy(id_col).agg(F.max("kept").alias("__kept")).where("not __kept").select(F.col(id_col).alias("__gone"))
-    gone = sized(gone, "near-gone")
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    doc_id, text = (f"c{names.index(c)}" for c in (id_col, text_col))
+    found = _components(plain, doc_id, text, shingle, percent)
+    gone = found.where((F.col("n") > 0) & ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))))
+    gone = sized(gone.select(F.col("id").alias("gone"), F.col("th").alias("gone_th")).distinct(), "near-gone")
+    return plain.join(gone, F.col(doc_id).eqNullSafe(F.col("gone")) & (text_hash(text) == F.col("gone_th")), "left_anti").toDF(*names)
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """near_duplicates() of all documents with shingles of four words; nulls, empty and short texts, ties, repeated rows,
+    clashing names and empty tables as there."""
     return near_duplicates(docs, shingle=4)
-
