@@ -109,19 +109,29 @@ def test_neighbours_against_brute_force():
 
 
 def test_run(spark, tmp_path, labelled):
+    """Stage by stage, with null ids, null and empty texts, repeated rows and a column named like one of an operator's."""
     docs, labels = labelled
-    docs = docs.drop("score").where("text IS NOT NULL AND text <> ''")
     more = docs.where("doc_id BETWEEN 1 AND 3").withColumn("doc_id", F.col("doc_id") + 3000)
     near = docs.where("doc_id = 5").withColumn("doc_id", F.lit(4000).cast("long")).withColumn("text", F.concat("text", F.lit(" more")))
-    docs.union(more).union(near).write.parquet(f"{tmp_path}/documents.parquet")
+    odd = docs.where("doc_id = 6").withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat(F.lit("thar "), "text"))
+    docs.union(more).union(near).union(odd).write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     state = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    seen = []
-    for _, stage in corpus_pipeline.STAGES:
+    columns, seen = state.columns, []
+    for name, stage in corpus_pipeline.STAGES:
         state = stage(spark, state, str(tmp_path)).cache()
-        seen.append(sorted(r["doc_id"] for r in state.collect()))
-    assert not set(range(0, 240, 4)) & set(seen[0]) and 5 in seen[0]
+        assert state.columns == columns or name == "encode"
+        seen.append([r["doc_id"] for r in state.collect()])
+    assert not set(range(0, 240, 4)) & set(seen[0]) and {5, 6, None} <= set(seen[0])
     assert {3001, 3002, 3003} <= set(seen[1]) and not {1, 2, 3} & set(seen[1])
-    assert 5 in seen[2] and 4000 not in seen[2]
-    assert set(seen[3]) <= set(seen[2]) and seen[4] == seen[3]
-    assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == seen[4]
+    assert seen[1].count(1001) <= 1
+    assert 5 in seen[2] and 4000 not in seen[2] and 6 in seen[2] and None not in seen[2]  # null ids come last
+    assert set(seen[3]) <= set(seen[2]) and sorted(seen[4]) == sorted(seen[3])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(seen[4])
+
+
+def test_run_of_empty_tables(spark, tmp_path, empty, labelled):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    labelled[1].write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == 0

@@ -26,12 +26,40 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.query(empty).count() == 0
 
 
-def test_drop_copies(docs):
+def test_drop_copies(docs, empty):
     left = exact_dedup.drop_copies(docs)
     assert left.columns == docs.columns
-    got = Counter(r["doc_id"] for r in left.collect())
-    want = Counter(r["doc_id"] for r in exact_dedup.query(docs).where("kept").collect())
-    assert got == want
+    groups = defaultdict(list)
+    for r in rows():
+        groups[lower(r[1])].append(r)
+    want = sorted(str(max(g, key=lambda r: -1 if r[0] is None else r[0])[0]) for g in groups.values())
+    got = left.collect()
+    assert sorted(str(r["doc_id"]) for r in got) == want
+    assert len({lower(r["text"]) for r in got}) == len(got)
+    assert exact_dedup.drop_copies(empty).count() == 0
+
+
+def test_drop_copies_of_repeated_rows(spark):
+    """Rows that repeat an id: with one text and other columns apart, equal in all, and with other texts of one length
+    and beginning; names that the operator uses itself."""
+    same = "x" * 80
+    data = [(1, same + "a", "p"), (1, same + "a", "q"), (1, same + "b", "p"), (2, same + "b", "p"), (3, "t", "p"), (3, "t", "p"), (3, "T", "p"), (None, "u", "p"), (None, "u", "p"), (None, same + "b", "p"), (4, None, "p"), (5, "", "p")]
+    df = spark.createDataFrame(data, "doc_id long, text string, __sha string").repartition(3)
+    got = sorted(map(str, exact_dedup.drop_copies(df).collect()))
+    again = sorted(map(str, exact_dedup.drop_copies(df.repartition(2)).collect()))
+    assert got == again
+    assert Counter((str(r["doc_id"]), lower(r["text"])) for r in exact_dedup.drop_copies(df).collect()) == Counter([("1", same + "a"), ("2", same + "b"), ("3", "t"), ("None", "u"), ("5", "")])
+
+
+def test_drop_copies_digests_survivors_only(spark):
+    """The digest is above the join with shared lengths and prefixes, not in the scan."""
+    df = spark.createDataFrame([(i, "w" * i) for i in range(20)] + [(30, "w" * 5)], "doc_id long, text string")
+    read = exact_dedup._keys(df, "doc_id", "text")
+    assert "sha2" not in read._jdf.queryExecution().optimizedPlan().toString()
+    left = exact_dedup.drop_copies(df)
+    assert sorted(r["doc_id"] for r in left.collect()) == [*range(5), *range(6, 20), 30]
+    keys = [x for x in left._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in x]
+    assert keys and all("sha2" not in k.split("LeftAnti")[0] for k in keys)
 
 
 def test_repetition(docs, empty):
@@ -84,9 +112,63 @@ def test_targets_and_mix(docs, empty):
         assert abs(taken[s] - want[s]) <= 3 * largest
     assert sorted(map(str, got)) == sorted(map(str, mixing.query(docs.repartition(3)).collect()))
     assert mixing.query(empty).count() == 0
-    mixed = mixing.emit(mixing.mix_sources(docs), docs.columns)
+    mixed = mixing.emit(docs)
     assert mixed.columns == docs.columns
     assert sum(size(r["text"]) for r in mixed.collect()) == sum(taken.values())
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.emit(docs.repartition(3)).collect()))
+    assert mixing.emit(empty).count() == 0
+
+
+def test_mix_against_plain_systematic_sampling(spark):
+    """Copies of each row equal a plain walk along each source in the order of sizes and hashes."""
+    import math
+
+    data = [(i, " ".join(["w"] * (i * 7 % 23)), [None, "a", "b", "é", "B"][i % 5 if i % 3 else 1]) for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(7)
+    from pyspark.sql import functions as F
+
+    hashed = {r["doc_id"]: (r["h"], r["u"]) for r in df.select("doc_id", F.xxhash64("doc_id", F.lit(7)).alias("h"), (F.pmod(F.xxhash64("source", F.lit(7)), F.lit(1 << 52)) / float(1 << 52)).alias("u")).collect()}
+    got = {r["doc_id"]: r for r in mixing.query(df).collect()}
+    by = defaultdict(list)
+    for i, t, s in data:
+        by[s].append((len(t.split()), hashed[i][0], i))
+    for s, of in by.items():
+        total = sum(n for n, _, _ in of)
+        e = got[of[0][2]]["target"] / total
+        u = hashed[of[0][2]][1]
+        for rank, (n, _, i) in enumerate(sorted(of)):
+            assert got[i]["taken"] == n * (math.floor(u + (rank + 1) * e) - math.floor(u + rank * e)), (s, rank)
+
+
+def test_coverage_rule_alone():
+    """A text that passes the base rules and fails by the characters in repeated words alone."""
+    from clauselake.llm.batches import WordHashes
+
+    long = [f"{'w' * 40}{k}" for k in range(8)]
+    words = long + [f"a{k}" for k in range(70)] + long
+    m = repetition.measure([" ".join(words).encode()], WordHashes(), (5, 7, 10))
+    assert 100 * m["repeated_words_5"][0] <= 20 * m["n_words"][0]
+    assert m["repeated_chars_5"][0] > 0.30 * m["word_chars"][0]
+
+
+def test_kept_against_a_plain_reading_of_the_rules(spark):
+    long = [f"{'w' * 40}{k}" for k in range(8)]
+    texts = [" ".join(long + [f"a{k}" for k in range(70)] + long), " ".join(f"b{k}" for k in range(40)), "\n".join(["same line here"] * 2 + [f"c{k} d{k} e{k}" for k in range(20)]), "# $ % " + " ".join(f"f{k}" for k in range(9)), "\n".join([" ".join(f"{'long' * 9}{k}" for k in range(4))] * 6 + [f"g{k} h{k} i{k} j{k} k{k}" for k in range(30)]), None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["kept"] for r in repetition.query(df).collect()}
+    for i, t in enumerate(texts):
+        words = (t or "").split()
+        chars, seen, dup = sum(map(len, words)), set(), 0
+        for line in (t or "").split("\n"):
+            dup += len(line) if line in seen and line.strip() else 0
+            seen.add(line)
+        fine = len(words) >= 10 and dup <= 0.30 * chars and sum(c in "#*$%&|<>" for c in t or "") <= 0.25 * len(words)
+        for n, most in repetition.NGRAM_LIMITS:
+            grams = Counter(tuple(words[k : k + n]) for k in range(len(words) - n + 1))
+            at = {j for k in range(len(words) - n + 1) if grams[tuple(words[k : k + n])] > 1 for j in range(k, k + n)}
+            fine = fine and sum(len(words[j]) for j in at) <= most * chars and not (n == 5 and 100 * len(at) > 20 * len(words))
+        assert got[i] == fine, i
+    assert not got[0] and got[1]
 
 
 def test_bpe(docs, empty):
@@ -107,6 +189,8 @@ def test_bpe(docs, empty):
     full = bpe.encode_documents(docs, path, P.PATTERN, ids=True)
     back = bpe.decode_documents(full, path, P.PATTERN)
     assert {r["doc_id"]: r["text"] for r in back.collect()} == texts
+    odd = docs.sparkSession.createDataFrame([(1, [99_999_999]), (2, None), (3, []), (4, [ranks[b"\xff"]])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in bpe.decode_documents(odd, path, P.PATTERN).collect()} == {1: None, 2: "", 3: "", 4: "\ufffd"}
 
 
 def test_bpe_order_of_merges():
