@@ -1,7 +1,8 @@
 """A corpus pipeline: what quality keeps, without copies and near copies, mixed to target weights and encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the shared folder and
-reads it back for the next one. All but the last return the columns of documents.
+reads it back for the next one. All but the last return the columns of documents, whatever others there are and however
+they are named. Empty tables go through.
 """
 
 from __future__ import annotations
@@ -13,27 +14,30 @@ from clauselake.session import materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the neighbour vote does not reject; it learns from the labels outside the held-out fold."""
+    """Documents that the neighbour vote does not reject; it learns from the labels outside the held-out fold. A null text
+    is judged as an empty one, and rows with equal texts share their fate; without labels all stay."""
     return neighbours.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id."""
+    """Of equal texts one row, that with the largest id; null ids come last, null and empty texts are equal."""
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates (five words, similarity 0.8) the document with the smallest id."""
+    """Of each component of near duplicates (five words, similarity 0.8) the document with the smallest id, null ids last;
+    texts without words stay."""
     return minhash.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return mixing.emit(mixing.mix_sources(docs), docs.columns)
+    """Documents as often as the mix of sources takes them; a null source is one of its own, a text without words has size
+    0 and goes with its source's others."""
+    return mixing.emit(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The number of tokens of each document, and digests of its ids and of what they decode to."""
+    """The number of tokens of each document, and digests of its ids and of what they decode to; a null text has none."""
     return bpe.query(docs)
 
 
