@@ -34,7 +34,7 @@ from clauselake.llm.batches import WordHashes, blocks, mix, remainder
 from clauselake.session import discard, ship, written
 
 #: Bytes of text in a block, and distinct n-grams of all blocks in a bucket, about.
-BLOCK_BYTES, BUCKET_KEYS = 16 << 20, 2_000_000
+BLOCK_BYTES, BUCKET_KEYS = 8 << 20, 1_000_000
 #: Messages that a block sends at a time, at most. Where there are more buckets, messages are added up on the way, see
 #: exchange().
 MOST_FAN = 256
@@ -148,7 +148,7 @@ class Trigrams:
         codes, self.place = distinct(rank[b.context[self.both]] * n + b.stream[self.both])
         at, word = codes // n, codes % n
         low = (mix(b.words[word]) >> np.uint64(24)) | np.uint64(1)  # never 0, which stands for the context itself
-        order = np.lexsort((low, at))
+        order = np.argsort((at << 40) | low.astype(np.int64)) if len(self.contexts) < 1 << 23 else np.lexsort((low, at))
         train = np.bincount(self.place[b.train[self.both]], minlength=len(codes))
         self.codes, self.order, self.at, self.word = codes, order, at, word
         # rows of the question: each context, followed by its trigrams
@@ -393,6 +393,7 @@ def ask(encoded: DataFrame, fan: int) -> DataFrame:
                     b = Block.unpacked(data.as_py())
                     one, two = b.counts()
                     yield block, messages([Sheet(b.words, none, none, one), Sheet(b.pairs, none, none, two)], -1, fan, fan)
+                    del b, one, two
 
         yield from _told(all_blocks())
 
@@ -410,6 +411,7 @@ def ask_trigrams(counted: DataFrame, fan: int) -> DataFrame:
                     t = b.trigrams(_by_pair(b, _answers(parts)[1]))
                     if len(t.contexts):
                         yield block, messages([Sheet(t.hi, t.n, t.low, t.count)], -1, fan, fan)
+                    del b, t
 
         yield from _told(all_blocks())
 
@@ -487,6 +489,14 @@ class Automaton:
         self.arc = arc[order]
         self.arc_weight = np.concatenate([np.log10(self.p2[two]), weight3])[order]
         self.arc_to = np.concatenate([to[two], to[ends]])[order]
+        # where the arcs are that a token takes from the state of the two words, or the word, before it; -1: there is none
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        found2, found3 = np.full(len(b.codes), -1), np.full(len(t.codes), -1)
+        found2[two], found3[three] = place[: len(two)], place[len(two) :]
+        self.from_word, self.from_pair = found2[b.pair], np.full(len(b.stream), -1)
+        self.from_pair[t.both] = found3[t.place]
+        del self.tri, self.p2, self.c2, self.c3, self.k  # the arcs hold what a traversal needs
 
     def traverse(self) -> np.ndarray:
         """The log10 weight of each text. Texts are taken from left to right in lanes that go side by side; a lane that
@@ -513,10 +523,10 @@ class Automaton:
                 root = s == 0
                 weight[left[root]] += self.root_weight[w[root]]
                 after[left[root]] = self.root_to[w[root]]
-                left, s, w = left[~root], s[~root], w[~root]
-                code = s * n + w
-                k = np.minimum(np.searchsorted(self.arc, code), max(len(self.arc) - 1, 0))
-                hit = self.arc[k] == code if len(self.arc) else np.zeros(len(code), bool)
+                left, s = left[~root], s[~root]
+                token = place[left]
+                k = np.where(s >= n + 2, self.from_pair[token], self.from_word[token])
+                hit = k >= 0
                 weight[left[hit]] += self.arc_weight[k[hit]]
                 after[left[hit]] = self.arc_to[k[hit]]
                 left = left[~hit]
@@ -608,6 +618,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             total = np.zeros(ORDERS * BINS, np.int64)
             for _, a in automata(batches, known, None):
                 total += a.held_in(level)
+                del a  # before the next one is built
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
 
@@ -634,6 +645,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 [pa.array(pickle.loads(ids), arrow_kind), pa.array(b.held), pa.array(b.sizes, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), b.first), pa.int64()), pa.array(np.full(m, n), pa.int64()), pa.array(np.add.reduceat(base, b.first)), pa.array(a.traverse())],
                 ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
+            del a, b, c, base  # before the next one is built
 
     out = whole.mapInArrow(run, f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
