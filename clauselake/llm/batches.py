@@ -33,16 +33,22 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES
             at = to
 
 
+#: Bytes of a word that is remembered, at most; longer ones are worked out anew each time.
+LONGEST_KEPT = 64
+
+
 class WordHashes(dict):
-    """64-bit hashes by word; remembers a bounded number of words."""
+    """64-bit hashes by word; remembers a bounded number of words of bounded length."""
 
     def __init__(self, most: int = 200_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = found
         return found
 
     def of(self, words: list[bytes]) -> np.ndarray:

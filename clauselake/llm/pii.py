@@ -96,7 +96,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             after = m.end()
         at = text.find("@", max(at + 1, after))
     if _DIGIT.search(text):
-        out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 13:
                 d = m[0].replace(" ", "").replace("-", "")

@@ -5,8 +5,9 @@ and passes over the payloads of records that are not wanted, and of all if none
 compressed record by record. Compressed records written here say how long they are in an extra field of their gzip
 header, so that a reader inflates the headers alone and jumps to the next record.
 
-A file is read by one task unless the option splitBytes is given: then a larger one is cut, and each part begins at the
-first place behind the cut that looks like a record. That is for archives whose payloads hold no archives themselves.
+A file larger than the option splitBytes is cut, so that no task reads more than that; each part begins at the first
+place behind the cut that looks like a record. Archives whose payloads hold archives themselves need splitBytes=0, which
+leaves files whole.
 
 The module stands by itself, as Spark may load it in processes that do not have the package.
 """
@@ -35,6 +36,8 @@ SCHEMA = ", ".join(f"{c} string" for c in HEADERS) + ", payload_bytes long, payl
 _ARROW = pa.schema([*((c, pa.string()) for c in HEADERS), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
 #: Bytes of a file before the writer begins another, of files in a partition, and of payloads in a batch.
 FILE_BYTES, PARTITION_BYTES, BATCH_BYTES = 64 << 20, 64 << 20, 4 << 20
+#: Bytes of a file beyond which it is cut: twice what is written to one, so that files written here stay whole.
+SPLIT_BYTES = 128 << 20
 #: Payloads of fewer bytes are never written as revisits.
 LEAST_REVISIT = 1000
 #: The longest that a length of 32 bits can say.
@@ -199,7 +202,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.payloads = options["path"], str(options.get("payload", "true")).lower() == "true"
         self.most, self.tests = int(options.get("partitionBytes", PARTITION_BYTES)), []
-        self.split = int(options.get("splitBytes", 0))
+        self.split = int(options.get("splitBytes", SPLIT_BYTES))
 
     def pushFilters(self, filters):  # noqa: N802
         """Takes the predicates on header columns that it can apply to them; gives back the others."""
@@ -319,7 +322,7 @@ class WarcWriter(DataSourceWriter):
 
 class WarcDataSource(DataSource):
     """format("warc"). Options: path; payload=false leaves payloads unread; compress, fileBytes, partitionBytes;
-    splitBytes cuts larger files, see above."""
+    splitBytes cuts larger files (0: none), see above."""
 
     @classmethod
     def name(cls):

@@ -87,13 +87,21 @@ def test_long_texts_take_linear_time():
     import time
 
     n = 1_000_000
-    for t in ("1" * n, "(" + "a" * n, "a.b" * (n // 3), "(" + "a." * (n // 2), "1.2.3" * (n // 5), "+1" * (n // 2), "a at " * (n // 5), "@" * n, "a@" * (n // 2), "1.2.3.4 (5) x at y dot z " * (n // 26), "f:" * (n // 2), "token=;" * (n // 7), "A1 " * (n // 3)):
+    for t in ("1" * n, "(" + "a" * n, "a.b" * (n // 3), "(" + "a." * (n // 2), "1.2.3" * (n // 5), "+1" * (n // 2), "a at " * (n // 5), "@" * n, "a@" * (n // 2), "1.2.3.4 (5) x at y dot z " * (n // 26), "f:" * (n // 2), "token=;" * (n // 7), "A1 " * (n // 3), "a " + "0" * n + "1.2.3.4 x", "1." + "0" * n + ".2.3", "9" * n + ".1.2.3"):
         began = time.time()
         base = pii.base_spans(t)
         pii.candidates(t, base)
         assert time.time() - began < 12, t[:20]
 
 
+def test_parts_padded_with_zeros():
+    """A part's value counts, however many zeros stand before it."""
+    zeros = "0" * 5000
+    assert pii.base_spans(f"a {zeros}1.2.3.4") == [(1, 2, 5009)]
+    assert pii.base_spans(f"{zeros}.0.0.{zeros}255 ")[0][0] == 1
+    assert pii.base_spans(f"{zeros}256.2.3.4") == []
+
+
 def test_ip_pattern_against_plain():
     r = random.Random(8)
     for _ in range(20000):
