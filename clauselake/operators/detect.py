@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauselake.functions import packs, text
-from clauselake.session import ship
+from clauselake.session import materialize, ship
 
 
 def severity_rank(c: Column) -> Column:
@@ -83,40 +83,52 @@ def rule_scan(clauses: DataFrame, clause: str = "clause", rules: list[tuple] | N
     return hits.withColumns({"snippet": text.snippet(F.col(clause)), "score": score, "source": F.lit("regex")}).drop("freq", "base")
 
 
-def hybrid_merge(primary: DataFrame, semantic: DataFrame, keys: tuple[str, ...] = ("clause_idx", "risk_type")) -> DataFrame:
-    """Primary and semantic finds merged on clause and category.
+def to_places(x: Column, digits: int) -> Column:
+    """`x` rounded half to even by its decimal value: what floating point leaves within a millionth of the last place is
+    no part of it, so 0.7495 is a tie however it came about, and goes to 0.75."""
+    scale = 10**digits
+    return F.bround(F.round(x * F.lit(float(scale)), 6), 0) / F.lit(float(scale))
 
-    Several primary finds of a key become one: the first one's snippet, the highest score and severity, all keywords
-    in order. Where both sides have the key, the score is round(min(1, .55 p + .45 s + .08), 3), keywords are joined
-    without case-insensitive repeats, and Medium becomes High from a similarity of 0.65 on.
-    """
-    p = primary.groupBy(*keys).agg(
-        F.min_by("snippet", "ord").alias("p_snippet"),
-        F.max("score").alias("p_score"),
-        F.max(severity_rank(F.col("severity"))).alias("p_rank"),
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", "keyword"))), lambda x: x["keyword"]).alias("p_words"),
-        F.min("ord").alias("p_ord"),
+
+def _fused(finds: DataFrame, keys: list) -> DataFrame:
+    """Finds with the same `keys` as one. `first` tells the primary ones from the semantic ones, which are at most one for
+    a key; of the former the first one's snippet, the highest score and severity and all keywords in order count."""
+    of = lambda x, first=True: F.when(F.col("first") == first, x)
+    rank = severity_rank(F.col("severity"))
+    j = finds.groupBy(*keys).agg(
+        F.min_by("snippet", of(F.col("ord"))).alias("p_snippet"), F.max(of(F.col("score"))).alias("p_score"), F.max(of(rank)).alias("p_rank"), F.min_by("source", of(F.col("ord"))).alias("p_source"), F.min(of(F.col("ord"))).alias("p_ord"),
+        F.transform(F.array_sort(F.collect_list(of(F.struct("ord", "keyword")))), lambda x: x["keyword"]).alias("p_words"),
+        F.max(of(F.col("snippet"), False)).alias("s_snippet"), F.max(of(F.col("score"), False)).alias("s_score"), F.max(of(rank, False)).alias("s_rank"), F.max(of(F.col("keyword"), False)).alias("s_word"), F.min(of(F.col("ord"), False)).alias("s_ord"),
+        F.max("similarity").alias("similarity"),
     )
-    s = semantic.select(*keys, F.col("snippet").alias("s_snippet"), F.col("score").alias("s_score"), severity_rank(F.col("severity")).alias("s_rank"), F.col("keyword").alias("s_word"), "similarity")
-    j = p.join(s, list(keys), "full_outer")
+    names = [k for k in j.columns if k[:2] not in ("p_", "s_") and k != "similarity"]
     both = F.col("p_score").isNotNull() & F.col("s_score").isNotNull()
-    score = F.when(both, F.bround(F.least(F.lit(1.0), 0.55 * F.col("p_score") + 0.45 * F.col("s_score") + 0.08), 3)).otherwise(F.coalesce("p_score", "s_score"))
-    rank = F.when(both & (F.col("p_rank") == 2) & (F.col("s_score") >= 0.65), 3).otherwise(F.coalesce("p_rank", "s_rank"))
-    listed = F.filter(F.concat(F.coalesce("p_words", F.array().cast("array<string>")), F.array("s_word")), lambda w: w.isNotNull())
+    score = F.when(both, to_places(F.least(F.lit(1.0), 0.55 * F.col("p_score") + 0.45 * F.col("s_score") + 0.08), 3)).otherwise(F.coalesce("p_score", "s_score"))
+    best = F.when(both & (F.col("p_rank") == 2) & (F.col("s_score") >= 0.65), 3).otherwise(F.coalesce("p_rank", "s_rank"))
+    listed = F.array_compact(F.concat("p_words", F.array("s_word")))
     unique = F.filter(F.transform(listed, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_position(F.transform(listed, F.lower), F.lower(x["w"])) == x["i"] + 1)
-    kept = F.when(both, F.transform(unique, lambda x: x["w"])).otherwise(listed)
     return j.select(
-        *keys,
-        F.coalesce("p_snippet", "s_snippet").alias("snippet"),
-        score.alias("score"),
-        F.element_at(F.array(*map(F.lit, packs.SEVERITIES)), rank.cast("int")).alias("severity"),
-        F.concat_ws("|", kept).alias("keywords"),
-        F.concat_ws("+", F.when(F.col("p_score").isNotNull(), "regex"), F.when(F.col("s_score").isNotNull(), "semantic")).alias("source"),
-        "similarity",
-        F.col("p_ord").alias("ord"),
+        *names, F.coalesce("p_snippet", "s_snippet").alias("snippet"), score.alias("score"), F.element_at(F.array(*map(F.lit, packs.SEVERITIES)), best.cast("int")).alias("severity"),
+        F.when(both, F.transform(unique, lambda x: x["w"])).otherwise(listed).alias("words"),
+        F.when(both, "both").when(F.col("p_score").isNotNull(), F.col("p_source")).otherwise("semantic").alias("source"), "similarity", F.coalesce("p_ord", "s_ord").alias("ord"),
     )
 
 
+def hybrid_merge(primary: DataFrame, semantic: DataFrame, keys: tuple[str, ...] = ("clause_idx", "risk_type")) -> DataFrame:
+    """Primary and semantic finds merged on clause and category.
+
+    Several primary finds of a key become one: the first one's snippet, the highest score and severity, all keywords
+    in order. Where both sides have the key, the score is min(1, .55 p + .45 s + .08) to three places, see to_places();
+    keywords are joined without case-insensitive repeats, and Medium becomes High from a similarity of 0.65 on. Both
+    sides meet in one aggregation, so each is read once.
+    """
+    columns = [*keys, "snippet", "score", "severity", "keyword", "source", "similarity", "ord", "first"]
+    p = primary.withColumns({"source": F.lit("regex"), "similarity": F.lit(None).cast("double"), "first": F.lit(True)}).select(*columns)
+    s = semantic.withColumns({"source": F.lit("semantic"), "ord": F.lit(None).cast("long"), "first": F.lit(False)}).select(*columns)
+    out = _fused(p.unionByName(s), list(keys))
+    return out.withColumns({"keywords": F.concat_ws("|", "words"), "source": F.when(F.col("source") == "both", "regex+semantic").otherwise(F.col("source"))}).drop("words")
+
+
 def unlike(sets: list[list[str]], threshold: float) -> list[int]:
     """Positions of the sets that are not similar to one kept before: Jaccard similarity below the threshold.
 
@@ -245,20 +257,15 @@ def _concatenated(primary: DataFrame, semantic: DataFrame | None) -> DataFrame:
 
 
 def _merged(primary: DataFrame, semantic: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """hybrid_merge() of the documents that have finds of both kinds; the finds of others are as they were."""
-    p, s = (x.select(*keys).distinct() for x in (primary, semantic))
-    both = p.join(s, list(keys), "left_semi")
-    of = lambda x, how: x.join(both, list(keys), how)
-    m = hybrid_merge(of(primary, "left_semi"), of(semantic, "left_semi"), (*keys, "clause_idx", "risk_type"))
-    # of a merged find the semantic order counts only where there is no primary one
-    own = of(semantic, "left_semi").select(*keys, "clause_idx", "risk_type", F.col("ord").alias("s_ord"))
-    m = m.join(own, [*keys, "clause_idx", "risk_type"], "left").withColumn("ord", F.coalesce("ord", "s_ord"))
-    first = of(primary, "left_semi").groupBy(*keys, "clause_idx", "risk_type").agg(F.min_by("source", "ord").alias("own"))
-    m = m.join(first, [*keys, "clause_idx", "risk_type"], "left")
-    m = m.withColumn("source", F.when(F.col("source") == "regex+semantic", "both").when(F.col("source") == "semantic", "semantic").otherwise(F.col("own")))
-    m = m.select(*primary.columns[: len(keys)], "clause_idx", "risk_type", "severity", "score", "similarity", "source", "snippet", F.split("keywords", r"\|").alias("words"), "ord")
-    rest = of(primary, "left_anti").unionByName(of(semantic, "left_anti"))
-    return m.unionByName(rest.withColumn("words", F.array_compact(F.array("keyword"))).drop("keyword"))
+    """The finds of documents that have both kinds, merged by clause and category; the finds of others are as they were.
+
+    One shuffle by document: a window tells which have both kinds, and finds of the others are groups of their own.
+    """
+    rows = primary.withColumn("first", F.lit(True)).unionByName(semantic.withColumn("first", F.lit(False)))
+    kinds = Window.partitionBy(*keys)
+    both = F.bool_or("first").over(kinds) & F.bool_or(~F.col("first")).over(kinds)
+    out = _fused(rows.withColumn("alone", F.when(~both, F.col("ord"))), [*keys, "clause_idx", "risk_type", "alone"])
+    return out.select(*keys, "clause_idx", "risk_type", "severity", "score", "similarity", "source", "snippet", "words", "ord")
 
 
 def analyze_clauses(clauses: DataFrame, layers: tuple[str, ...] | None = None, classified: DataFrame | None = None, semantic: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id",), threshold: float | None = 0.7) -> DataFrame:
@@ -278,9 +285,9 @@ def analyze_clauses(clauses: DataFrame, layers: tuple[str, ...] | None = None, c
         active -= {"regex"} if classified is not None else {"ml"}
     named = [*keys, "clause_idx", "risk_type", "severity", "score", "similarity", "source", "snippet", "keyword", "ord"]
     none = F.lit(None).cast("double")
-    place = F.col("clause_idx") * 1_000_000
+    place = F.shiftleft(F.col("clause_idx").cast("long"), 35)  # below it 13 bits for rules and 22 for their matches
     rules = rule_scan(clauses.where(F.lit("regex" in active)))
-    primary = rules.withColumns({"similarity": none, "ord": F.lit(1 << 60) + place + F.col("rule_ord") * 1000 + F.col("match_ord")}).select(*named)
+    primary = rules.withColumns({"similarity": none, "ord": F.lit(1 << 60) + place + F.shiftleft(F.col("rule_ord").cast("long"), 22) + F.col("match_ord")}).select(*named)
     if "ml" in active and classified is not None:
         body = clauses.select(*keys, "clause_idx", text.snippet(F.col("clause")).alias("snippet"))
         found = ml_finds(classified).join(body, [*keys, "clause_idx"])
@@ -320,9 +327,10 @@ def analyze_document(docs: DataFrame, layers: tuple[str, ...] | None = None, thr
     a last de-duplication takes the whole document, and `rank` its scores. `section` is the header, null without one."""
     from clauselake.functions import chunking
 
-    cut = chunking.section_documents(docs, **sections)
+    cut = materialize(chunking.section_documents(docs, **sections), "sections")
     clauses = cut.select("doc_id", "sec", F.posexplode(text.clauses(F.col("text"))).alias("clause_idx", "clause"))
-    found = analyze_clauses(clauses, layers, keys=("doc_id", "sec"), threshold=threshold)
+    # read three times below
+    found = materialize(analyze_clauses(clauses, layers, keys=("doc_id", "sec"), threshold=threshold), "section-finds")
     top = found.groupBy("doc_id", "sec").agg(F.max("clause_idx").alias("max_idx"))
     starts = clause_offsets(cut.select("doc_id", "sec").join(top, ["doc_id", "sec"], "left")).select("doc_id", "sec", "offset")
     heads = cut.select("doc_id", "sec", F.nullif(F.col("header"), F.lit("")).alias("section"))

@@ -129,7 +129,7 @@ WITH p AS (SELECT clause_idx, risk_type, min_by(snippet, ord) AS ps, max(score)
 s AS (SELECT clause_idx, risk_type, snippet AS ss, score AS sc, CASE severity WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END AS sr, keyword AS sw FROM {X.MERGE_SEMANTIC.sql()}),
 j AS (SELECT coalesce(p.clause_idx, s.clause_idx) AS clause_idx, coalesce(p.risk_type, s.risk_type) AS risk_type, * EXCLUDE (clause_idx, risk_type), pc IS NOT NULL AND sc IS NOT NULL AS b FROM p FULL JOIN s ON p.clause_idx = s.clause_idx AND p.risk_type = s.risk_type),
 k AS (SELECT *, CASE WHEN sw IS NULL THEN pw WHEN pw IS NULL THEN [sw] ELSE list_concat(pw, [sw]) END AS w FROM j)
-SELECT clause_idx, risk_type, coalesce(ps, ss) AS snippet, CASE WHEN b THEN round_even(least(1.0, 0.55 * pc + 0.45 * sc + 0.08), 3) ELSE coalesce(pc, sc) END AS score,
+SELECT clause_idx, risk_type, coalesce(ps, ss) AS snippet, CASE WHEN b THEN round_even(round(least(1.0, 0.55 * pc + 0.45 * sc + 0.08) * 1000.0::DOUBLE, 6), 0) / 1000.0::DOUBLE ELSE coalesce(pc, sc) END AS score,
   ['Low', 'Medium', 'High'][CASE WHEN b AND pr = 2 AND sc >= 0.65 THEN 3 ELSE coalesce(pr, sr) END] AS severity,
   array_to_string(CASE WHEN b THEN list_filter(w, lambda x, i: list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i) ELSE w END, '|') AS keywords,
   CASE WHEN b THEN 'regex+semantic' WHEN pc IS NOT NULL THEN 'regex' ELSE 'semantic' END AS source FROM k
@@ -220,7 +220,7 @@ kp AS (SELECT doc_id, clause_idx, risk_type, max(score) AS pc, max({_RANK}) AS p
 ms AS (SELECT doc_id, clause_idx, risk_type, score AS sc, {_RANK} AS sr, similarity FROM m WHERE doc_id IN (FROM both_ids)),
 j AS (SELECT * FROM kp FULL JOIN ms USING (doc_id, clause_idx, risk_type)),
 u AS (
-  SELECT doc_id, clause_idx, risk_type, CASE WHEN pc IS NOT NULL AND sc IS NOT NULL THEN round_even(least(1.0, 0.55 * pc + 0.45 * sc + 0.08), 3) ELSE coalesce(pc, sc) END AS score,
+  SELECT doc_id, clause_idx, risk_type, CASE WHEN pc IS NOT NULL AND sc IS NOT NULL THEN round_even(round(least(1.0, 0.55 * pc + 0.45 * sc + 0.08) * 1000.0::DOUBLE, 6), 0) / 1000.0::DOUBLE ELSE coalesce(pc, sc) END AS score,
     ['Low', 'Medium', 'High'][CASE WHEN pc IS NOT NULL AND sc >= 0.65 AND pr = 2 THEN 3 ELSE coalesce(pr, sr) END] AS severity,
     CASE WHEN pc IS NOT NULL AND sc IS NOT NULL THEN 'both' WHEN pc IS NOT NULL THEN 'regex' ELSE 'semantic' END AS source, similarity FROM j
   UNION ALL SELECT doc_id, clause_idx, risk_type, score, severity, 'regex', NULL FROM k WHERE doc_id NOT IN (FROM both_ids)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # Tags that break a line, and tags whose content is not shown.
 _BREAKS = frozenset(("br", "p", "div", "tr", "li", "h1", "h2", "h3", "h4"))
 _HIDDEN = frozenset(("script", "style"))
+_SPACES = re.compile(r"[ \t]+")
 
 
 class _Text(HTMLParser):
@@ -29,7 +30,7 @@ class _Text(HTMLParser):
             self.shown.append("\n")
 
     def handle_endtag(self, tag):
-        if tag in _BREAKS:
+        if tag in _BREAKS and tag != "br":  # a line break has no end of its own
             self.shown.append("\n")
         elif tag in _HIDDEN and self.hidden:
             self.hidden -= 1
@@ -46,7 +47,8 @@ def to_text(html: str | None) -> str | None:
     p = _Text()
     p.feed(html)
     p.close()
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", "".join(p.shown))).strip()
+    lines = [_SPACES.sub(" ", line) for line in "".join(p.shown).split("\n")]
+    return "\n".join(line for line, before in zip(lines, ["", *lines]) if line or before).strip()
 
 
 def parsed(pages: DataFrame, html: str = "html") -> DataFrame:

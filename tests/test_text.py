@@ -94,7 +94,9 @@ def test_rule_extraction_quotes(spark):
 
 
 def test_html():
-    assert html.to_text("<p>a&amp;b</p><script>x<y</script><div>c  d</div>\n\n\n<br>e") == "a&b\nc d\n\ne"
+    assert html.to_text("<p>a&amp;b</p><script>x<y</script><div>c  d</div>\n\n\n<br>e") == "a&b\n\nc d\n\ne"
+    assert html.to_text("a<br/>b<br>c") == "a\nb\nc"
+    assert html.to_text("<ul><li/>x</ul>y<p/>z") == "xy\n\nz"
     assert html.to_text(None) is None and html.to_text("") == ""
 
 
