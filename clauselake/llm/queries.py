@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselake.llm import bpe, exact_dedup, lm, minhash, mixing, neighbours, patterns, phrases, pii, repetition, toxicity, warc
+from clauselake.llm import bpe, exact_dedup, lm, minhash, mixing, neighbours, patterns, phrases, pii, repetition, setjoin, toxicity, warc
 from clauselake.session import table
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": lambda spark, d: exact_dedup.query(table(spark, d, "documents")),
         "op9_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
         "op10_byte_bpe": lambda spark, d: bpe.query(table(spark, d, "documents")),
+        "op11_jaccard_join": lambda spark, d: setjoin.query(table(spark, d, "documents")),
         "op12_row_pattern": lambda spark, d: patterns.query(table(spark, d, "clicks")),
         "op13_collocations": lambda spark, d: phrases.query(table(spark, d, "documents")),
     }
