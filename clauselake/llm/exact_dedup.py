@@ -83,7 +83,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # so that no name of ours is taken
     doc_id, text = (f"c{names.index(c)}" for c in (id_col, text_col))
     rows = materialize(_keys(plain, doc_id, text), "exact-rows")
-    wide = _keys(plain, doc_id, text, F.unhex(F.sha2(_lower(text), 256)).alias("__sha"), *plain.columns)
+    wide, digest = _keys(plain, doc_id, text, *plain.columns), F.unhex(F.sha2(_lower(text), 256))
     shared = _shared_prefixes(rows)
     read = materialize(_keys(plain, doc_id, text, F.col(text).alias("__text")).join(shared, ["__len", "__prefix"], "left_semi").select("__id", "__len", "__prefix", F.unhex(F.sha2(ascii_lower(F.coalesce("__text", F.lit(""))), 256)).alias("__sha")), "exact-read")
     groups = sized(read.groupBy("__sha").agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__sha", "__keep"), "exact-digests")
@@ -92,13 +92,14 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = one.where("NOT __stays OR __times > 1").select(*[F.col(f"__{k}").alias(f"g_{k}") for k in ("id", "len", "prefix", "sha")])
     gone = sized(gone, "exact-gone")
     same = F.col("__id").eqNullSafe(F.col("g_id")) & (F.col("__len") == F.col("g_len")) & (F.col("__prefix") == F.col("g_prefix"))
-    # not an equality, which would make the digest a join key and so due for every row
-    same = same & F.startswith("__sha", "g_sha")
+    # no equality, which would make the digest a join key: as it is, it is worked out behind the join on narrow keys, for
+    # rows that these agree on, and no shuffle carries it
+    same = same & F.startswith(digest, F.col("g_sha"))
     left = wide.join(gone, same, "left_anti").select(*plain.columns)
     again = one.where("__stays AND __times > 1").select(*[F.col(f"__{k}").alias(f"g_{k}") for k in ("id", "len", "prefix", "sha")])
     if not again.isEmpty():
         row = F.struct(*plain.columns)
-        first = wide.join(sized(again, "exact-again"), same).groupBy("__id", "__sha").agg(F.min_by(row, F.xxhash64(*plain.columns)).alias("r"))
+        first = wide.join(sized(again, "exact-again"), same).groupBy("__id", F.col("g_sha").alias("__sha")).agg(F.min_by(row, F.xxhash64(*plain.columns)).alias("r"))
         left = left.union(first.select("r.*"))
     return left.toDF(*names)
 

@@ -196,30 +196,45 @@ def _met(edges: DataFrame, sets: DataFrame, weight: int, percent: int) -> DataFr
     return _binned(rows, ["a", "part"], 2 * weight).groupBy("bin").applyInArrow(run, "a long, b long")
 
 
-def _unsettled(members: DataFrame, classes: DataFrame, low: float) -> DataFrame:
+def _unsettled(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Edges that tie together what shares a bucket (bucket, cid, root, m), is in different components and near by its
-    registers: of each part of a bucket a spanning forest of these pairs."""
-    placed = members.withColumn("parts", F.ceil(F.col("m") / PART_MEMBERS)).withColumn("part", F.pmod(F.hash("cid"), F.col("parts")).cast("long"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    placed = placed.select("bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "cid", "root")
-    rows = placed.join(classes.select("cid", "bands"), "cid")
-    weight = (members.agg(F.sum(F.ceil(F.col("m") / PART_MEMBERS))).first()[0] or 0) * REGISTERS
+    registers: of each part of a bucket a spanning forest of these pairs.
+
+    Members of a bucket's largest component are never compared with each other: parts of the others meet each other and
+    those of the largest, so that a bucket of m members that are in one component but for a few costs in proportion to m.
+    """
+    by_root = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    major = by_root.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("x"), F.sum("c").alias("m"))
+    size = lambda c: F.ceil(c / PART_MEMBERS).cast("long")
+    parts = materialize(major.select("bucket", F.col("x.root").alias("major"), size(F.col("m") - F.col("x.c")).alias("minors"), size(F.col("x.c")).alias("majors")), "near-bucket-parts")
+    placed = members.join(parts, "bucket").withColumn("is_major", F.col("root") == F.col("major"))
+    part = F.when(F.col("is_major"), F.col("minors") + F.pmod(F.hash("cid"), F.col("majors"))).otherwise(F.pmod(F.hash("cid"), F.col("minors"))).cast("long")
+    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("is_major"), F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1)
+    met = placed.withColumn("part", part).withColumn("other", F.explode(others))
+    met = met.select("bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "cid", "root")
+    rows = met.join(classes.select("cid", "n", "bands"), "cid")
+    copies = F.col("minors") + F.when(F.col("is_major"), 0).otherwise(F.col("majors"))
+    weight = (placed.agg(F.sum(copies)).first()[0] or 0) * REGISTERS
+    low = percent / 100 - MARGIN
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         a, b = [], []
         rows = rows.append_column("place", pa.array(np.arange(rows.num_rows)))
         bands = rows.column("bands").combine_chunks().flatten().to_numpy().view("<u2").reshape(rows.num_rows, REGISTERS)
         for g in _groups(rows.drop_columns(["bands"]), ["bucket", "x", "y"]):
-            regs, root, part, cid = bands[g["place"]], np.array(g["root"]), np.array(g["part"]), g["cid"]
-            apart, top = g["x"][0] != g["y"][0], Forest(len(cid))
-            for i in range(len(cid) - 1):
-                near = (root[i + 1 :] != root[i]) & (estimate(regs[i + 1 :], regs[i][None]) >= low)
-                if apart:
-                    near &= part[i + 1 :] != part[i]
-                for j in np.flatnonzero(near) + i + 1:
-                    if top.join(i, int(j)):
-                        a.append(cid[i])
-                        b.append(cid[j])
+            part, cid, top = np.array(g["part"]), g["cid"], Forest(len(g["cid"]))
+            root, n, place = np.array(g["root"]), np.array(g["n"]), np.array(g["place"])
+            one, apart = np.flatnonzero(part == g["x"][0]), g["x"][0] != g["y"][0]
+            two = np.flatnonzero(part == g["y"][0])
+            for k, i in enumerate(one.tolist()):  # never a part of the largest component
+                rest = two if apart else two[k + 1 :]
+                # sets of sizes too far apart are not similar
+                rest = rest[(root[rest] != root[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))]
+                if len(rest):
+                    for j in rest[estimate(bands[place[rest]], bands[place[i]][None]) >= low].tolist():
+                        if top.join(i, j):
+                            a.append(cid[i])
+                            b.append(cid[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return _binned(rows, ["bucket", "x", "y"], weight).groupBy("bin").applyInArrow(run, "a long, b long")
@@ -333,7 +348,7 @@ def _linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shi
     mixed = _mixed(members, comp)
     if mixed.isEmpty():
         return comp
-    clusters = components(_unsettled(mixed, classes, low), "near-clusters")
+    clusters = components(_unsettled(mixed, classes, percent), "near-clusters")
     nodes = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct())
     inside = _rooted(nodes.select(F.col("node").alias("cid"), F.col("root").alias("cluster")), comp)
     return components(links.union(_checked(inside, sets, percent)), "near-components")
@@ -356,7 +371,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
     ship(docs.sparkSession)
     rows = materialize(sketches(docs, id_col, text_col, shingle), "near-sketches")
     rep = F.struct(F.col("id").isNull().alias("none"), "id", "th")  # null ids come last
-    classes = rows.where("n > 0").groupBy("hi", "lo").agg(F.min(rep).alias("rep"), F.first("bands").alias("bands"))
+    classes = rows.where("n > 0").groupBy("hi", "lo").agg(F.min(rep).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
     linked = _linked(docs, classes, id_col, text_col, shingle, percent)
     named = classes.select("cid", "hi", "lo", "rep").join(linked, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
