@@ -157,15 +157,27 @@ def _groups(rows: pa.Table, keys: list[str]) -> Iterator[dict[str, list]]:
         yield {c: [np.frombuffer(x, np.uint64) for x in part.column(c).to_pylist()] if pa.types.is_binary(part.schema.field(c).type) else part.column(c).to_pylist() for c in part.column_names}
 
 
-def _near(edges: DataFrame, classes: DataFrame, low: float) -> DataFrame:
-    """The edges (a, b) whose registers are near enough."""
-    both = edges.join(classes.select(F.col("cid").alias("a"), F.col("bands").alias("x")), "a").join(classes.select(F.col("cid").alias("b"), F.col("bands").alias("y")), "b").select("a", "b", "x", "y")
+#: 64-bit numbers that describe a set where sets are compared before they are fetched.
+WIDTH = REGISTERS // 4
+
+
+def _alike(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m shingles with registers a and b, in rows of WIDTH numbers, may be similar enough."""
+    of_size = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    return of_size & (estimate(a.view("<u2"), b.view("<u2")) >= percent / 100 - MARGIN)
+
+
+def _near(edges: DataFrame, classes: DataFrame, percent: int, alike=_alike) -> DataFrame:
+    """The edges (a, b) whose sets may be similar enough by what describes them."""
+    of = lambda cid, n, bands: classes.select(F.col("cid").alias(cid), F.col("n").alias(n), F.col("bands").alias(bands))
+    both = edges.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (batch.column(k).flatten().to_numpy().view("<u2").reshape(batch.num_rows, REGISTERS) for k in (2, 3))
-                yield batch.select(["a", "b"]).filter(pa.array(estimate(x, y) >= low))
+                n, m = (batch.column(k).to_numpy() for k in (2, 3))
+                x, y = (batch.column(k).flatten().to_numpy().reshape(batch.num_rows, WIDTH) for k in (4, 5))
+                yield batch.select(["a", "b"]).filter(pa.array(alike(x, n, y, m, percent)))
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -196,9 +208,9 @@ def _met(edges: DataFrame, sets: DataFrame, weight: int, percent: int) -> DataFr
     return _binned(rows, ["a", "part"], 2 * weight).groupBy("bin").applyInArrow(run, "a long, b long")
 
 
-def _unsettled(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _unsettled(members: DataFrame, classes: DataFrame, percent: int, alike=_alike) -> DataFrame:
     """Edges that tie together what shares a bucket (bucket, cid, root, m), is in different components and near by its
-    registers: of each part of a bucket a spanning forest of these pairs.
+    registers, or by `alike`: of each part of a bucket a spanning forest of these pairs.
 
     Members of a bucket's largest component are never compared with each other: parts of the others meet each other and
     those of the largest, so that a bucket of m members that are in one component but for a few costs in proportion to m.
@@ -215,12 +227,11 @@ def _unsettled(members: DataFrame, classes: DataFrame, percent: int) -> DataFram
     rows = met.join(classes.select("cid", "n", "bands"), "cid")
     copies = F.col("minors") + F.when(F.col("is_major"), 0).otherwise(F.col("majors"))
     weight = (placed.agg(F.sum(copies)).first()[0] or 0) * REGISTERS
-    low = percent / 100 - MARGIN
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         a, b = [], []
         rows = rows.append_column("place", pa.array(np.arange(rows.num_rows)))
-        bands = rows.column("bands").combine_chunks().flatten().to_numpy().view("<u2").reshape(rows.num_rows, REGISTERS)
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, WIDTH)
         for g in _groups(rows.drop_columns(["bands"]), ["bucket", "x", "y"]):
             part, cid, top = np.array(g["part"]), g["cid"], Forest(len(g["cid"]))
             root, n, place = np.array(g["root"]), np.array(g["n"]), np.array(g["place"])
@@ -228,10 +239,9 @@ def _unsettled(members: DataFrame, classes: DataFrame, percent: int) -> DataFram
             two = np.flatnonzero(part == g["y"][0])
             for k, i in enumerate(one.tolist()):  # never a part of the largest component
                 rest = two if apart else two[k + 1 :]
-                # sets of sizes too far apart are not similar
-                rest = rest[(root[rest] != root[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))]
+                rest = rest[root[rest] != root[i]]
                 if len(rest):
-                    for j in rest[estimate(bands[place[rest]], bands[place[i]][None]) >= low].tolist():
+                    for j in rest[alike(bands[place[rest]], n[rest], bands[place[i]][None], n[i], percent)].tolist():
                         if top.join(i, j):
                             a.append(cid[i])
                             b.append(cid[j])
@@ -331,7 +341,6 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingl
 
 def _linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """node, root of the classes that links tie to a smaller one."""
-    low = percent / 100 - MARGIN
     slots = classes.select("cid", F.posexplode("bands").alias("at", "band")).select("cid", F.xxhash64("at", "band").alias("bucket"))
     shared = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("a")).where("m > 1")
     members = materialize(slots.join(materialize(shared, "near-buckets"), "bucket"), "near-members")
@@ -342,7 +351,7 @@ def _linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shi
     weight = sets.agg(F.sum("n")).first()[0]
     if not weight:
         return classes.where("false").select(F.col("cid").alias("node"), F.col("cid").alias("root"))
-    near = materialize(_near(leaders.where("a <> cid").select("a", F.col("cid").alias("b")), classes, low), "near-edges")
+    near = materialize(_near(leaders.where("a <> cid").select("a", F.col("cid").alias("b")), classes, percent), "near-edges")
     links = materialize(_met(near, sets, weight, percent), "near-links")
     comp = components(links, "near-components")
     mixed = _mixed(members, comp)
