@@ -167,7 +167,7 @@ def _alike(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, percent:
     return of_size & (estimate(a.view("<u2"), b.view("<u2")) >= percent / 100 - MARGIN)
 
 
-def _near(edges: DataFrame, classes: DataFrame, percent: int, alike=_alike) -> DataFrame:
+def _near(edges: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The edges (a, b) whose sets may be similar enough by what describes them."""
     of = lambda cid, n, bands: classes.select(F.col("cid").alias(cid), F.col("n").alias(n), F.col("bands").alias(bands))
     both = edges.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
@@ -177,7 +177,7 @@ def _near(edges: DataFrame, classes: DataFrame, percent: int, alike=_alike) -> D
             if batch.num_rows:
                 n, m = (batch.column(k).to_numpy() for k in (2, 3))
                 x, y = (batch.column(k).flatten().to_numpy().reshape(batch.num_rows, WIDTH) for k in (4, 5))
-                yield batch.select(["a", "b"]).filter(pa.array(alike(x, n, y, m, percent)))
+                yield batch.select(["a", "b"]).filter(pa.array(_alike(x, n, y, m, percent)))
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -208,9 +208,9 @@ def _met(edges: DataFrame, sets: DataFrame, weight: int, percent: int) -> DataFr
     return _binned(rows, ["a", "part"], 2 * weight).groupBy("bin").applyInArrow(run, "a long, b long")
 
 
-def _unsettled(members: DataFrame, classes: DataFrame, percent: int, alike=_alike) -> DataFrame:
+def _unsettled(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Edges that tie together what shares a bucket (bucket, cid, root, m), is in different components and near by its
-    registers, or by `alike`: of each part of a bucket a spanning forest of these pairs.
+    registers: of each part of a bucket a spanning forest of these pairs.
 
     Members of a bucket's largest component are never compared with each other: parts of the others meet each other and
     those of the largest, so that a bucket of m members that are in one component but for a few costs in proportion to m.
@@ -241,7 +241,7 @@ def _unsettled(members: DataFrame, classes: DataFrame, percent: int, alike=_alik
                 rest = two if apart else two[k + 1 :]
                 rest = rest[root[rest] != root[i]]
                 if len(rest):
-                    for j in rest[alike(bands[place[rest]], n[rest], bands[place[i]][None], n[i], percent)].tolist():
+                    for j in rest[_alike(bands[place[rest]], n[rest], bands[place[i]][None], n[i], percent)].tolist():
                         if top.join(i, j):
                             a.append(cid[i])
                             b.append(cid[j])
@@ -269,11 +269,17 @@ class Forest:
         return i != j
 
 
-def _checked(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges that span what full sets link inside of clusters, from rows cluster, cid, root: all pairs of a cluster whose
-    roots differ are checked. The members of a cluster's largest component are never checked against each other, so
+def similar(common: np.ndarray, n: int, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m elements that share so many are linked."""
+    return 100 * common >= percent * (n + m - common)
+
+
+def _checked(inside: DataFrame, sets: DataFrame, percent: int, enough=similar) -> DataFrame:
+    """Edges that span what sets link inside of clusters, from rows cluster, cid, root: all pairs of a cluster whose
+    roots differ are checked, by `enough`, which tells by what the `set`s of two share and by their sizes n. The members of a cluster's largest component are never checked against each other, so
     its parts only meet those of the others."""
-    inside = materialize(inside.join(sets.select("cid", "n"), "cid"), "near-inside")
+    weight = (F.length("set") / 8).cast("long")  # a set is what is held of it, 8 bytes an element
+    inside = materialize(inside.join(sets.select("cid", weight.alias("n")), "cid"), "near-inside")
     by_root = inside.groupBy("cluster", "root").agg(F.sum("n").alias("w"))
     major = by_root.groupBy("cluster").agg(F.max(F.struct("w", "root"))["root"].alias("major"))
     placed = inside.join(major, "cluster").withColumn("is_major", F.col("root") == F.col("major"))
@@ -294,7 +300,7 @@ def _checked(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             order = sorted(range(len(g["cid"])), key=lambda i: g["n"][i])
             n, part, root = (np.array([g[c][i] for i in order]) for c in ("n", "part", "root"))
             cid, apart, top = [g["cid"][i] for i in order], g["x"][0] != g["y"][0], Forest(len(order))
-            at = np.concatenate([[0], np.cumsum(n)])
+            at = np.concatenate([[0], np.cumsum([len(g["set"][i]) for i in order])])
             ids = np.unique(np.concatenate([g["set"][i] for i in order]), return_inverse=True)[1]
             mark = np.zeros(int(ids.max()) + 1, np.int32)
             for i in range(len(order) - 1):
@@ -308,7 +314,7 @@ def _checked(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 mark[own] = 1
                 common = np.add.reduceat(mark[ids[at[i + 1] : at[to]]], at[i + 1 : to] - at[i + 1])
                 mark[own] = 0
-                near = differ & (100 * common >= percent * (n[i] + n[i + 1 : to] - common))
+                near = differ & enough(common, n[i], n[i + 1 : to], percent)
                 for j in np.flatnonzero(near) + i + 1:
                     if top.join(i, int(j)):
                         a.append(cid[i])

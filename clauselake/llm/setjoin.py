@@ -11,9 +11,9 @@ entries of lists scanned above it, as they were counted for these very sets.
 
 What meets is settled as the near-duplicate operator does it: a set is compared with the least one of its lists, what is
 linked is one component, and of a list only sets that are still in different components are compared with each other, in
-parts. Before full sets are fetched, a bitmap of each tells pairs that cannot be linked: a bit in which two differ stands
-for an element that only one of them has, so that more such bits than the difference may have elements rule a pair out.
-Every link is confirmed on full sets.
+parts. Before full sets are fetched, the rarest elements that two sets have posted are counted: of sets that are linked the
+first common elements are among those of both, and a pair that has posted fewer together is ruled out. Every link is
+confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.llm.batches import WordHashes, blocks, mix, windows
-from clauselake.llm.minhash import WIDTH, _checked, _met, _mixed, _near, _rooted, _sets, _unsettled, components, set_hash, shingles, text_hash
+from clauselake.llm.minhash import _checked, _met, _mixed, _rooted, _sets, components, set_hash, shingles, text_hash
 from clauselake.session import materialize, ship, sized
 
 #: log2 of the cells of the table that elements are ordered by, and of the pieces that it is added up in.
@@ -79,26 +79,18 @@ def boundary(sizes: dict[int, tuple[int, int]], percent: int) -> int:
     return min(range(MOST_LIGHT + 1), key=lambda most: (cost(most), most))
 
 
-def _thinned(n: np.ndarray) -> np.ndarray:
-    """How many times the elements of sets of n are halved before they go into a bitmap."""
-    return np.maximum(0, np.frexp(np.asarray(n) / (32 * WIDTH))[1])
+def posted(n: int, percent: int) -> int:
+    """The elements that a set of n posts: any partner has one of them."""
+    return n - partners(n, percent)[0] + 1
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """64 * WIDTH bits, as WIDTH numbers, that the elements of a sorted set set; of a large set those of least hash."""
-    halved = int(_thinned(len(s)))
-    if halved:
-        s = s[: np.searchsorted(s, np.uint64(1) << np.uint64(64 - halved))]
-    flags = np.zeros(64 * WIDTH, np.uint8)
-    flags[(s & np.uint64(64 * WIDTH - 1)).astype(np.int64)] = 1
-    return np.packbits(flags, bitorder="little").view("<i8")
-
-
-def possible(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of n and m elements with bitmaps a and b may be linked; bitmaps that are thinned unlike tell nothing."""
-    shared = -(-percent * (n + m) // (100 + percent))
-    differ = np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=1, dtype=np.int64)
-    return (shared <= np.minimum(n, m)) & ((differ <= n + m - 2 * shared) | (_thinned(n) != _thinned(m)))
+def enough_posted(common: np.ndarray, n: int, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m elements may be linked that have posted `common` elements together. Of linked sets all but
+    n - t elements of one are in the other, so that the j-th common element has at most the place j + n - t in one and
+    j + m - t in the other, and the first ones are posted by both."""
+    t = -(-percent * (n + m) // (100 + percent))
+    least = np.minimum(t - -(-percent * n // 100), t - -(-percent * m // 100)) + 1
+    return (t <= np.minimum(n, m)) & (common >= least)
 
 
 def _levels(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
@@ -155,27 +147,26 @@ def _rarest(s: np.ndarray, levels: np.ndarray, count: int) -> np.ndarray:
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """id, th (a hash of the text), n (size of the set), hi and lo (a hash of the set), bands (its bitmap), posts (its
-    rarest elements) and few (all elements of a set that may be light)."""
+    """id, th (a hash of the text), n (size of the set), hi and lo (a hash of the set), posts (its rarest elements) and
+    few (all elements of a set that may be light)."""
     levels, light = docs.sparkSession.sparkContext.broadcast(_levels(docs, text_col, shingle)), MOST_LIGHT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held = WordHashes(), levels.value
         for batch, texts in blocks(batches, "text"):
-            n, hi, lo, bands, posts, few = [], [], [], [], [], []
+            n, hi, lo, posts, few = [], [], [], [], []
             for t in texts:
                 s = shingles(t, hashes, shingle)
                 n.append(len(s))
                 h = set_hash(s) if len(s) else (None, None)
                 hi.append(h[0])
                 lo.append(h[1])
-                bands.append(bitmap(s) if len(s) else None)
-                posts.append(_rarest(s, held, len(s) - partners(len(s), percent)[0] + 1).view(np.int64) if len(s) else None)
+                posts.append(_rarest(s, held, posted(len(s), percent)).view(np.int64) if len(s) else None)
                 few.append(s.view(np.int64) if 0 < len(s) <= light else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in (bands, posts, few))], ["id", "th", "n", "hi", "lo", "bands", "posts", "few"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in (posts, few))], ["id", "th", "n", "hi", "lo", "posts", "few"])
 
     source = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, th long, n long, hi long, lo long, bands array<long>, posts array<long>, few array<long>")
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, th long, n long, hi long, lo long, posts array<long>, few array<long>")
 
 
 def _enumerated(classes: DataFrame, most: int, percent: int) -> DataFrame:
@@ -210,7 +201,7 @@ def _linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shi
     slots = materialize(_slots(classes, percent), "join-slots")
     members = materialize(slots.join(materialize(_lists(slots), "join-lists"), "bucket"), "join-members")
     leaders = members.groupBy("cid").agg(F.min("a").alias("a")).where("a <> cid").select("a", F.col("cid").alias("b"))
-    edges = materialize(_near(leaders, classes, percent, possible), "join-edges")
+    edges = materialize(_likely(leaders, classes, percent), "join-edges")
     sets = _fetched(docs, classes, edges, id_col, text_col, shingle)
     weight = sets.agg(F.sum("n")).first()[0] or 0
     links = materialize(_met(edges, sets, weight, percent), "join-links")
@@ -221,7 +212,9 @@ def _linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shi
     # of lists with the same sets one is enough
     alike = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.sum(F.shiftright(F.xxhash64("cid", F.lit(1)), 24)).alias("s"))
     one = materialize(alike.groupBy("c", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), "join-unlike")
-    open_pairs = materialize(_unsettled(mixed.join(one, "bucket"), classes, percent, possible), "join-open")
+    inside = mixed.join(one, "bucket").select(F.col("bucket").alias("cluster"), "cid", "root")
+    posts = materialize(_posts(classes.join(inside.select("cid").distinct(), "cid", "left_semi")), "join-posts")
+    open_pairs = materialize(_checked(inside, posts, percent, enough_posted), "join-open")
     if open_pairs.isEmpty():
         return comp
     more = _fetched(docs, classes, open_pairs, id_col, text_col, shingle, sets)
@@ -231,6 +224,25 @@ def _linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shi
     return components(links.union(_checked(inside, sets.union(more), percent)), "join-components")
 
 
+def _likely(edges: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The edges (a, b) whose sets have posted enough together."""
+    of = lambda cid, n, posts: classes.select(F.col("cid").alias(cid), F.col("n").alias(n), F.col("posts").alias(posts))
+    up = lambda x, by: F.ceil(percent * x / by).cast("long")
+    both = edges.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").withColumn("t", up(F.col("n") + F.col("m"), 100 + percent))
+    least = F.col("t") - up(F.greatest("n", "m"), 100) + 1
+    return both.where((F.col("t") <= F.least("n", "m")) & (F.size(F.array_intersect("x", "y")) >= least)).select("a", "b")
+
+
+def _posts(classes: DataFrame) -> DataFrame:
+    """cid, n and, as `set`, the sorted elements that a class has posted."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [np.sort(x.values.to_numpy().view(np.uint64)).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["cid", "n", "set"])
+
+    return classes.select("cid", "n", "posts").mapInArrow(run, "cid long, n long, set binary")
+
+
 def _fetched(docs: DataFrame, classes: DataFrame, edges: DataFrame, id_col: str, text_col: str, shingle: int, held: DataFrame | None = None) -> DataFrame:
     """The full sets of the classes in edges (a, b), but for those held."""
     ends = edges.select(F.col("a").alias("cid")).union(edges.select(F.col("b").alias("cid"))).distinct()
@@ -256,7 +268,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ship(docs.sparkSession)
     rows = materialize(_described(docs, id_col, text_col, shingle, percent), "join-rows")
     rep = F.struct(F.col("id").isNull().alias("none"), "id", "th")  # null ids come last
-    classes = rows.where("n > 0").groupBy("hi", "lo").agg(F.min(rep).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("posts").alias("posts"), F.first("few").alias("few"))
+    classes = rows.where("n > 0").groupBy("hi", "lo").agg(F.min(rep).alias("rep"), F.first("n").alias("n"), F.first("posts").alias("posts"), F.first("few").alias("few"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "join-classes")
     linked = _linked(docs, classes, id_col, text_col, shingle, percent)
     named = materialize(_rooted(classes.select("cid", "hi", "lo", "rep"), linked), "join-named")
