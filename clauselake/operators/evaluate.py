@@ -52,6 +52,12 @@ def field_metrics(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn), "accuracy": ratio(tp + tn, F.col("total"))})
 
 
+def in_order(metrics: DataFrame, name: str = "field") -> DataFrame:
+    """Metrics with `place`, by the name of what they are for. They are a row for each field or category, which are few,
+    so that one task orders them."""
+    return metrics.withColumn("place", F.row_number().over(Window.orderBy(name)))
+
+
 def macro_f1(metrics: DataFrame) -> DataFrame:
     """The mean F1 of fields that were counted, and whether it reaches 0.75."""
     m = metrics.where("total > 0").agg(F.bround(F.coalesce(F.avg("f1"), F.lit(0.0)), 3).alias("macro_f1"), F.count(F.lit(1)).alias("n_fields"))

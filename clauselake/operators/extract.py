@@ -26,9 +26,25 @@ EVIDENCE: dict[str, dict[str, str]] = {
 ONLY_WITH = {"liability": {"is_mutual": ("has_cap", "consequential_excluded"), "has_carve_outs": ("has_cap", "consequential_excluded")}}
 
 
-def found(sentences: Column, pattern: str) -> Column:
-    """The first sentence with the pattern, word for word."""
-    return F.try_element_at(F.filter(sentences, lambda s: F.rlike(s, F.lit("(?iu)" + pattern))), F.lit(1))
+#: What must not stand in the sentence that speaks for a field.
+GUARDS = {"liability": {"has_cap": "insur"}, "termination": {"has_termination_fee": "accrued"}, "payment": {"has_dispute_process": "arbitrat"}}
+
+
+def found(sentences: Column, pattern: str, guard: str = "") -> Column:
+    """The first sentence with the pattern and without the guard, word for word."""
+    hit = lambda s: F.rlike(s, F.lit("(?iu)" + pattern)) & ~F.rlike(s, F.lit("(?iu)" + guard)) if guard else F.rlike(s, F.lit("(?iu)" + pattern))
+    return F.try_element_at(F.filter(sentences, hit), F.lit(1))
+
+
+def _fields(sentences: Column, clause_type: str) -> dict[str, tuple[Column, Column]]:
+    """Each boolean field of the type: whether it holds, and the sentence that speaks for it."""
+    quotes = {f: found(sentences, p, GUARDS.get(clause_type, {}).get(f, "")) for f, p in EVIDENCE[clause_type].items()}
+    for f, others in ONLY_WITH.get(clause_type, {}).items():
+        some = F.lit(False)
+        for o in others:
+            some = some | quotes[o].isNotNull()
+        quotes[f] = F.when(some, quotes[f])
+    return {f: (q.isNotNull(), q) for f, q in quotes.items()}
 
 
 def extract_fields(clauses: DataFrame, clause_type: str, body: str = "clause") -> DataFrame:
@@ -37,14 +53,19 @@ def extract_fields(clauses: DataFrame, clause_type: str, body: str = "clause") -
     Everything is a column expression; quotes are verbatim. A null or empty text has false fields and no quotes.
     """
     s = clauses.withColumn("__s", F.coalesce(text.sentences(F.col(body)), F.array().cast("array<string>")))
-    out = s.withColumns({f"{f}_source_text": found(F.col("__s"), p) for f, p in EVIDENCE[clause_type].items()})
-    out = out.withColumns({f: F.col(f"{f}_source_text").isNotNull() for f in EVIDENCE[clause_type]})
-    for f, others in ONLY_WITH.get(clause_type, {}).items():
-        some = F.lit(False)
-        for o in others:
-            some = some | F.col(o)
-        out = out.withColumns({f: F.col(f) & some, f"{f}_source_text": F.when(some, F.col(f"{f}_source_text"))})
-    return out.drop("__s")
+    out = s.withColumns({f"{f}_source_text": q for f, (_, q) in _fields(F.col("__s"), clause_type).items()})
+    return out.withColumns({f: F.col(f"{f}_source_text").isNotNull() for f in EVIDENCE[clause_type]}).drop("__s")
+
+
+def all_fields(clauses: DataFrame, body: str = "clause", type_col: str = "clause_type") -> DataFrame:
+    """X2's default for clauses of all types in one scan: a row for each boolean field of a clause's type with field, value
+    and source_text. Clauses of unknown or null types have none; null and empty texts have false fields."""
+    keep, by_type = clauses.columns, F.lit(None)
+    s = clauses.withColumn("__s", F.coalesce(text.sentences(F.col(body)), F.array().cast("array<string>")))
+    for t in EVIDENCE:
+        rows = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value"), q.alias("source_text")) for f, (v, q) in _fields(F.col("__s"), t).items()])
+        by_type = F.when(F.col(type_col) == t, rows).otherwise(by_type)
+    return s.withColumn("__f", F.explode(by_type)).select(*keep, "__f.*")
 
 
 def as_record(extracted: DataFrame, clause_type: str) -> DataFrame:

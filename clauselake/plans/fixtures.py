@@ -149,6 +149,18 @@ _LAWS = {
 }
 LAWS = Derived("documents", chunk_id="doc_id", clause_type=pick("doc_id", *_LAWS), clause="CASE WHEN doc_id % 23 <> 0 THEN concat(coalesce(text, ''), ' ', CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN {pick(part('doc_id', 6), *of)}" for i, of in enumerate(_LAWS.values())) + " END) END")
 
+# Sentences with typed values, and some whose guards forbid one, by clause type.
+_TYPED = {
+    "liability": ("Total liability shall not exceed three (3) times the annual fees.", "Vendor's liability is limited to the amounts paid in the preceding twelve months.", "Liability is capped at $50,000 per incident.", "In no event shall liability of a party not exceed $1,000,000.", "Insurance shall be limited to USD 5,000,000 of coverage.", "The liability of each party is limited to direct loss."),
+    "termination": ("Either party may terminate for convenience upon sixty (60) days' prior written notice.", "Customer may terminate this order at any time upon ninety days notice.", "Provider may, for any reason, terminate access.", "The breaching party shall cure the breach within thirty (30) days.", "A default must be remedied within forty-five business days.", "A party may end this with notice of at least 10 days."),
+    "payment": ("Invoices are issued monthly and are payable net 45.", "Fees are due upon receipt and billed quarterly.", "Client shall pay within thirty (30) days of the invoice date.", "Overdue sums bear interest at 1.5% per month.", "A late fee of $25 applies to overdue sums.", "A charge of 5% is added to late amounts as a fee, and fees are paid in advance."),
+    "confidentiality": ("Obligations of confidence last for five (5) years.", "Obligations are perpetual and not limited to three years.", "Disclosed matter stays secret for 2 years.", "Nothing here is secret."),
+    "ip": ("Contractor hereby assigns all rights to Client.", "Customer shall assign the improvements to Vendor.", "Each party hereby assigns its share.", "Vendor may not assign this Agreement.", "Vendor grants a non-exclusive license.", "Vendor grants an exclusive license to use."),
+    "governing_law": ("This is governed by the laws of the State of New York and subject to exclusive jurisdiction of its courts.", "The laws of England and Wales apply, and courts have non-exclusive jurisdiction.", "Arbitration is by the American Arbitration Association.", "Claims go to mediation under JAMS rules.", "Any claim is arbitrated before the ICC under the laws of France."),
+}
+#: Texts of documents with such a sentence behind them.
+TYPED = Derived("documents", chunk_id="doc_id", clause_type=pick("doc_id", *_TYPED, "other"), clause="CASE WHEN doc_id % 29 <> 0 THEN concat(coalesce(text, ''), ' ', CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN {pick(part('doc_id', 7), *of)}" for i, of in enumerate(_TYPED.values())) + " ELSE '' END) END")
+
 #: Four boolean fields of three contracts in each group.
 COMPARED = Derived("events", grp=part("event_id", 12), ord=f"{part('event_id', 4)} % 3", name=pick(part("event_id", 4), "A", "B", "C"), field=pick("event_id", "has_cap", "has_carve_outs", "has_non_compete", "is_mutual"), value="CASE user_id % 5 WHEN 0 THEN TRUE WHEN 1 THEN TRUE WHEN 2 THEN FALSE WHEN 3 THEN FALSE END")
 

@@ -42,6 +42,11 @@ def eval_confusion(spark, d):
     return evaluate.confusion(_joined(spark, d), ["has_a", "has_b"], ["kind"])
 
 
+@query("metrics_in_order", _counts_sql() + f", m AS ({_METRICS}) SELECT *, row_number() OVER (ORDER BY field) AS place FROM m")
+def metrics_in_order(spark, d):
+    return evaluate.in_order(field_metrics(spark, d))
+
+
 @query("field_metrics", _counts_sql() + _METRICS)
 def field_metrics(spark, d):
     return evaluate.field_metrics(eval_confusion(spark, d))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clauselake.functions import packs
-from clauselake.operators import compare, extract, market, vectors
+from clauselake.operators import compare, extract, index, market, vectors
 from clauselake.plans import fixtures as X
 from clauselake.plans.catalog import query
-from clauselake.session import table
+from clauselake.session import scratch_path, table
 
 _DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
 _NEAR = f"""
@@ -60,6 +60,16 @@ def knn_for_benchmarking(spark, d):
     return _hits(spark, d, 10).select("query_id", "vec_id", F.bround("similarity", 4).alias("similarity"))
 
 
+@query("knn_index")
+def knn_index(spark, d):
+    """O3 through the inverted-file index: the ids divisible by 50 against all rows."""
+    e = table(spark, d, "embeddings")
+    path = scratch_path(spark, "knn-index")
+    index.write_index(e, path, index.cells_for(e.count()))
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return index.search(spark, path, queries, 5, index.probes_for(index.cells_for(e.count()))).select("query_id", "vec_id", "label", "similarity", "rank")
+
+
 @query("cosine_pairs", f"SELECT a.vec_id AS a_id, b.vec_id AS b_id, round_even({_DOT} / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine_pairs(spark, d):
     """M1 on neighbouring ids."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clauselake.functions import chunking, packs, text
-from clauselake.operators import evaluate, extract, learn, market
+from clauselake.operators import calibrate, evaluate, extract, learn, market, values
 from clauselake.plans import fixtures as X
 from clauselake.plans.catalog import query
 from clauselake.session import table
@@ -31,11 +31,15 @@ def sections_no_loss(spark, d):
     return g.select("doc_id", F.size(w).cast("long").alias("n_words"), F.md5(F.array_join(w, " ").cast("binary")).alias("words_md5"))
 
 
+def _matches_sql(pattern: str, of: str = "coalesce(clause, '')", flags: str = "(?i)") -> str:
+    return f"regexp_matches({of}, '{flags}" + pattern.replace("'", "''") + "')"
+
+
 def _fields_sql(t: str) -> str:
-    e = extract.EVIDENCE[t]
-    hit = {f: "regexp_matches(coalesce(clause, ''), '(?i)" + p.replace("'", "''") + "')" for f, p in e.items()}
+    guards = extract.GUARDS.get(t, {})
+    hit = {f: _matches_sql(p) + (f" AND NOT {_matches_sql(guards[f])}" if f in guards else "") for f, p in extract.EVIDENCE[t].items()}
     for f, others in extract.ONLY_WITH.get(t, {}).items():
-        hit[f] = f"({hit[f]} AND ({' OR '.join(hit[o] for o in others)}))"
+        hit[f] = f"({hit[f]} AND ({' OR '.join(f'({hit[o]})' for o in others)}))"
     return " UNION ALL ".join(f"SELECT chunk_id, clause_type, '{f}' AS field, {h} AS value FROM {X.LAWS.sql()} WHERE clause_type = '{t}'" for f, h in hit.items())
 
 
@@ -44,22 +48,37 @@ _FIELDS = " UNION ALL ".join(_fields_sql(t) for t in packs.CLAUSE_TYPES)
 
 @query("extract_fields", f"SELECT chunk_id, field, value FROM ({_FIELDS})")
 def extract_fields(spark, d):
-    out = None
-    for t in packs.CLAUSE_TYPES:
-        rows = extract.as_record(extract.extract_fields(X.LAWS.df(spark, d).where(F.col("clause_type") == t), t), t)
-        part = market.unpivot_bools(rows.select("chunk_id", "clause_type", "data")).select("chunk_id", "field", F.col("value"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return extract.all_fields(X.LAWS.df(spark, d)).select("chunk_id", "field", "value")
 
 
 @query("extract_and_benchmark", f"SELECT clause_type, field, count(*) FILTER (value) AS n_true, count(*) FILTER (NOT value) AS n_false, count(value) AS n_total, round_even(100.0 * count(*) FILTER (value) / count(value), 1) AS true_pct FROM ({_FIELDS}) GROUP BY ALL")
 def extract_and_benchmark(spark, d):
     """X5 with the default extractor: each field's share over the extracted clauses of its type."""
-    out = None
-    for t in packs.CLAUSE_TYPES:
-        rows = extract.as_record(extract.extract_fields(X.LAWS.df(spark, d).where(F.col("clause_type") == t), t), t)
-        out = rows.select("chunk_id", "clause_type", "data") if out is None else out.unionByName(rows.select("chunk_id", "clause_type", "data"))
-    return market.bool_distribution(market.unpivot_bools(out), "clause_type", "field")
+    return market.bool_distribution(extract.all_fields(X.LAWS.df(spark, d)), "clause_type", "field")
+
+
+def _values_sql() -> str:
+    """The typed fields over whole clauses, which have one sentence with evidence."""
+    known = "map {" + ", ".join(f"'{w}': {n}" for w, n in values.NUMBERS.items()) + "}"
+
+    def rule(r: values.Rule) -> str:
+        flags = "" if r.kind == "name" else "(?i)"
+        group = lambda k: f"nullif(regexp_extract(coalesce(clause, ''), '{flags}" + r.pattern.replace("'", "''") + f"', {k}), '')"
+        value = f"'{r.value}'" if r.value is not None else f"regexp_replace({group(1)}, '[.,]+$', '')" if r.kind == "name" else f"coalesce({group(3)}::INT, {group(1)}::INT, {known}[lower({group(2)})])::VARCHAR"
+        hit = _matches_sql(r.pattern, flags=flags) + (f" AND {_matches_sql(r.needs)}" if r.needs else "") + (f" AND NOT {_matches_sql(r.guard)}" if r.guard else "")
+        return f"CASE WHEN {hit} THEN {value} END"
+
+    parts = []
+    for t, f in dict.fromkeys((r.clause_type, r.field) for r in values.RULES):
+        of = ", ".join(rule(r) for r in values.RULES if (r.clause_type, r.field) == (t, f))
+        parts.append(f"SELECT chunk_id, '{f}' AS field, coalesce({of}) AS value FROM {X.TYPED.sql()} WHERE clause_type = '{t}'")
+    return " UNION ALL ".join(parts)
+
+
+@query("extract_values", _values_sql())
+def extract_values(spark, d):
+    """X2's typed fields: choices, numbers and names."""
+    return values.extract_values(X.TYPED.df(spark, d)).select("chunk_id", "field", "value")
 
 
 _PROMPTS = X.Fixture("clause_type string, system string, template string", [(t, f"Read {t}.", "Clause: {clause_text} End.") for t in packs.CLAUSE_TYPES[:4]])
@@ -137,6 +156,14 @@ def classifier_metrics(spark, d):
     return evaluate.field_metrics(c)
 
 
+@query("classifier_calibration")
+def classifier_calibration(spark, d):
+    """M4: strength by macro-F1 of five folds, and the calibration error before and after sigmoids on out-of-fold scores."""
+    docs = learn.embed(table(spark, d, "documents").select("doc_id", "text"), learn.hashing_encoder(64))
+    rows = docs.join(table(spark, d, "labels"), "doc_id").select("doc_id", "quality", "embedding")
+    return calibrate.report(calibrate.cross_validated(rows, "doc_id", "quality"))
+
+
 @query("compare_contracts")
 def compare_contracts(spark, d):
     """X9 with the default extractor: neighbouring clauses of one type as the contracts of a group."""

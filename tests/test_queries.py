@@ -13,6 +13,8 @@ MODELS = {
     "compare_contracts": "test_models.test_compare_contracts",
     "label_split": "test_models.test_label_split",
     "embed_documents": "test_models.test_embed_documents",
+    "classifier_calibration": "test_calibrate.test_calibration_lowers_the_error",
+    "knn_index": "test_index.test_recall",
     "classifier_metrics": "test_models.test_classifier_metrics",
 }
 
