@@ -11,6 +11,7 @@ from clauselake.plans import queries_eval as E
 from clauselake.plans import queries_market as M
 from clauselake.plans.catalog import query
 from clauselake.sources import tables
+from clauselake.streaming import quotas
 
 _LONG = X.Derived("events", backend=X.pick(X.part("event_id", 24), "own", "small", "large"), clause_type=X.pick(X.part("event_id", 6), *packs.CLAUSE_TYPES), id=X.part("event_id", 6), field="concat('f', CAST(event_id % 6 AS STRING))", truth="CASE WHEN user_id % 4 < 3 THEN user_id % 4 < 2 END", pred="CASE WHEN event_id % 7 < 6 THEN (event_id + user_id) % 5 < 3 END")
 
@@ -114,3 +115,9 @@ FROM q LEFT JOIN z USING (query_id) LEFT JOIN c USING (query_id) LEFT JOIN t USI
 def benchmark_clauses(spark, d):
     """X5 from the hits on, for every fiftieth order as the clause of a user."""
     return market.benchmark(_QUERIES.df(spark, d), _BENCH.df(spark, d), X.EXTRACTIONS.df(spark, d), X.CONTRACTS.df(spark, d))
+
+
+@query("quota_limits")
+def quota_limits(spark, d):
+    """ST3: four quotas of each user at once, in the order of events; refused ones use nothing."""
+    return quotas.quotas(table(spark, d, "events"))

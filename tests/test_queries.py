@@ -14,6 +14,7 @@ MODELS = {
     "label_split": "test_models.test_label_split",
     "embed_documents": "test_models.test_embed_documents",
     "classifier_calibration": "test_calibrate.test_calibration_lowers_the_error",
+    "quota_limits": "test_quotas.test_table_against_plain",
     "knn_index": "test_index.test_recall",
     "classifier_metrics": "test_models.test_classifier_metrics",
 }
