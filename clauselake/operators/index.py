@@ -88,7 +88,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
     if len(rows) > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries at once")
     centres = np.array([r["centre"] for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()])  # at most MOST_CELLS
-    matrix = np.array([r["embedding"] for r in rows], float).reshape(len(rows), -1)
+    matrix = np.array([r["embedding"] for r in rows], float).reshape(len(rows), centres.shape[1])
     near = np.argsort(-(unit(matrix) @ centres.T), axis=1, kind="stable")[:, :probes] if rows else np.empty((0, 0), int)
     by_cell = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
     shared = spark.sparkContext.broadcast((unit(matrix), by_cell))
