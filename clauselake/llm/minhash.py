@@ -274,16 +274,17 @@ def similar(common: np.ndarray, n: int, m: np.ndarray, percent: int) -> np.ndarr
     return 100 * common >= percent * (n + m - common)
 
 
-def _checked(inside: DataFrame, sets: DataFrame, percent: int, enough=similar) -> DataFrame:
+def _checked(inside: DataFrame, sets: DataFrame, percent: int, enough=similar, most: int | None = None) -> DataFrame:
     """Edges that span what sets link inside of clusters, from rows cluster, cid, root: all pairs of a cluster whose
-    roots differ are checked, by `enough`, which tells by what the `set`s of two share and by their sizes n. The members of a cluster's largest component are never checked against each other, so
+    roots differ are checked, by `enough`, which tells by what the `set`s of two share and by their sizes n, in parts of `most` elements. The members of a cluster's largest component are never checked against each other, so
     its parts only meet those of the others."""
+    most = most or PART_SHINGLES
     weight = (F.length("set") / 8).cast("long")  # a set is what is held of it, 8 bytes an element
     inside = materialize(inside.join(sets.select("cid", weight.alias("n")), "cid"), "near-inside")
     by_root = inside.groupBy("cluster", "root").agg(F.sum("n").alias("w"))
     major = by_root.groupBy("cluster").agg(F.max(F.struct("w", "root"))["root"].alias("major"))
     placed = inside.join(major, "cluster").withColumn("is_major", F.col("root") == F.col("major"))
-    size = lambda c: F.coalesce(F.ceil(F.sum(F.when(c, F.col("n"))) / PART_SHINGLES), F.lit(0)).cast("long")
+    size = lambda c: F.coalesce(F.ceil(F.sum(F.when(c, F.col("n"))) / most), F.lit(0)).cast("long")
     parts = materialize(placed.groupBy("cluster", "major").agg(size(~F.col("is_major")).alias("minors"), size(F.col("is_major")).alias("majors")), "near-parts")
     placed = inside.join(parts, "cluster").withColumn("is_major", F.col("root") == F.col("major"))
     part = F.when(F.col("is_major"), F.col("minors") + F.pmod(F.hash("cid"), F.col("majors"))).otherwise(F.pmod(F.hash("cid"), F.col("minors"))).cast("long")

@@ -37,6 +37,8 @@ from clauselake.session import materialize, ship, sized
 CELL_BITS, PIECE_BITS = 22, 6
 #: Tables that are added up at once.
 TABLES = 64
+#: Posted elements of the sets of a list that are compared at once, 8 bytes each.
+PART_POSTS = 250_000
 #: Elements of a set that may be light, at most.
 MOST_LIGHT = 40
 
@@ -214,7 +216,7 @@ def _linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shi
     one = materialize(alike.groupBy("c", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), "join-unlike")
     inside = mixed.join(one, "bucket").select(F.col("bucket").alias("cluster"), "cid", "root")
     posts = materialize(_posts(classes.join(inside.select("cid").distinct(), "cid", "left_semi")), "join-posts")
-    open_pairs = materialize(_checked(inside, posts, percent, enough_posted), "join-open")
+    open_pairs = materialize(_checked(inside, posts, percent, enough_posted, PART_POSTS), "join-open")
     if open_pairs.isEmpty():
         return comp
     more = _fetched(docs, classes, open_pairs, id_col, text_col, shingle, sets)
