@@ -274,11 +274,10 @@ def similar(common: np.ndarray, n: int, m: np.ndarray, percent: int) -> np.ndarr
     return 100 * common >= percent * (n + m - common)
 
 
-def _checked(inside: DataFrame, sets: DataFrame, percent: int, enough=similar, most: int | None = None) -> DataFrame:
-    """Edges that span what sets link inside of clusters, from rows cluster, cid, root: all pairs of a cluster whose
-    roots differ are checked, by `enough`, which tells by what the `set`s of two share and by their sizes n, in parts of `most` elements. The members of a cluster's largest component are never checked against each other, so
-    its parts only meet those of the others."""
-    most = most or PART_SHINGLES
+def _dealt(inside: DataFrame, sets: DataFrame, most: int) -> DataFrame:
+    """What is to be compared inside of clusters, from rows cluster, cid, root: rows of a bin, with the `set` of each, in
+    parts x and y of `most` 64-bit numbers, of which all pairs meet. The members of a cluster's largest component are
+    never to be compared with each other, so its parts only meet those of the others."""
     weight = (F.length("set") / 8).cast("long")  # a set is what is held of it, 8 bytes an element
     inside = materialize(inside.join(sets.select("cid", weight.alias("n")), "cid"), "near-inside")
     by_root = inside.groupBy("cluster", "root").agg(F.sum("n").alias("w"))
@@ -294,6 +293,13 @@ def _checked(inside: DataFrame, sets: DataFrame, percent: int, enough=similar, m
     rows = met.join(sets, "cid")
     copies = F.col("minors") + F.when(F.col("is_major"), 0).otherwise(F.col("majors"))
     weight = placed.agg(F.sum(F.col("n") * copies)).first()[0] or 0
+    return _binned(rows, ["cluster", "x", "y"], weight)
+
+
+def _checked(inside: DataFrame, sets: DataFrame, percent: int, enough=similar, most: int | None = None) -> DataFrame:
+    """Edges that span what sets link inside of clusters, from rows cluster, cid, root: all pairs of a cluster whose
+    roots differ are checked, by `enough`, which tells by what the `set`s of two share and by their sizes n, in parts of
+    `most` elements; see _dealt()."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         a, b = [], []
@@ -322,7 +328,7 @@ def _checked(inside: DataFrame, sets: DataFrame, percent: int, enough=similar, m
                         b.append(cid[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return _binned(rows, ["cluster", "x", "y"], weight).groupBy("bin").applyInArrow(run, "a long, b long")
+    return _dealt(inside, sets, most or PART_SHINGLES).groupBy("bin").applyInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:

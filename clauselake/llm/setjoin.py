@@ -11,9 +11,9 @@ entries of lists scanned above it, as they were counted for these very sets.
 
 What meets is settled as the near-duplicate operator does it: a set is compared with the least one of its lists, what is
 linked is one component, and of a list only sets that are still in different components are compared with each other, in
-parts. Before full sets are fetched, the rarest elements that two sets have posted are counted: of sets that are linked the
-first common elements are among those of both, and a pair that has posted fewer together is ruled out. Every link is
-confirmed on full sets.
+parts. Before full sets are fetched, a leader and a member are ruled out if they have posted too few elements together: of
+sets that are linked the first common elements are among those of both. Sets of a list are compared by bitmaps of parities,
+a thirtieth to a sixtieth of a set, which tell how many elements two sets have at least that the other one has not. Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -30,15 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.llm.batches import WordHashes, blocks, mix, windows
-from clauselake.llm.minhash import _checked, _met, _mixed, _rooted, _sets, components, set_hash, shingles, text_hash
-from clauselake.session import materialize, ship, sized
+from clauselake.llm.minhash import Forest, _checked, _dealt, _groups, _met, _mixed, _rooted, _sets, components, set_hash, shingles, text_hash
+from clauselake.session import discard, materialize, ship, sized, written
 
 #: log2 of the cells of the table that elements are ordered by, and of the pieces that it is added up in.
 CELL_BITS, PIECE_BITS = 22, 6
 #: Tables that are added up at once.
 TABLES = 64
-#: Posted elements of the sets of a list that are compared at once, 8 bytes each.
+#: Elements of sets, or words of bitmaps, that are compared at once, 8 bytes each.
 PART_POSTS = 250_000
+#: Bits that a bitmap of parities has for each element, at least; twice as many at most.
+PARITY_BITS = 1
 #: Elements of a set that may be light, at most.
 MOST_LIGHT = 40
 
@@ -89,7 +91,7 @@ def posted(n: int, percent: int) -> int:
 def enough_posted(common: np.ndarray, n: int, m: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of n and m elements may be linked that have posted `common` elements together. Of linked sets all but
     n - t elements of one are in the other, so that the j-th common element has at most the place j + n - t in one and
-    j + m - t in the other, and the first ones are posted by both."""
+    j + m - t in the other, and the first ones are posted by both. _likely() applies it."""
     t = -(-percent * (n + m) // (100 + percent))
     least = np.minimum(t - -(-percent * n // 100), t - -(-percent * m // 100)) + 1
     return (t <= np.minimum(n, m)) & (common >= least)
@@ -149,14 +151,14 @@ def _rarest(s: np.ndarray, levels: np.ndarray, count: int) -> np.ndarray:
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """id, th (a hash of the text), n (size of the set), hi and lo (a hash of the set), posts (its rarest elements) and
-    few (all elements of a set that may be light)."""
+    """id, th (a hash of the text), n (size of the set), hi and lo (a hash of the set), posts (its rarest elements),
+    few (all elements of a set that may be light) and map (its bitmap of parities)."""
     levels, light = docs.sparkSession.sparkContext.broadcast(_levels(docs, text_col, shingle)), MOST_LIGHT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held = WordHashes(), levels.value
         for batch, texts in blocks(batches, "text"):
-            n, hi, lo, posts, few = [], [], [], [], []
+            n, hi, lo, posts, few, maps = [], [], [], [], [], []
             for t in texts:
                 s = shingles(t, hashes, shingle)
                 n.append(len(s))
@@ -165,10 +167,11 @@ def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int, percen
                 lo.append(h[1])
                 posts.append(_rarest(s, held, posted(len(s), percent)).view(np.int64) if len(s) else None)
                 few.append(s.view(np.int64) if 0 < len(s) <= light else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in (posts, few))], ["id", "th", "n", "hi", "lo", "posts", "few"])
+                maps.append(parity(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in (posts, few)), pa.array(maps, pa.binary())], ["id", "th", "n", "hi", "lo", "posts", "few", "map"])
 
     source = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, th long, n long, hi long, lo long, posts array<long>, few array<long>")
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, th long, n long, hi long, lo long, posts array<long>, few array<long>, map binary")
 
 
 def _enumerated(classes: DataFrame, most: int, percent: int) -> DataFrame:
@@ -200,8 +203,10 @@ def _slots(classes: DataFrame, percent: int) -> DataFrame:
 
 def _linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """node, root of the classes that links tie to a smaller one."""
-    slots = materialize(_slots(classes, percent), "join-slots")
-    members = materialize(slots.join(materialize(_lists(slots), "join-lists"), "bucket"), "join-members")
+    slots, at = written(_slots(classes, percent), "join-slots")
+    lists, lists_at = written(_lists(slots), "join-lists")
+    members, members_at = written(slots.join(lists, "bucket"), "join-members")
+    discard(docs.sparkSession, at, lists_at)
     leaders = members.groupBy("cid").agg(F.min("a").alias("a")).where("a <> cid").select("a", F.col("cid").alias("b"))
     edges = materialize(_likely(leaders, classes, percent), "join-edges")
     sets = _fetched(docs, classes, edges, id_col, text_col, shingle)
@@ -209,21 +214,89 @@ def _linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shi
     links = materialize(_met(edges, sets, weight, percent), "join-links")
     comp = components(links, "join-components")
     mixed = _mixed(members, comp)
+    discard(docs.sparkSession, members_at)
     if mixed.isEmpty():
         return comp
     # of lists with the same sets one is enough
     alike = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.sum(F.shiftright(F.xxhash64("cid", F.lit(1)), 24)).alias("s"))
     one = materialize(alike.groupBy("c", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), "join-unlike")
     inside = mixed.join(one, "bucket").select(F.col("bucket").alias("cluster"), "cid", "root")
-    posts = materialize(_posts(classes.join(inside.select("cid").distinct(), "cid", "left_semi")), "join-posts")
-    open_pairs = materialize(_checked(inside, posts, percent, enough_posted, PART_POSTS), "join-open")
-    if open_pairs.isEmpty():
+    maps = classes.join(inside.select("cid").distinct(), "cid", "left_semi").select("cid", "n", F.col("map").alias("set"))
+    near = materialize(_alike(inside, materialize(maps, "join-parities"), percent), "join-near")
+    if near.isEmpty():
         return comp
-    more = _fetched(docs, classes, open_pairs, id_col, text_col, shingle, sets)
-    clusters = components(open_pairs, "join-clusters")
+    more = _fetched(docs, classes, near, id_col, text_col, shingle, sets)
+    return _settled(links, near, materialize(sets.union(more), "join-all-sets"), percent)
+
+
+def _clustered(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """cluster, cid, root of what `pairs` (a, b) tie together and is in several components still."""
+    clusters = components(pairs, "join-clusters")
     nodes = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct())
     inside = _rooted(nodes.select(F.col("node").alias("cid"), F.col("root").alias("cluster")), comp)
-    return components(links.union(_checked(inside, sets.union(more), percent)), "join-components")
+    several = inside.groupBy("cluster").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("cluster")
+    return materialize(inside.join(several, "cluster", "left_semi"), "join-inside")
+
+
+def _settled(links: DataFrame, near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, root with what is linked among classes that `near` ties together: pairs (a, b) that span what bitmaps leave.
+
+    Nearly all of these are links, so they are checked first. Only what is in several components then has all pairs of
+    its cluster checked on full sets.
+    """
+    weight = near.join(sets.select(F.col("cid").alias("b"), "n"), "b").agg(F.sum("n")).first()[0] or 0
+    links = materialize(links.union(_met(near, sets, weight, percent)), "join-links")
+    comp = components(links, "join-components")
+    inside = _clustered(near, comp)
+    return comp if inside.isEmpty() else components(links.union(_checked(inside, sets, percent, most=PART_POSTS)), "join-components")
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bitmap with the parity of the number of elements whose low bits name a bit, of 2**k words of 64 bits. Two such
+    bitmaps of one size differ in no more bits than sets differ in elements."""
+    bits = max(64, 1 << (PARITY_BITS * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap that the same set has in fewer words."""
+    return np.bitwise_xor.reduce(bitmap.reshape(-1, words), axis=0)
+
+
+def may_link(differ: np.ndarray, n: int, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m elements may be linked that differ in `differ` elements at least."""
+    t = -(-percent * (n + m) // (100 + percent))
+    return (t <= np.minimum(n, m)) & (differ <= n + m - 2 * t)
+
+
+def _alike(inside: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that span, in each pair of parts of a cluster, the pairs of different roots that bitmaps do not rule
+    out."""
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        a, b = [], []
+        for g in _groups(rows, ["cluster", "x", "y"]):
+            order = np.argsort(np.array(g["n"]), kind="stable").tolist()
+            n, part, root = (np.array([g[c][i] for i in order]) for c in ("n", "part", "root"))
+            cid, held, top = [g["cid"][i] for i in order], [g["set"][i] for i in order], Forest(len(order))
+            words, apart = np.array([len(x) for x in held]), g["x"][0] != g["y"][0]  # both n and words rise
+            for size in np.unique(words).tolist():
+                begin, end = np.searchsorted(words, size, "left"), np.searchsorted(words, size, "right")
+                last = np.searchsorted(n, n[end - 1] * 100 // percent, "right")
+                matrix = np.stack([folded(x, size) for x in held[begin:last]])
+                for i in range(begin, end):
+                    to = int(np.searchsorted(n, n[i] * 100 // percent, "right"))  # a larger set cannot be similar enough
+                    rest = np.arange(i + 1, to)
+                    rest = rest[(root[rest] != root[i]) & ((part[rest] != part[i]) | (not apart))]
+                    if len(rest):
+                        differ = np.bitwise_count(matrix[rest - begin] ^ matrix[i - begin]).sum(axis=1, dtype=np.int64)
+                        for j in rest[may_link(differ, n[i], n[rest], percent)].tolist():
+                            if top.join(i, j):
+                                a.append(cid[i])
+                                b.append(cid[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return _dealt(inside, maps, PART_POSTS).groupBy("bin").applyInArrow(run, "a long, b long")
 
 
 def _likely(edges: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -235,16 +308,6 @@ def _likely(edges: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where((F.col("t") <= F.least("n", "m")) & (F.size(F.array_intersect("x", "y")) >= least)).select("a", "b")
 
 
-def _posts(classes: DataFrame) -> DataFrame:
-    """cid, n and, as `set`, the sorted elements that a class has posted."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [np.sort(x.values.to_numpy().view(np.uint64)).tobytes() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["cid", "n", "set"])
-
-    return classes.select("cid", "n", "posts").mapInArrow(run, "cid long, n long, set binary")
-
-
 def _fetched(docs: DataFrame, classes: DataFrame, edges: DataFrame, id_col: str, text_col: str, shingle: int, held: DataFrame | None = None) -> DataFrame:
     """The full sets of the classes in edges (a, b), but for those held."""
     ends = edges.select(F.col("a").alias("cid")).union(edges.select(F.col("b").alias("cid"))).distinct()
@@ -270,7 +333,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ship(docs.sparkSession)
     rows = materialize(_described(docs, id_col, text_col, shingle, percent), "join-rows")
     rep = F.struct(F.col("id").isNull().alias("none"), "id", "th")  # null ids come last
-    classes = rows.where("n > 0").groupBy("hi", "lo").agg(F.min(rep).alias("rep"), F.first("n").alias("n"), F.first("posts").alias("posts"), F.first("few").alias("few"))
+    classes = rows.where("n > 0").groupBy("hi", "lo").agg(F.min(rep).alias("rep"), F.first("n").alias("n"), F.first("posts").alias("posts"), F.first("few").alias("few"), F.first("map").alias("map"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "join-classes")
     linked = _linked(docs, classes, id_col, text_col, shingle, percent)
     named = materialize(_rooted(classes.select("cid", "hi", "lo", "rep"), linked), "join-named")

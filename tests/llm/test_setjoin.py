@@ -47,6 +47,45 @@ def test_against_all_pairs(spark, monkeypatch, most):
     assert got == brute(items(), 3, 90)
 
 
+@pytest.mark.parametrize("part", [None, 40])
+def test_families_around_the_threshold(spark, monkeypatch, part):
+    """A large family of near copies, of which about as many pairs are linked as not, in one part and in many."""
+    if part:
+        monkeypatch.setattr(setjoin, "PART_POSTS", part)
+    r = random.Random(8)
+    base, out = [f"v{k}" for k in range(260)], []
+    for k in range(120):
+        words = list(base)
+        for _ in range(r.choice([2, 4, 5, 6, 9])):
+            words[r.randrange(len(words))] = f"x{k}y{r.randrange(10**6)}"
+        out.append(" ".join(words[: r.randrange(235, 261)]))
+    texts = list(enumerate(out))
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], SCHEMA).repartition(5)
+    got = {(x["doc_id"], x["n_shingles"], x["component_id"]) for x in setjoin.query(df).collect()}
+    want = brute(texts, 3, 90)
+    assert got == want
+    assert 1 < len({c for _, _, c in want}) < 120
+
+
+def test_parities_bound_the_difference():
+    r, close = np.random.default_rng(6), 0
+    for _ in range(2000):
+        n, m = int(r.integers(1, 400)), int(r.integers(0, 60))
+        pool = np.unique(r.integers(0, 2**63, n + 2 * m)).astype(np.uint64)
+        r.shuffle(pool)
+        a, b = np.sort(pool[: n + m]), np.sort(np.concatenate([pool[:n], pool[n + m :]]))
+        x, y = setjoin.parity(a), setjoin.parity(b)
+        size = min(len(x), len(y))
+        differ = int(np.bitwise_count(setjoin.folded(x, size) ^ setjoin.folded(y, size)).sum())
+        common = len(np.intersect1d(a, b))
+        assert differ <= len(a) + len(b) - 2 * common
+        may = bool(setjoin.may_link(np.array([differ]), len(a), np.array([len(b)]), 90)[0])
+        linked = 100 * common >= 90 * (len(a) + len(b) - common)
+        assert may or not linked
+        close += may == linked
+    assert close > 1900
+
+
 def test_subsets_meet_if_enough_is_shared():
     r, known = np.random.default_rng(4), {}
     for _ in range(400):
