@@ -50,8 +50,11 @@ def percentile(value: Column, pct: Column) -> Column:
 
 
 def composite(pcts: DataFrame, *keys: str) -> DataFrame:
-    """A5: the mean percentile rounded half up, 50 without any, and its verdict."""
-    out = pcts.groupBy(*keys).agg(F.coalesce(F.floor(F.avg("percentile") + 0.5), F.lit(50)).cast("long").alias("composite"))
+    """A5: the mean percentile rounded half up, 50 without any, and its verdict. Percentiles are added up as millionths, so
+    that the order of rows does not decide a tie."""
+    out = pcts.groupBy(*keys).agg(F.sum(F.round(F.col("percentile") * 1e6).cast("long")).alias("__s"), F.count("percentile").alias("__n"))
+    mean = F.expr("(2 * __s + 1000000 * __n) div nullif(2000000 * __n, 0)")
+    out = out.select(*keys, F.coalesce(mean, F.lit(50)).cast("long").alias("composite"))
     return out.withColumn("verdict", F.when(F.col("composite") >= 60, "favorable").when(F.col("composite") >= 40, "neutral").otherwise("unfavorable"))
 
 

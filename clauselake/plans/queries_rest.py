@@ -107,7 +107,7 @@ z AS (SELECT query_id, count(data) AS sample_size FROM r GROUP BY 1),
 v AS ({_SEEN}), o AS ({_OWN}),
 dist AS (SELECT query_id, field, round_even(100.0 * count(*) FILTER (value) / count(value), 1) AS pct FROM v GROUP BY ALL HAVING count(value) > 0),
 p AS (SELECT o.query_id, CASE WHEN own THEN pct WHEN NOT own THEN round_even(100 - pct, 1) END AS p FROM o JOIN dist USING (query_id, field)),
-c AS (SELECT query_id, coalesce(floor(avg(p) + 0.5), 50)::BIGINT AS composite FROM p GROUP BY 1),
+c AS (SELECT query_id, coalesce((2 * sum(round(10 * p)::BIGINT) + 10 * count(p)) // nullif(20 * count(p), 0), 50)::BIGINT AS composite FROM p GROUP BY 1),
 t AS (SELECT query_id, string_agg(company, '|' ORDER BY rank, chunk_id) AS cited FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS n FROM r WHERE data IS NOT NULL) WHERE n <= 5 GROUP BY 1)
 SELECT q.query_id, coalesce(sample_size, 0) AS sample_size, CASE WHEN sample_size > 0 THEN coalesce(composite, 50) END AS composite,
   CASE WHEN sample_size > 0 THEN CASE WHEN coalesce(composite, 50) >= 60 THEN 'favorable' WHEN coalesce(composite, 50) >= 40 THEN 'neutral' ELSE 'unfavorable' END END AS verdict, coalesce(cited, '') AS cited
