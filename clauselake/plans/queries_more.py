@@ -8,6 +8,7 @@ from clauselake.functions import chunking, packs, text
 from clauselake.operators import calibrate, evaluate, extract, learn, market, values
 from clauselake.plans import fixtures as X
 from clauselake.plans.catalog import query
+from clauselake.plans.queries_text import SENTENCES
 from clauselake.session import table
 from clauselake.sources import files
 from clauselake.streaming import state
@@ -58,21 +59,21 @@ def extract_and_benchmark(spark, d):
 
 
 def _values_sql() -> str:
-    """The typed fields over whole clauses, which have one sentence with evidence."""
+    """The typed fields by sentences: the first one with evidence for a field decides, in it the first rule."""
     known = "map {" + ", ".join(f"'{w}': {n}" for w, n in values.NUMBERS.items()) + "}"
 
     def rule(r: values.Rule) -> str:
         flags = "" if r.kind == "name" else "(?i)"
-        group = lambda k: f"nullif(regexp_extract(coalesce(clause, ''), '{flags}" + r.pattern.replace("'", "''") + f"', {k}), '')"
+        group = lambda k: f"nullif(regexp_extract(s, '{flags}" + r.pattern.replace("'", "''") + f"', {k}), '')"
         value = f"'{r.value}'" if r.value is not None else f"regexp_replace({group(1)}, '[.,]+$', '')" if r.kind == "name" else f"coalesce({group(3)}::INT, {group(1)}::INT, {known}[lower({group(2)})])::VARCHAR"
-        hit = _matches_sql(r.pattern, flags=flags) + (f" AND {_matches_sql(r.needs)}" if r.needs else "") + (f" AND NOT {_matches_sql(r.guard)}" if r.guard else "")
+        hit = _matches_sql(r.pattern, "s", flags) + (f" AND {_matches_sql(r.needs, 's')}" if r.needs else "") + (f" AND NOT {_matches_sql(r.guard, 's')}" if r.guard else "")
         return f"CASE WHEN {hit} THEN {value} END"
 
     parts = []
     for t, f in dict.fromkeys((r.clause_type, r.field) for r in values.RULES):
         of = ", ".join(rule(r) for r in values.RULES if (r.clause_type, r.field) == (t, f))
-        parts.append(f"SELECT chunk_id, '{f}' AS field, coalesce({of}) AS value FROM {X.TYPED.sql()} WHERE clause_type = '{t}'")
-    return " UNION ALL ".join(parts)
+        parts.append(f"SELECT chunk_id, '{f}' AS field, list_filter(list_transform(sentences, lambda s: coalesce({of})), lambda v: v IS NOT NULL)[1] AS value FROM c WHERE clause_type = '{t}'")
+    return f"WITH c AS MATERIALIZED (SELECT chunk_id, clause_type, {SENTENCES.format(t='clause')} AS sentences FROM {X.TYPED.sql()}) " + " UNION ALL ".join(parts)
 
 
 @query("extract_values", _values_sql())

@@ -11,7 +11,7 @@ from clauselake.plans.catalog import query
 from clauselake.session import table
 
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '\r\n|\r', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
-_SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace({t}, '\b(Mr|Mrs|Ms|Dr|Prof|Sr|Jr|vs|etc|i\.e|e\.g|Inc|Ltd|Corp|Co|No|Sec|Art)\.', '\1' || chr(1), 'g'), '([.!?])\s+([A-Z0-9"])', '\1' || chr(2) || '\2', 'g'), chr(2)), lambda s: regexp_replace(replace(s, chr(1), '.'), '^\s+|\s+$', '', 'g')), lambda s: s <> '')"""
+SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace({t}, '\b(Mr|Mrs|Ms|Dr|Prof|Sr|Jr|vs|etc|i\.e|e\.g|Inc|Ltd|Corp|Co|No|Sec|Art)\.', '\1' || chr(1), 'g'), '([.!?])\s+([A-Z0-9"])', '\1' || chr(2) || '\2', 'g'), chr(2)), lambda s: regexp_replace(replace(s, chr(1), '.'), '^\s+|\s+$', '', 'g')), lambda s: s <> '')"""
 _WORDS = r"list_filter(string_split_regex({t}, '\s+'), lambda w: w <> '')"
 
 
@@ -21,14 +21,14 @@ def clean_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(t.cast("binary")).alias("cleaned_md5"), F.length(t).cast("long").alias("n"))
 
 
-@query("extract_sentences", f"WITH s AS (SELECT doc_id, {_SENTENCES.format(t='text')} AS s FROM documents) SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, '|')) AS sentences_md5 FROM s")
+@query("extract_sentences", f"WITH s AS (SELECT doc_id, {SENTENCES.format(t='text')} AS s FROM documents) SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, '|')) AS sentences_md5 FROM s")
 def extract_sentences(spark, d):
     docs = table(spark, d, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
     return docs.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.array_join("s", "|").cast("binary")).alias("sentences_md5"))
 
 
 @query("segment_clauses", f"""
-WITH s AS (SELECT doc_id, {_SENTENCES.format(t=_CLEAN.format(t='text'))} AS s FROM documents),
+WITH s AS (SELECT doc_id, {SENTENCES.format(t=_CLEAN.format(t='text'))} AS s FROM documents),
 c AS (SELECT doc_id, list_filter(flatten(list_transform(s, lambda x: CASE WHEN length(x) > 400 AND contains(x, ';') THEN list_transform(string_split(x, ';'), lambda y: regexp_replace(y, '^\\s+|\\s+$', '', 'g')) ELSE [x] END)), lambda x: length(x) >= 20) AS c FROM s)
 SELECT doc_id, len(c) AS n_clauses, md5(array_to_string(c, '|')) AS clauses_md5 FROM c
 """)

@@ -29,3 +29,10 @@ def test_benchmark_tie_against_sql(spark, tmp_path, monkeypatch):
     orders = spark.createDataFrame([(k, k % 7) for k in range(135_300, 135_350)], "o_orderkey long, o_custkey long")
     customer = spark.createDataFrame([(k, f"C{k}") for k in range(7)], "c_custkey long, c_name string")
     assert [r["composite"] for r in agree(spark, tmp_path, monkeypatch, "benchmark_clauses", orders=orders, customer=customer)] == [62]
+
+
+def test_values_by_sentences_against_sql(spark, tmp_path, monkeypatch):
+    """A sum in one sentence and a limit in the next are no fixed amount; the clause's own sentence stands behind the text."""
+    documents = spark.createDataFrame([(35, "It costs $5."), (36, None)], "doc_id long, text string")
+    found = {(r["chunk_id"], r["field"]): r["value"] for r in agree(spark, tmp_path, monkeypatch, "extract_values", documents=documents)}
+    assert found[35, "cap_type"] == "other"
