@@ -153,15 +153,18 @@ def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(tables.html_text(F.col("html")).cast("binary")).alias("text_md5"))
 
 
-_ENTITIES = {"&copy;": "©", "&middot;": "·"}
+# The entities that the pages use; that of "&" comes last, as what it leaves is no entity.
+_ENTITIES = {"copy": "©", "middot": "·", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0", "amp": "&"}
 
 
 def _parsed_sql() -> str:
-    """The patterns' text with the entities that the pages use; a parser decodes all there are."""
+    """The patterns' text with the entities that the pages use, which HTML lets end without a semicolon; a parser decodes
+    all there are."""
+    head, _, tail = _PAGE_TEXT.partition("u AS (SELECT page_id, ")
     out = "t"
     for name, sign in _ENTITIES.items():
-        out = f"replace({out}, '{name}', '{sign}')"
-    return _PAGE_TEXT.replace("(t, '&lt;', '<')", f"({out}, '&lt;', '<')")
+        out = f"regexp_replace({out}, '&{name};?', '{sign}', 'g')"
+    return head + f"u AS (SELECT page_id, {out} AS t FROM t)" + tail[tail.index("\nSELECT") :].replace(r"'^\s+|\s+$'", r"'^[\s\x{a0}]+|[\s\x{a0}]+$'")
 
 
 @query("html_parse", _parsed_sql())

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
@@ -36,3 +38,10 @@ def test_values_by_sentences_against_sql(spark, tmp_path, monkeypatch):
     documents = spark.createDataFrame([(35, "It costs $5."), (36, None)], "doc_id long, text string")
     found = {(r["chunk_id"], r["field"]): r["value"] for r in agree(spark, tmp_path, monkeypatch, "extract_values", documents=documents)}
     assert found[35, "cap_type"] == "other"
+
+
+def test_pages_with_open_entities_against_sql(spark, tmp_path, monkeypatch):
+    """An entity may end without a semicolon, as where a title is cut."""
+    pages = spark.createDataFrame([(1, "<p>A &amp;&amp</p><p>b &lt;c&gt &copy 1&nbsp;</p>"), (2, "<p>&amp;lt; &quot;x&quot</p>")], "page_id long, html string")
+    found = {r["page_id"]: r["text_md5"] for r in agree(spark, tmp_path, monkeypatch, "html_parse", pages=pages)}
+    assert found[2] == hashlib.md5(b'&lt; "x"').hexdigest()
