@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clauselake.functions.batches import sliced
 from clauselake.session import materialize, ship, sized
 
 #: Bytes of a window, and windows of a group. A passage of so many bytes that it fills a group has the least of its
@@ -44,9 +45,11 @@ def _marks(rows: DataFrame, key: str, text: str, one: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, marks = batch.column(0), [fingerprints((t.as_py() or "").encode()[: SHORTEST if one else None]).astype(np.int64) for t in batch.column(1)]
-            at = np.repeat(np.arange(batch.num_rows), [len(m) for m in marks])
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(np.concatenate([*marks, np.empty(0, np.int64)]))], ["key", "fp"])
+            for begin, end in sliced(batch.column(1)):
+                keys = batch.column(0).slice(begin, end - begin)
+                marks = [fingerprints((t or "").encode()[: SHORTEST if one else None]).astype(np.int64) for t in batch.column(1).slice(begin, end - begin).to_pylist()]
+                at = np.repeat(np.arange(len(keys)), [len(m) for m in marks])
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(np.concatenate([*marks, np.empty(0, np.int64)]))], ["key", "fp"])
 
     source = rows.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return source.mapInArrow(run, f"key {source.schema['key'].dataType.simpleString()}, fp long").withColumnRenamed("key", key)
