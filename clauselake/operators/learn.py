@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clauselake.functions.batches import sliced
 from clauselake.session import ship
 
 
@@ -28,14 +30,22 @@ def hashing_encoder(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
     return encode
 
 
+def _vectors(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    x = np.ascontiguousarray(x, np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
 def embed(rows: DataFrame, encoder: Callable[[list[str]], np.ndarray], text_col: str = "text") -> DataFrame:
-    """M2, ST7: `rows` with `embedding`; the encoder sees batches of texts in the workers. A null text is empty."""
+    """M2, ST7: `rows` with `embedding`; the encoder sees batches of texts in the workers. A null text is empty.
+    Texts leave Arrow in slices of a batch."""
     ship(rows.sparkSession)
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield pd.Series(list(encoder([t or "" for t in b])))
+            parts = [_vectors(encoder([t or "" for t in b.slice(begin, end - begin).to_pylist()])) for begin, end in sliced(b)]
+            yield pa.concat_arrays(parts or [pa.array([], pa.list_(pa.float32()))])
 
     return rows.withColumn("embedding", run(text_col))
 
