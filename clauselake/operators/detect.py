@@ -161,7 +161,8 @@ def greedy_dedup(risks: DataFrame, group: str | tuple[str, ...], order: str, sev
     """Of each group's risks, by severity downward and then `order`, those whose words are not similar to those of
     one kept before: Jaccard similarity of lower-case word sets below the threshold. Empty sets are never duplicates.
 
-    One shuffle brings a group's risks together; the fold takes all of them in one row. A group is a document's findings.
+    One shuffle brings a group's risks together; the fold takes the words of all of them in one row. A group is a
+    document's findings.
     """
     ship(risks.sparkSession)
     keys = (group,) if isinstance(group, str) else group
@@ -172,17 +173,15 @@ def greedy_dedup(risks: DataFrame, group: str | tuple[str, ...], order: str, sev
     listed = listed.select("risks", F.array_sort(F.transform("risks", item)).alias("items"))
     listed = listed.select("risks", F.col("items.w").alias("w"), F.col("items.i").alias("i"))
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            taken, begin = [], 0
-            for texts, places in zip(batch.column(1), batch.column(2), strict=True):
-                found, at = unlike([t.split(" ") if t else [] for t in texts.as_py()], threshold), places.as_py()
-                taken += [begin + at[k] for k in found]
-                begin += len(at)
-            rows = batch.column(0).flatten()
-            yield pa.RecordBatch.from_struct_array(rows.take(pa.array(taken, pa.int64())))
-
-    return listed.mapInArrow(fold, risks.schema)
+    @F.arrow_udf("array<int>")
+    def fold(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, places in batches:
+            kept = ([at[k] for k in unlike([t.split(" ") if t else [] for t in w.as_py()], threshold)] for w, at in ((w, p.as_py()) for w, p in zip(texts, places, strict=True)))
+            yield pa.array(kept, pa.list_(pa.int32()))
+
+    # the worker sees the words alone and says which places stay
+    kept = F.transform(F.col("kept"), lambda k: F.get("risks", k))
+    return listed.select("risks", fold("w", "i").alias("kept")).select(F.inline(kept))
 
 
 def escalate(risks: DataFrame, group: tuple[str, ...] = ("doc_id", "clause_idx")) -> DataFrame:
