@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clauselake.session import ship
+
 # What is counted, in how many seconds, and how much of it is let through.
 QUOTAS = (("requests", 60, 30), ("requests", 86_400, 1_000), ("tokens", 60, 8_000), ("tokens", 86_400, 200_000))
 _MICROS = 1_000_000
@@ -52,9 +54,10 @@ class Ledger:
         return True, None, 0.0
 
 
-def fold_in_order(rows: DataFrame, key: str, order: list[str], fresh: Callable[[], object], step: Callable, schema: str) -> DataFrame:
+def fold_in_order(rows: DataFrame, key: str, order: list, fresh: Callable[[], object], step: Callable, schema: str) -> DataFrame:
     """Rows of each key through `step(state, row)` in order; each gives a row of `schema`. A key goes through one task, as
     each step needs the one before, but is never held there: rows are streamed in sorted batches and one state is kept."""
+    ship(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = object(), None

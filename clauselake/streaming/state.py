@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clauselake.streaming.quotas import fold_in_order
+
 #: Upper bounds of the latency histogram's buckets, in seconds.
 BUCKETS = (0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
@@ -83,24 +85,20 @@ class Breaker:
 BREAKER_SCHEMA = "ord long, dependency string, allowed boolean, state string, failures long, retry_after double"
 
 
-def _run(b: Breaker, rows: pd.DataFrame) -> list[tuple]:
-    out = []
-    for r in rows.sort_values(["at", "ord"]).itertuples():
-        allowed, wait = b.call(r.at, bool(r.ok))
-        out.append((r.ord, r.dependency, allowed, b.state, b.failures, wait))
-    return out
+def _answer(b: Breaker, r) -> tuple:
+    allowed, wait = b.call(r.at, bool(r.ok))
+    return r.ord, r.dependency, allowed, b.state, b.failures, wait
 
 
+CALL = ["ord", "at", "dependency", "ok"]
 _COLUMNS = ["ord", "dependency", "allowed", "state", "failures", "retry_after"]
 
 
 def breaker_states(calls: DataFrame, threshold: int = 5, recovery: float = 30.0) -> DataFrame:
-    """The breaker's answer and state after each call (ord, at, dependency, ok), by dependency."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_run(Breaker(threshold, recovery), rows), columns=_COLUMNS)
-
-    return calls.groupBy("dependency").applyInPandas(run, BREAKER_SCHEMA)
+    """The breaker's answer and state after each call (ord, at, dependency, ok), by dependency. A dependency's calls are
+    streamed in order, and its breaker alone is kept."""
+    order = [F.asc_nulls_last("at"), F.asc_nulls_last("ord")]
+    return fold_in_order(calls.select(*CALL), "dependency", order, lambda: Breaker(threshold, recovery), _answer, BREAKER_SCHEMA)
 
 
 def breaker_stream(calls: DataFrame, threshold: int = 5, recovery: float = 30.0) -> DataFrame:
@@ -109,7 +107,7 @@ def breaker_stream(calls: DataFrame, threshold: int = 5, recovery: float = 30.0)
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         b = Breaker(threshold, recovery, *(state.get if state.exists else ("closed", 0, 0.0)))
         rows = pd.concat(list(batches))
-        out = pd.DataFrame(_run(b, rows), columns=_COLUMNS)
+        out = pd.DataFrame([_answer(b, r) for r in rows.sort_values(["at", "ord"]).itertuples()], columns=_COLUMNS)
         state.update((b.state, b.failures, float(b.since)))
         yield out
 
