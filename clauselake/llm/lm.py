@@ -42,6 +42,8 @@ MOST_FAN = 256
 LEAST_TRIGRAM = 2
 #: Tokens that a traversal takes in one lane.
 LANE = 512
+#: Tokens that are judged at once by what others say.
+TOKENS = 1 << 17
 #: Hashes of the end of a text and of what stands before its first word.
 END, START = np.uint64(0x1234567890ABCDEF), np.uint64(0xFEDCBA0987654321)
 #: Bins of log10 of an n-gram's probability over the shorter one's, from LEAST on in steps of STEP; bin 0 is for none.
@@ -69,18 +71,23 @@ def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct codes, and for each code its place among them. Codes and places are sorted as one number
     where they fit."""
     if not len(codes):
-        return codes, np.empty(0, np.int64)
+        return codes, np.empty(0, np.int32)
     bits = len(codes).bit_length()
     if int(codes.max()).bit_length() + bits > 63:
-        return np.unique(codes, return_inverse=True)
-    both = np.sort((codes << bits) | np.arange(len(codes)))
-    codes, place = both >> bits, both & ((1 << bits) - 1)
+        found, inverse = np.unique(codes, return_inverse=True)
+        return found, inverse.astype(np.int32)
+    both = codes << bits
+    both |= np.arange(len(codes))
+    both.sort()
+    codes = both >> bits
     new = np.empty(len(codes), bool)
     new[0] = True
     np.not_equal(codes[1:], codes[:-1], out=new[1:])
-    inverse = np.empty(len(codes), np.int64)
-    inverse[place] = np.cumsum(new) - 1
-    return codes[new], inverse
+    codes = codes[new]
+    both &= (1 << bits) - 1
+    inverse = np.empty(len(both), np.int32)
+    inverse[both] = np.cumsum(new, dtype=np.int32) - 1
+    return codes, inverse
 
 
 class Block:
@@ -88,16 +95,16 @@ class Block:
 
     def __init__(self, words: np.ndarray, stream: np.ndarray, sizes: np.ndarray, held: np.ndarray):
         """words: sorted hashes, END among them; stream: places, each text closed by END; sizes: tokens of each text."""
-        self.words, self.stream, self.sizes, self.held = words, stream, sizes, held.astype(bool)
+        self.words, self.stream, self.sizes, self.held = words, stream.astype(np.int32), sizes, held.astype(bool)  # places take half of 8 bytes
         n, self.first = len(words), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        self.before = np.empty(len(stream), np.int64)
-        self.before[1:] = stream[:-1]
+        self.before = np.empty(len(stream), np.int32)
+        self.before[1:] = self.stream[:-1]
         self.before[self.first] = n  # START
-        self.codes, self.pair = distinct(self.before * n + stream)
+        self.codes, self.pair = distinct(self.before.astype(np.int64) * n + self.stream)
         keys = mix(mix(np.append(words, START)[self.codes // n]) + words[self.codes % n])
         self.order = np.argsort(keys)
         self.keys, self.pairs = keys, keys[self.order]
-        self.context = np.empty(len(stream), np.int64)  # the pair before each token; -1 at the first of a text
+        self.context = np.empty(len(stream), np.int32)  # the pair before each token; -1 at the first of a text
         self.context[1:] = self.pair[:-1]
         self.context[self.first] = -1
         self.train = np.repeat(~self.held, sizes)
@@ -111,15 +118,15 @@ class Block:
             w.append(b"\n")
             parts.append(hashes.of(w))
         unique, stream = np.unique(np.concatenate(parts), return_inverse=True)
-        return cls(unique, stream.astype(np.int64), np.array(sizes, np.int64), held)
+        return cls(unique, stream, np.array(sizes, np.int64), held)
 
     def packed(self) -> bytes:
-        return pack(self.words, self.stream.astype(np.int32), self.sizes, self.held.astype(np.uint8))
+        return pack(self.words, self.stream, self.sizes, self.held.astype(np.uint8))
 
     @classmethod
     def unpacked(cls, data: bytes) -> Block:
         words, stream, sizes, held = unpack(data)
-        return cls(words, stream.astype(np.int64), sizes, held)
+        return cls(words, stream, sizes, held)
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences in training documents, of words and of pairs, in the order of their keys."""
@@ -453,14 +460,20 @@ class Automaton:
                 self.k[self.tri.contexts] = three[self.tri.of_context]
         if shares2 is not None:
             self.share2 = np.where(self.c1 > 0, shares2[_order(self.c1)], 0.0)
-            v, w = np.divmod(b.codes, len(b.words))
-            self.p2 = self.share2[v] * self.c2 / np.maximum(self.c1[v], 1) + (1 - self.share2[v]) * self.p1[w]
+            self.p2 = self._smoothed()
         if shares3 is not None:
             self._build(shares3)
 
+    def _smoothed(self) -> np.ndarray:
+        """The probability of each pair's second word behind its first."""
+        v, w = np.divmod(self.block.codes, len(self.block.words))
+        return self.share2[v] * self.c2 / np.maximum(self.c1[v], 1) + (1 - self.share2[v]) * self.p1[w]
+
     def _build(self, shares3: np.ndarray) -> None:
         b, n = self.block, len(self.block.words)
         t = self.tri
+        # what was needed to ask for counts is let go before the arcs are made
+        del b.keys, b.order, b.pairs, t.low, t.count, t.hi, t.n, t.order, t.of_context, t.of_trigram, t.rank, t.some
         states = np.flatnonzero(self.k)  # pairs that are states
         number = np.zeros(len(self.k), np.int64)
         number[states] = n + 2 + np.arange(len(states))
@@ -484,19 +497,21 @@ class Automaton:
         ends = np.searchsorted(b.codes, w[pair[three]] * n + t.word[three])
         own = shares3[_order(self.k[pair[three]])]
         weight3 = np.log10(own * self.c3[three] / self.k[pair[three]] + (1 - own) * self.p2[ends])
-        arc = np.concatenate([word_state[v[two]] * n + w[two], number[pair[three]] * n + t.word[three]])
-        order = np.argsort(arc)
-        self.arc = arc[order]
-        self.arc_weight = np.concatenate([np.log10(self.p2[two]), weight3])[order]
-        self.arc_to = np.concatenate([to[two], to[ends]])[order]
+        code = np.concatenate([word_state[v[two]] * n + w[two], number[pair[three]] * n + t.word[three]])
+        leads = np.concatenate([to[two], to[ends]]).astype(np.int32)
+        weight = np.concatenate([np.log10(self.p2[two]), weight3])
+        del v, w, to, number, pair, ends, own, weight3, self.p2, self.c2, self.c3, self.k
+        order = np.argsort(code).astype(np.int32)
+        self.arc, self.arc_weight, self.arc_to = code[order], weight[order], leads[order]
+        del code, weight, leads
         # where the arcs are that a token takes from the state of the two words, or the word, before it; -1: there is none
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        found2, found3 = np.full(len(b.codes), -1), np.full(len(t.codes), -1)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        found2, found3 = np.full(len(b.codes), -1, np.int32), np.full(len(t.codes), -1, np.int32)
         found2[two], found3[three] = place[: len(two)], place[len(two) :]
-        self.from_word, self.from_pair = found2[b.pair], np.full(len(b.stream), -1)
+        self.from_word, self.from_pair = found2[b.pair], np.full(len(b.stream), -1, np.int32)
         self.from_pair[t.both] = found3[t.place]
-        del self.tri, self.p2, self.c2, self.c3, self.k  # the arcs hold what a traversal needs
+        del self.tri, b.codes, b.pair, b.context, b.before, b.train  # the arcs hold what a traversal needs
 
     def traverse(self) -> np.ndarray:
         """The log10 weight of each text. Texts are taken from left to right in lanes that go side by side; a lane that
@@ -539,24 +554,30 @@ class Automaton:
     def held_in(self, level: int) -> np.ndarray:
         """How often, in training tokens each left out of its own counts, a context of a binary order of counts gave
         a ratio of each bin between what it says of the token and what the shorter context says."""
-        b = self.block
-        c2, c1, c0 = self.c2[b.pair] - 1, self.c1[b.before] - 1, self.one[b.stream] - 1
-        p1 = np.where(c0 > 0, (1 - self.unseen) * c0 / max(self.n - 1, 1), self.unseen)
-        if level == 2:
-            some, hits, seen, lower = b.train & (c1 > 0), c2, c1, p1
-        else:
-            own = np.zeros(len(b.stream), np.int64)
-            own[self.tri.both] = self.c3[self.tri.place] if len(self.c3) else 0
-            k = np.where(b.context >= 0, self.k[b.context], 0)
-            hits, seen = np.maximum(own - 1, 0), k - (own > 0)
-            share = np.where(c1 > 0, self.share2[b.before], 0.0)
-            lower = share * np.maximum(c2, 0) / np.maximum(c1, 1) + (1 - share) * p1
-            some = b.train & (seen > 0)
-        hits, seen, lower = hits[some], seen[some], lower[some]
-        with np.errstate(divide="ignore"):
-            ratio = np.log10(hits / seen / lower)
-        bins = np.where(hits > 0, np.clip((ratio - LEAST) / STEP, 0, BINS - 2).astype(int) + 1, 0) if len(hits) else np.empty(0, int)
-        return np.bincount(_order(seen) * BINS + bins, minlength=ORDERS * BINS)
+        b, total = self.block, np.zeros(ORDERS * BINS, np.int64)
+        if level == 3:
+            of_token = np.zeros(len(b.stream), np.int64)
+            of_token[self.tri.both] = self.c3[self.tri.place] if len(self.c3) else 0
+        for at in range(0, len(b.stream), TOKENS):
+            part = slice(at, at + TOKENS)
+            before, context = b.before[part], b.context[part]
+            c2, c1, c0 = self.c2[b.pair[part]] - 1, self.c1[before] - 1, self.one[b.stream[part]] - 1
+            p1 = np.where(c0 > 0, (1 - self.unseen) * c0 / max(self.n - 1, 1), self.unseen)
+            if level == 2:
+                some, hits, seen, lower = b.train[part] & (c1 > 0), c2, c1, p1
+            else:
+                own = of_token[part]
+                k = np.where(context >= 0, self.k[context], 0)
+                hits, seen = np.maximum(own - 1, 0), k - (own > 0)
+                share = np.where(c1 > 0, self.share2[before], 0.0)
+                lower = share * np.maximum(c2, 0) / np.maximum(c1, 1) + (1 - share) * p1
+                some = b.train[part] & (seen > 0)
+            hits, seen, lower = hits[some], seen[some], lower[some]
+            with np.errstate(divide="ignore"):
+                ratio = np.log10(hits / seen / lower)
+            bins = np.where(hits > 0, np.clip((ratio - LEAST) / STEP, 0, BINS - 2).astype(int) + 1, 0) if len(hits) else np.empty(0, int)
+            total += np.bincount(_order(seen) * BINS + bins, minlength=ORDERS * BINS)
+        return total
 
 
 def _order(counts: np.ndarray) -> np.ndarray:

@@ -171,3 +171,28 @@ def test_distinct():
         x = r.integers(0, high, 1000)
         got, want = lm.distinct(x), np.unique(x, return_inverse=True)
         assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+
+
+def test_memory_of_a_block():
+    """A block's automaton takes no more than a bounded number of bytes a token at its peak, and keeps none of what only
+    its making needs."""
+    import random
+    import tracemalloc
+
+    r = random.Random(3)
+    words = [b"w%d" % i for i in range(3000)]
+    texts = [b" ".join(r.choices(words, weights=range(len(words), 0, -1), k=400)) for _ in range(250)]
+    b = lm.Block.of(texts, np.zeros(len(texts), bool), lm.Hashes())
+    one, two = b.counts()
+    t = b.trigrams(lm._by_pair(b, two))
+    three = lm.leaf_trigrams([[lm.Sheet(t.hi, t.n, t.low, t.count)]])[0][0][0]
+    data, tokens = b.packed(), len(b.stream)
+    del b, t
+    tracemalloc.start()
+    try:
+        a = lm.Automaton(lm.Block.unpacked(data), one, two, three, int(one.sum()), 0.1, np.full(64, 0.4), np.full(64, 0.6))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 160 * tokens
+    assert not hasattr(a.block, "codes") and not hasattr(a, "tri")
