@@ -23,10 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.llm.batches import LONGEST_KEPT, blocks, remainder
-from clauselake.session import ship
+from clauselake.session import BROADCAST_ROWS, materialize, ship
 
-#: Labelled documents of each class that the models are fitted on, at most; those of least hash of the id.
-SAMPLE = 3000
 #: Bits of the hashes that point into the tables of letter counts and of evidence.
 GRAM_BITS, EVIDENCE_BITS = 20, 22
 #: What a word or stem needs to carry evidence: occurrences in toxic documents, and deviations from what is expected.
@@ -247,9 +245,11 @@ class Model:
         """The most that stems of three to five letters carry."""
         return max(0.0, *(self.evidence.get(cell("e", "^" + word[:k], EVIDENCE_BITS), 0.0) for k in range(3, len(word) + 1)), 0.0)
 
+    def shape(self, text: str) -> np.ndarray:
+        return shape(list(map(self.known.__getitem__, self.restorer.words(text))))
+
     def score(self, text: str) -> float:
-        words = self.restorer.words(text)
-        z = float(shape(list(map(self.known.__getitem__, words))) @ self.theta)
+        z = float(self.shape(text) @ self.theta)
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
@@ -260,121 +260,155 @@ def shape(evidence: list[float]) -> np.ndarray:
     return np.array([math.log1p(total), math.log1p(100 * total / n), v[0] if v else 0.0, sum(v[:3]), math.log1p(n), 20 * len(v) / n, 1.0])
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, sample: int) -> DataFrame:
-    """id, y and text of at most `sample` labelled documents of each class, chosen from the labels alone."""
+def _labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """id, y and text of all rows of `docs`, where y is null for what is not learned from; and id, y and text of the ids
+    that repeat, of which the least text is learned from, or None if there are none.
+
+    Labels meet the texts by a broadcast while they are few; beyond that all texts are shuffled once and written.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
-    order, chosen = F.xxhash64("id", F.lit(17)), None
-    for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(order, "id").limit(sample)
-        chosen = part if chosen is None else chosen.union(part)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    return rows.groupBy("id", "y").agg(F.min("text").alias("text"))  # of an id that repeats, the least text
+    ids = docs.groupBy(F.col(id_col).alias("id")).agg((F.count(F.lit(1)) > 1).alias("again"))
+    known = materialize(known.join(ids, "id"), "toxic-labels")
+    few = known.count() <= BROADCAST_ROWS
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known) if few else known, "id", "left")
+    rows = rows if few else materialize(rows, "toxic-rows")
+    again = None if known.where("again").isEmpty() else materialize(rows.where("again").groupBy("id", "y").agg(F.min("text").alias("text")), "toxic-again")
+    return rows.select("id", F.when(~F.col("again"), F.col("y")).alias("y"), "text"), again
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, sample: int) -> Model | None:
-    """The models from a bounded sample; None if it is empty. Three passes over the sample, each pre-aggregated."""
-    from clauselake.session import materialize
+def _tabled(key: str, tables: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The cells of tables that are not all 0, some at a time."""
+    at = np.flatnonzero(np.any(list(tables.values()), axis=0))
+    for part in np.array_split(at, -(-len(at) // 100_000)) if len(at) else []:
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *(pa.array(t[part], pa.int64()) for t in tables.values())], [key, *tables])
 
-    spark = docs.sparkSession
-    rows = materialize(_sampled(docs, labels, label_col, id_col, text_col, sample), "toxic-sample")
+
+def fit(rows: DataFrame, again: DataFrame | None) -> Model | None:
+    """The models, but for the weights of the logistic one, from all rows that have a label; None if there is none. Two
+    passes over these, each added up by task in tables of fixed size. rows, again: as _labelled() gives them."""
+    spark = rows.sparkSession
+    learned = rows.where("y is not null").select("y", "text")
+    learned = learned if again is None else learned.union(again.select("y", "text"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        table, cells = np.zeros((1 << GRAM_BITS) + 1, np.int64), Remembered(gram_cells, 200_000)
+        for _, texts in blocks(batches, "text"):
             seen: Counter = Counter()
-            for t in batch.column(0).to_pylist():
-                for w, n in Counter(x.strip(_EDGE + "!$") for x in _SPLIT.findall((t or "").lower())).items():
-                    if _PLAIN.match(w):
-                        w = f"  {w} "
-                        for i in range(len(w) - 2):
-                            seen[w[i : i + 3]] += n
-            cells: Counter = Counter({-1: sum(seen.values())})
+            tokens = Counter(x for t in texts for x in _SPLIT.findall(t.decode("utf-8", "replace").lower()))
+            for token, n in tokens.items():
+                w = token.strip(_EDGE + "!$")
+                if _PLAIN.match(w):
+                    w = f"  {w} "
+                    for i in range(len(w) - 2):
+                        seen[w[i : i + 3]] += n
             for g, n in seen.items():
-                for k in gram_cells(g):
-                    cells[k] += n
-            yield pa.RecordBatch.from_arrays([pa.array(cells.keys(), pa.int64()), pa.array(cells.values(), pa.int64())], ["g", "n"])
-
-    counts = {r["g"]: r["n"] for r in rows.select("text").mapInArrow(grams, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
-    total = counts.pop(-1, 0)
-    chars = CharModel(counts, total)
+                for k in cells[g]:
+                    table[k] += n
+                table[-1] += n
+        yield from _tabled("g", {"n": table})
+
+    found = learned.mapInArrow(grams, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()  # a row for a cell
+    counts = dict(zip(found.column("g").to_pylist(), found.column("n").to_pylist(), strict=True))
+    chars = CharModel(counts, counts.pop(1 << GRAM_BITS, 0))
     shared = spark.sparkContext.broadcast(chars)
 
     def document_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(shared.value)
-        for batch in batches:
-            seen: dict[int, list[int]] = {}
-            words = [0, 0]
-            for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = restorer.words(t or "")
-                words[y] += len(found)
-                for p, n in Counter(p for w in found for p in parts(w)).items():
-                    seen.setdefault(cell("e", p, EVIDENCE_BITS), [0, 0])[y] += min(n, 3)
-            seen[-1] = words
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], ["p", "b", "a"])
-
-    counted = materialize(rows.select("y", "text").mapInArrow(document_parts, "p long, b long, a long").groupBy("p").agg(F.sum("b").alias("b"), F.sum("a").alias("a")), "toxic-parts")
-    total = counted.where("p = -1").first()
+        restorer, size = Restorer(shared.value), 1 << EVIDENCE_BITS
+        of_word = Remembered(lambda w: np.array([cell("e", p, EVIDENCE_BITS) for p in parts(w)], np.int32), 100_000)
+        tables = {"b": np.zeros(size + 1, np.int32), "a": np.zeros(size + 1, np.int32)}  # the last cell counts words
+        for batch, texts in blocks(batches, "text"):
+            for y, t in zip(batch.column(0).to_pylist(), texts, strict=True):
+                table, words = tables["a" if y else "b"], restorer.words(t.decode("utf-8", "replace"))
+                if words:
+                    at, n = np.unique(np.concatenate([of_word[w] for w in words]), return_counts=True)
+                    table[at] += np.minimum(n, 3).astype(np.int32)
+                    table[-1] += len(words)
+        yield from _tabled("p", tables)
+
+    counted = materialize(learned.mapInArrow(document_parts, "p long, b long, a long").groupBy("p").agg(F.sum("b").alias("b"), F.sum("a").alias("a")), "toxic-parts")
+    total = counted.where(F.col("p") == 1 << EVIDENCE_BITS).first()
     if total is None:
         return None
     ta, tb = max(1, total["a"]), max(1, total["b"])
     expected = (F.col("a") + F.col("b")) * (ta / (ta + tb))
     z = (F.col("a") - expected) / F.sqrt(expected + 0.5)
-    strong = counted.where((F.col("p") >= 0) & (F.col("a") >= LEAST_SEEN) & (z > LEAST_Z)).collect()  # a row for a cell
+    strong = counted.where((F.col("p") < 1 << EVIDENCE_BITS) & (F.col("a") >= LEAST_SEEN) & (z > LEAST_Z)).collect()  # a row for a cell
     evidence = {r["p"]: math.log(((r["a"] + 0.3) / ta) / ((r["b"] + 0.3) / tb)) for r in strong}
-    model = Model(chars, evidence, np.zeros(7))
-    shared_model = spark.sparkContext.broadcast(model)
+    return Model(chars, evidence, np.zeros(7))
 
-    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared_model.value
-        for batch in batches:
-            x = [shape([m.known[w] for w in m.restorer.words(t or "")]).tolist() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
-
-    found = rows.select("y", "text").mapInArrow(shapes, "y int, x array<double>").collect()
-    x, y = np.array([r["x"] for r in found]), np.array([r["y"] for r in found], float)
-    share = labels.where(F.col(label_col).isNotNull()).agg(F.avg(F.col(label_col).cast("double"))).first()[0]
-    weight = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    model.theta = _logistic(x, y, weight)
-    return model
 
-
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5) -> np.ndarray:
-    """Weights of a logistic model by Newton's method; the last column is the constant and is not penalised."""
-    scale = np.maximum(x.std(axis=0), 1e-9)
+def _summed(rows: DataFrame, size: int, of) -> np.ndarray:
+    """The sum over `rows` (y, x) of what `of` makes of a batch's x and y: `size` numbers. A row a number for each task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                total += of(x, batch.column(0).to_numpy(zero_copy_only=False).astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total)], ["k", "v"])
+
+    out = np.zeros(size)
+    for r in rows.select("y", "x").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        out[r["k"]] = r["v"]
+    return out
+
+
+def _logistic(rows: DataFrame, ridge: float = 0.5) -> np.ndarray:
+    """Weights of a logistic model of `rows` (y, x) by Newton's method, of which a step is one aggregation; the last column
+    is the constant and is not penalised."""
+    sums = _summed(rows, 15, lambda x, y: np.concatenate([x.sum(axis=0), (x * x).sum(axis=0), [len(x)]]))
+    mean = sums[:7] / max(sums[14], 1)
+    scale = np.sqrt(np.maximum(sums[7:14] / max(sums[14], 1) - mean**2, 1e-18))
     scale[-1] = 1.0
-    x, theta = x / scale, np.zeros(x.shape[1])
-    penalty = np.full(len(theta), ridge)
+    theta, penalty = np.zeros(7), np.full(7, ridge)
     penalty[-1] = 1e-3
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (p - y)) + penalty * theta)
-        theta -= step
+        def step_of(x: np.ndarray, y: np.ndarray, theta: np.ndarray = theta) -> np.ndarray:
+            x = x / scale
+            p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+            return np.concatenate([((x * (p * (1 - p))[:, None]).T @ x).reshape(-1), x.T @ (p - y)])
+
+        sums = _summed(rows, 56, step_of)
+        step = np.linalg.solve(sums[:49].reshape(7, 7) + np.diag(penalty), sums[49:] + penalty * theta)
+        theta = theta - step
         if np.abs(step).max() < 1e-8:
             break
     return theta / scale
 
 
-def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and score, from 0 to 1, for each row of `docs`: higher means label 1 is likelier.
 
-    A null text counts as empty; a text without words has no evidence and scores low. Repeated rows score alike.
-    Without labels the score is 0.5 everywhere. Labels, ids and other columns are no input of a score. An empty table
-    gives an empty result. Scoring is one pass without a shuffle; the broadcast model has 2**GRAM_BITS counts, and
-    weights for those of 2**EVIDENCE_BITS cells that stand out, some hundreds.
+    All labelled rows are learned from; of an id that repeats the least text is. A null text counts as empty; a text
+    without words has no evidence and scores low. Repeated rows score alike. Without labels the score is 0.5 everywhere.
+    Labels, ids and other columns are no input of a score. An empty table gives an empty result. Two passes over what
+    has a label make the models; a third over all rows writes the evidence of each as 7 numbers, from which the logistic
+    model is fitted and scores are worked out. The broadcast model has 2**GRAM_BITS counts, and weights for those of
+    2**EVIDENCE_BITS cells that stand out.
 
     Left out are words cut by spaces into pieces of more than PIECE letters.
     """
     spark = docs.sparkSession
     ship(spark)
-    model = spark.sparkContext.broadcast(fit(docs, labels, label_col, id_col, text_col, sample))
+    rows, again = _labelled(docs, labels, label_col, id_col, text_col)
+    fitted = fit(rows, again)
+    if fitted is None:
+        return docs.select(F.col(id_col), F.lit(0.5).alias("score"))
+    model = spark.sparkContext.broadcast(fitted)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch, texts in blocks(batches, "text"):
-            score = [0.5 if m is None else m.score(t.decode("utf-8", "replace")) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["id", "score"])
-
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+            x = [m.shape(t.decode("utf-8", "replace")).tolist() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
+
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, y int, x array<double>"
+    shaped = materialize(rows.mapInArrow(shapes, schema), "toxic-shapes")
+    learned = shaped.where("y is not null")
+    theta = _logistic(learned if again is None else learned.union(materialize(again.select("id", "y", "text").mapInArrow(shapes, schema), "toxic-shapes")))
+    z = sum((F.get("x", F.lit(k)) * F.lit(float(w)) for k, w in enumerate(theta)), F.lit(0.0))
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z))))
+    return shaped.select(F.col("id").alias(id_col), score.alias("score"))
 
 
 #: Labels are learned from the rows whose crc32 of the id leaves another remainder than this.

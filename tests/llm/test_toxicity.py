@@ -114,3 +114,16 @@ def test_remembered_words_are_bounded():
         hashes[str(k).encode()], restorer.known[f"w{k}"], model.known[f"w{k}"]
     for held in (hashes, restorer.known, model.known):
         assert 0 < len(held) <= 100 and max(map(len, held)) <= LONGEST_KEPT
+
+
+def test_all_labelled_rows_are_learned_from(spark):
+    """However many of a class there are; of an id that repeats the least text."""
+    docs = [(i, "tree" if i % 40 else "grumbler") for i in range(3500)] + [(7, "stone"), (7, "tree")]
+    labels = [(i, int(i % 40 == 0)) for i in range(3500)]
+    rows, again = toxicity._labelled(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), "toxic", "doc_id", "text")
+    model = toxicity.fit(rows, again)
+    # a word of n letters has n + 1 trigrams; one row "stone" is learned from for the id 7
+    assert model.restorer.model.total - 1 == 88 * 9 + 3411 * 5 + 6
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    found = toxicity.classify(d, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(found) == 3502 and all((r["score"] >= 0.5) == (r["doc_id"] % 40 == 0) for r in found)
