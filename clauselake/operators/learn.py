@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauselake.functions.batches import sliced
-from clauselake.session import ship
+from clauselake.session import ship, sized
 
 
 def hashing_encoder(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
@@ -141,6 +143,39 @@ def classify_clauses(rows: DataFrame, bundle: dict | None, keys: tuple[str, ...]
     return rows.select(*keys, F.explode(said("embedding")).alias("f")).select(*keys, "f.*")
 
 
+def top_keywords(docs: DataFrame, stop: tuple[str, ...], most: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, rank, word, n of each document's commonest words of three letters a-z or more but for `stop`, those met
+    first where they tie. A null text has none.
+
+    Words are counted where the text is, so that no shuffle carries them. Only the words of ids that repeat, of which all
+    rows count as one document, are brought together.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("low"))
+    again = sized(rows.groupBy(F.col("id").alias("again")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("again"), "keyword-ids")
+    repeat = None if again.isEmpty() else F.col("id").eqNullSafe(F.col("again"))
+    once = rows if repeat is None else rows.join(again, repeat, "left_anti")
+    kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+
+    @F.arrow_udf("array<struct<word:string,n:bigint>>")
+    def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        find, left_out = re.compile("[a-z]{3,}").findall, set(stop)
+        for b in batches:
+            parts = [pa.array([], kind)]
+            for begin, end in sliced(b):
+                counts = (Counter(w for w in find(t or "") if w not in left_out) for t in b.slice(begin, end - begin).to_pylist())
+                parts.append(pa.array([[{"word": w, "n": n} for w, n in c.most_common(most)] for c in counts], kind))
+            yield pa.concat_arrays(parts)
+
+    out = once.select("id", F.posexplode(best("low")).alias("place", "w")).select(F.col("id").alias(id_col), (F.col("place") + 1).alias("rank"), "w.word", "w.n")
+    if repeat is None:
+        return out
+    w = rows.join(again, repeat, "left_semi").select("id", F.posexplode(F.regexp_extract_all("low", F.lit("[a-z]{3,}"), F.lit(0))).alias("pos", "word")).where(~F.col("word").isin(*stop))
+    g = w.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    ranked = g.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "first"))).where(F.col("rank") <= most)
+    return out.union(ranked.select(F.col("id").alias(id_col), "rank", "word", "n"))
+
+
 def tuning_pairs(clauses: DataFrame, instruction: str) -> DataFrame:
     """M7, M8: instruction, input and output of each clause that has a text and a record, and the same as one chat text."""
     rows = clauses.where(F.col("data").isNotNull() & F.col("clause").isNotNull()).select("clause_type", F.lit(instruction).alias("instruction"), F.col("clause").alias("input"), F.col("data").alias("output"))

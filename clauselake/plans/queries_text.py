@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clauselake.functions import packs, text
-from clauselake.operators import detect, passages
+from clauselake.operators import detect, learn, passages
 from clauselake.plans import fixtures as X
 from clauselake.plans.catalog import query
 from clauselake.session import table
@@ -296,12 +296,8 @@ SELECT doc_id, rank, word, n FROM r WHERE rank <= 5
 """)
 def top_keywords(spark, d):
     """Each document's commonest words of three letters or more, those met first where they tie."""
-    from pyspark.sql import Window
-
     stop = ("the", "and", "for", "that", "with", "der", "die", "das", "und", "que", "les", "des")
-    w = table(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("pos", "word")).where(~F.col("word").isin(*stop))
-    g = w.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    return g.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))).where("rank <= 5").select("doc_id", "rank", "word", "n")
+    return learn.top_keywords(table(spark, d, "documents"), stop)
 
 
 @query("risk_paragraph_match", r"""

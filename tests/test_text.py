@@ -160,3 +160,15 @@ def test_learning(spark):
     assert learn.backfill(half, learn.hashing_encoder(16)).where("embedding IS NULL").count() == 0
     s = learn.stratified_split(rows, "id", "y", 0.2)
     assert {(r["y"], r["n"]) for r in s.where("held_out").groupBy("y").agg(F.count("*").alias("n")).collect()} == {(0, 6), (1, 6)}
+
+
+def test_top_keywords_of_ids_that_repeat_and_without_words_in_shuffles(spark):
+    """All rows of an id are one document, null ids too; where no id repeats, no shuffle carries words."""
+    from clauselake.operators import learn
+
+    rows = [(1, "Tree stone tree, the the the water"), (2, None), (3, "stone"), (3, "tree tree"), (None, "owl"), (None, "owl cat cat cat")]
+    found = learn.top_keywords(spark.createDataFrame(rows, "doc_id long, text string"), ("the",), 2).collect()
+    got = sorted(((r["doc_id"] or 0, r["rank"], r["word"], r["n"]) for r in found))
+    assert got == [(0, 1, "cat", 3), (0, 2, "owl", 2), (1, 1, "tree", 2), (1, 2, "stone", 1), (3, 1, "tree", 2), (3, 2, "stone", 1)]
+    plan = learn.top_keywords(spark.createDataFrame(rows[:3], "doc_id long, text string"), ("the",), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
