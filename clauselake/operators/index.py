@@ -7,6 +7,7 @@ recall, which `recall` measures, for reading a share of the corpus.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +17,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauselake.operators.vectors import MOST_QUERIES
-from clauselake.session import ship
+from clauselake.session import materialize, ship
 
 #: Vectors that cells are fitted on, at most: those of least hash of the id. Cells, at most.
 SAMPLE, MOST_CELLS = 20_000, 4096
+#: Steps of k-means, at most, and tasks of a step.
+STEPS, BINS = 20, 16
 #: Rows of a cell that are written to one file, about.
 FILE_ROWS = 500_000
 
@@ -40,21 +43,51 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def fit_cells(corpus: DataFrame, cells: int, id_col: str = "vec_id", seed: int = 17) -> np.ndarray:
-    """The centres of `cells` cells, by k-means with cosine distance on at most SAMPLE vectors; null and zero vectors do
-    not count. Fewer vectors than cells give a cell each."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    """The centres of `cells` cells, by k-means with cosine distance on at most SAMPLE vectors, from those of least hash on;
+    null and zero vectors do not count. Fewer vectors than cells give a cell each.
 
+    A step is one aggregation, of which the sums of the cells come back, so what reaches the driver grows with the cells
+    and not with their square.
+    """
+    spark = corpus.sparkSession
+    ship(spark)
     known = corpus.where(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0))
-    sample = known.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(SAMPLE).select(array_to_vector("embedding").alias("features")).cache()
-    try:
-        n = sample.count()
-        if not n:
-            return np.zeros((1, 1))
-        model = KMeans(k=min(cells, max(n, 2), MOST_CELLS), distanceMeasure="cosine", maxIter=20, seed=seed).fit(sample)
-    finally:
-        sample.unpersist()
-    return unit(np.array(model.clusterCenters()))
+    least = known.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(SAMPLE).select("embedding", F.monotonically_increasing_id().alias("place"))
+    sample = materialize(least.repartition(BINS, "place"), "index-sample")
+    first = sample.orderBy("place").limit(min(cells, MOST_CELLS)).select("embedding").toArrow().column(0).to_pylist()
+    if not first:
+        return np.zeros((1, 1))
+    centres = unit(np.array(first, float))
+    for _ in range(STEPS):
+        sums = _cell_sums(sample, centres)
+        found = unit(np.where(sums[:, -1:] > 0, sums[:, :-1], centres))
+        moved, centres = np.abs(found - centres).max(), found
+        if moved < 1e-6:
+            break
+    return centres
+
+
+def _cell_sums(sample: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """For each cell the sum of its unit vectors, and their number behind it: added up by task, then by bin of cells."""
+    shared, width = sample.sparkSession.sparkContext.broadcast(centres), centres.shape[1] + 1
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        total = np.zeros((len(c), width))
+        for batch in batches:
+            if batch.num_rows:
+                x = unit(batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1))
+                np.add.at(total, (x @ c.T).argmax(axis=1), np.hstack([x, np.ones((len(x), 1))]))
+        yield pa.RecordBatch.from_arrays([pa.array(range(BINS), pa.int32()), pa.array([total[b::BINS].tobytes() for b in range(BINS)], pa.binary())], ["bin", "data"])
+
+    def merge(key: tuple, rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x) for x in rows.column("data").to_pylist())
+        return pa.table({"bin": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+
+    schema, out = "bin int, data binary", np.zeros((len(centres), width))
+    for r in sample.select("embedding").mapInArrow(add, schema).groupBy("bin").applyInArrow(merge, schema).collect():
+        out[r["bin"] :: BINS] = np.frombuffer(r["data"]).reshape(-1, width)
+    return out
 
 
 def write_index(corpus: DataFrame, path: str, cells: int, id_col: str = "vec_id") -> None:
@@ -80,13 +113,22 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
     """For each query the k best rows of the `probes` cells nearest to it: query_id, the corpus columns but the vector,
     similarity, rank. Ties go to the smaller id; null vectors match nothing.
 
-    The probed cells are named to the scan, which prunes the others. At most MOST_QUERIES queries are broadcast; each
-    batch of a cell meets the queries that probe it as one product and hands on k rows a query.
+    The probed cells are named to the scan, which prunes the others. Up to MOST_QUERIES queries are broadcast; each batch
+    of a cell meets the queries that probe it as one product and hands on k rows a query. More queries are dealt by the
+    hash of their id into blocks of about half as many, each of which makes a pass and is written.
     """
     ship(spark)
-    rows = queries.where(F.col("embedding").isNotNull()).select(query_id, "embedding").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries at once")
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        queries = materialize(queries.select(query_id, "embedding"), "index-queries")
+        blocks = -(-2 * queries.count() // MOST_QUERIES)
+        part = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+        return functools.reduce(DataFrame.unionByName, [materialize(_searched(spark, path, queries.where(part == b), k, probes, id_col, query_id), "index-block") for b in range(blocks)])
+    return _searched(spark, path, queries, k, probes, id_col, query_id)
+
+
+def _searched(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int, id_col: str, query_id: str) -> DataFrame:
+    """search() for queries that are broadcast at once."""
+    rows = queries.where(F.col("embedding").isNotNull()).select(query_id, "embedding").collect()
     centres = np.array([r["centre"] for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()])  # at most MOST_CELLS
     matrix = np.array([r["embedding"] for r in rows], float).reshape(len(rows), centres.shape[1])
     near = np.argsort(-(unit(matrix) @ centres.T), axis=1, kind="stable")[:, :probes] if rows else np.empty((0, 0), int)

@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,3 +37,17 @@ def test_nulls_zeros_and_empty(spark, tmp_path):
     got = [(r["query_id"], r["vec_id"], r["rank"]) for r in index.search(spark, path, q.where("query_id in (1, 2)"), 2, 2).collect()]
     assert got == [(1, 1, 1), (1, 4, 2)]
     assert index.search(spark, path, q.where("false"), 2, 2).count() == 0
+
+
+def test_more_queries_than_are_broadcast(spark, tmp_path, monkeypatch):
+    """Blocks of queries find what all at once find; cells come from sums by cell, without what grows with their square."""
+    e = table(spark, "/root/testdata/sf0.01", "embeddings").orderBy("vec_id").limit(200)
+    path = f"file://{tmp_path}/blocks"
+    index.write_index(e, path, 4)
+    queries = e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    rows = lambda: {(r["query_id"], r["vec_id"], r["rank"]) for r in index.search(spark, path, queries, 3, 2).collect()}
+    whole = rows()
+    monkeypatch.setattr(index, "MOST_QUERIES", 9)
+    assert rows() == whole and len(whole) == 3 * queries.count()
+    sums = index._cell_sums(e, np.eye(3, 64))
+    assert sums.shape == (3, 65) and sums[:, -1].sum() == 200
