@@ -6,6 +6,8 @@ bytes.lower() changes A-Z alone, so both are exact and fast on the UTF-8 bytes o
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +21,17 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 4 << 20
 
 
+def give_back() -> None:
+    """Returns to the system what this process has let go; a Python worker that is used again would keep what the task
+    before took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # of glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with at most `most` bytes of text each, and their texts as UTF-8; null counts as empty."""
+    give_back()
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)

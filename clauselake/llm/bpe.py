@@ -170,6 +170,11 @@ class ByteBpe:
         ids = said.split(",") if said else []
         return len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(b"".join(map(self.named.__getitem__, ids))).hexdigest(), ids
 
+    def told(self, texts: list[bytes], ids: bool) -> list[tuple]:
+        """digests() of UTF-8 texts; without ids, which take many times a text's memory, each text's are let go at once."""
+        most = 4 if ids else 3
+        return [self.digests(t.decode("utf-8", "replace"))[:most] for t in texts]
+
 
 _LOADED: dict[tuple[str, str], ByteBpe] = {}
 
@@ -210,7 +215,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(ranks.value, name, pattern)
         for batch, texts in blocks(batches, "text"):
-            rows = [bpe.digests(t.decode("utf-8", "replace")) for t in texts]
+            rows = bpe.told(texts, ids)
             out = [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:

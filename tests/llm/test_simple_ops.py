@@ -217,3 +217,18 @@ def test_bpe_long_pre_token():
     tok = bpe.tokenizer(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     text = "abcab" * 30000
     assert tok.decode(tok.encode(text)).decode() == text
+
+
+def test_ids_of_texts_are_let_go():
+    import tracemalloc
+
+    bpe_ = bpe.ByteBpe({bytes([b]): b for b in range(256)}, r"\S+|\s+")
+    texts = [bytes(97 + (i * k) % 26 for k in range(20_000)) for i in range(1, 41)]
+    tracemalloc.start()
+    try:
+        rows = bpe_.told(texts, ids=False)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == [bpe_.digests(t.decode())[:3] for t in texts] and [r[3] for r in bpe_.told(texts, ids=True)] == [bpe_.digests(t.decode())[3] for t in texts]
+    assert peak < 12e6  # the ids of all texts, as they were held, take some 50 MB
