@@ -160,13 +160,20 @@ def _length(token: str) -> str:
 class Restorer:
     """Restored words of texts; remembers a bounded number of tokens of bounded length."""
 
-    def __init__(self, model: CharModel, most: int = 200_000):
+    def __init__(self, model: CharModel, most: int = 350_000):
         self.model = model
-        self.known, self.runs = Remembered(lambda token: (_length(token), self.word(token)), most), Remembered(self.spaced, most)
+        self.known, self.runs = Remembered(self.token, most), Remembered(self.spaced, most)
 
     def __reduce__(self):
         return Restorer, (self.model, self.known.most)
 
+    def token(self, token: str) -> tuple[str, tuple[str, ...]]:
+        """_length() and word() of a token; at once for plain words, which most are."""
+        bare = token.strip(_EDGE)
+        if len(bare) > PIECE and bare.isalpha() and not _TWICE.search(bare):
+            return "0", (bare,)
+        return _length(token), self.word(token)
+
     def word(self, token: str) -> tuple[str, ...]:
         """A token without what surrounds it, decoded if it may be a disguise; nothing if no word is in it. A plain word
         with a letter twice may be one or not, and gives both, as does a token that ends in signs like letters."""
@@ -203,12 +210,14 @@ class Restorer:
     def words(self, text: str) -> set[str]:
         """The distinct restored words of a text; pieces of words standing apart give the words that they spell as well."""
         tokens = _SPLIT.findall(text.lower())
-        distinct = set(tokens)
-        known = dict(zip(distinct, map(self.known.__getitem__, distinct), strict=True))
-        out = set().union(*[words for _, words in known.values()])
-        if not any(length == "1" for length, _ in known.values()):
+        if not tokens:
+            return set()
+        distinct = list(set(tokens))
+        of_each, words = zip(*map(self.known.__getitem__, distinct), strict=True)
+        out = set().union(*words)
+        if "1" not in of_each:
             return out
-        lengths = "".join([known[t][0] for t in tokens])
+        lengths = "".join(map(dict(zip(distinct, of_each, strict=True)).__getitem__, tokens))
         for m in _PIECES.finditer(lengths):
             if "1" not in m[0]:
                 continue
@@ -226,17 +235,35 @@ def parts(word: str) -> list[str]:
     return [*("^" + word[:k] for k in range(3, min(8, len(word) + 1))), word + "$"]
 
 
+def part_cells(word: str) -> np.ndarray:
+    """The cells of a word's parts()."""
+    if not word.isascii():
+        return np.array([cell("e", p, EVIDENCE_BITS) for p in parts(word)], np.int32)
+    stem, shift, at = b"e^" + word.encode(), 64 - EVIDENCE_BITS, xxhash.xxh3_64_intdigest  # without a string for each part
+    return np.array([*(at(stem[:k]) >> shift for k in range(5, min(10, len(stem) + 1))), at(b"e" + stem[2:] + b"$") >> shift], np.int32)
+
+
+class Counted:
+    """Restored words of texts and their cells; what is remembered lasts from task to task where a worker does."""
+
+    def __init__(self, chars: CharModel, most: int = 200_000, tokens: int = 350_000):
+        self.restorer, self.cells = Restorer(chars, tokens), Remembered(part_cells, most)
+
+    def __reduce__(self):
+        return Counted, (self.restorer.model, self.cells.most, self.restorer.known.most)
+
+
 class Model:
     """Evidence by the cell of a stem or word, and the logistic model over a document's evidence."""
 
-    def __init__(self, chars: CharModel, evidence: dict[int, float], theta: np.ndarray, most: int = 200_000):
+    def __init__(self, chars: CharModel, evidence: dict[int, float], theta: np.ndarray, most: int = 350_000):
         self.evidence, self.theta = evidence, theta
         self.restorer, self.known, self.stems = Restorer(chars, most), Remembered(self.of_word, most), Remembered(self.of_stem, most)
 
     def of_word(self, word: str) -> float:
         found = self.evidence.get
         if not word.isascii():
-            return max(0.0, *(found(cell("e", p, EVIDENCE_BITS), 0.0) for p in parts(word)))
+            return max(self.stems[word[:5]], *(found(cell("e", p, EVIDENCE_BITS), 0.0) for p in (word + "$", *("^" + word[:k] for k in range(6, min(8, len(word) + 1))))))
         stem, shift = b"e^" + word.encode(), 64 - EVIDENCE_BITS  # the same cells, without a string for each part
         stems = [found(xxhash.xxh3_64_intdigest(stem[:k]) >> shift, 0.0) for k in range(8, min(10, len(stem) + 1))]
         return max(self.stems[word[:5]], found(xxhash.xxh3_64_intdigest(b"e" + stem[2:] + b"$") >> shift, 0.0), *stems)
@@ -291,16 +318,23 @@ def fit(rows: DataFrame, again: DataFrame | None) -> Model | None:
     learned = learned if again is None else learned.union(again.select("y", "text"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, cells = np.zeros((1 << GRAM_BITS) + 1, np.int64), Remembered(gram_cells, 200_000)
+        table, cells, around = np.zeros((1 << GRAM_BITS) + 1, np.int64), Remembered(gram_cells, 200_000), _EDGE + "!$"
         for _, texts in blocks(batches, "text"):
             seen: Counter = Counter()
-            tokens = Counter(x for t in texts for x in _SPLIT.findall(t.decode("utf-8", "replace").lower()))
+            tokens: Counter = Counter()
+            for t in texts:
+                tokens.update(_SPLIT.findall(t.decode("utf-8", "replace").lower()))
+            once = []  # most tokens of a block
             for token, n in tokens.items():
-                w = token.strip(_EDGE + "!$")
-                if _PLAIN.match(w):
+                w = token.strip(around)
+                if w.isalpha() or _PLAIN.match(w):
                     w = f"  {w} "
+                    if n == 1:
+                        once.append(w)
+                        continue
                     for i in range(len(w) - 2):
                         seen[w[i : i + 3]] += n
+            seen.update([w[i : i + 3] for w in once for i in range(len(w) - 2)])
             for g, n in seen.items():
                 for k in cells[g]:
                     table[k] += n
@@ -310,17 +344,16 @@ def fit(rows: DataFrame, again: DataFrame | None) -> Model | None:
     found = learned.mapInArrow(grams, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()  # a row for a cell
     counts = dict(zip(found.column("g").to_pylist(), found.column("n").to_pylist(), strict=True))
     chars = CharModel(counts, counts.pop(1 << GRAM_BITS, 0))
-    shared = spark.sparkContext.broadcast(chars)
+    shared = spark.sparkContext.broadcast(Counted(chars))
 
     def document_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, size = Restorer(shared.value), 1 << EVIDENCE_BITS
-        of_word = Remembered(lambda w: np.array([cell("e", p, EVIDENCE_BITS) for p in parts(w)], np.int32), 100_000)
+        restorer, of_word, size = shared.value.restorer, shared.value.cells, 1 << EVIDENCE_BITS
         tables = {"b": np.zeros(size + 1, np.int32), "a": np.zeros(size + 1, np.int32)}  # the last cell counts words
         for batch, texts in blocks(batches, "text"):
             for y, t in zip(batch.column(0).to_pylist(), texts, strict=True):
                 table, words = tables["a" if y else "b"], restorer.words(t.decode("utf-8", "replace"))
                 if words:
-                    at, n = np.unique(np.concatenate([of_word[w] for w in words]), return_counts=True)
+                    at, n = np.unique(np.concatenate(list(map(of_word.__getitem__, words))), return_counts=True)
                     table[at] += np.minimum(n, 3).astype(np.int32)
                     table[-1] += len(words)
         yield from _tabled("p", tables)

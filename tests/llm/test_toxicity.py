@@ -1,5 +1,6 @@
 import itertools
 import math
+import pickle
 import random
 from collections import Counter
 
@@ -127,3 +128,14 @@ def test_all_labelled_rows_are_learned_from(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     found = toxicity.classify(d, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
     assert len(found) == 3502 and all((r["score"] >= 0.5) == (r["doc_id"] % 40 == 0) for r in found)
+
+
+def test_counted_cells_are_those_of_parts():
+    counted = toxicity.Counted(model_of("all as it is"))
+    for w in ("a", "ab", "abc", "abcdefghij", "ß", "éa", "élan", "élanvital", "ab-c"):
+        assert counted.cells[w].tolist() == [toxicity.cell("e", p, toxicity.EVIDENCE_BITS) for p in toxicity.parts(w)]
+    evidence = {int(c): 1.0 + i for i, c in enumerate(counted.cells["élanvital"])}
+    model = toxicity.Model(counted.restorer.model, evidence, None)
+    assert model.known["élanvital"] == max(evidence.values()) and model.known["élan"] == max(evidence[c] for c in counted.cells["élan"].tolist() if c in evidence)
+    again = pickle.loads(pickle.dumps(counted))
+    assert again.cells.most == counted.cells.most and again.restorer.known.most == counted.restorer.known.most and not again.cells
