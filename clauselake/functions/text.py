@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from clauselake.functions.packs import BUDGETS, INJECTIONS, LEXICON, TOKENS_PER_WORD
 
+_SPACES = r"\t[ \t]*| [ \t]+"  # a single space stays as it is
 _STRIP = r"(?U)^\s+|\s+$"
-_ABBREVIATIONS = r"(?U)\b(Mr|Mrs|Ms|Dr|Prof|Sr|Jr|vs|etc|i\.e|e\.g|Inc|Ltd|Corp|Co|No|Sec|Art)\."
+# a look at the first letter spares most places the search for a word's edge
+_ABBREVIATIONS = r"(?U)(?=[MDPSJveiICNA])\b(Mr|Mrs|Ms|Dr|Prof|Sr|Jr|vs|etc|i\.e|e\.g|Inc|Ltd|Corp|Co|No|Sec|Art)\."
 
 
 def strip(text: Column) -> Column:
@@ -28,14 +30,14 @@ def word_count(text: Column) -> Column:
 def clean_text(text: Column) -> Column:
     """Line ends to LF, runs of spaces and tabs to a space, three and more LF to two, stripped."""
     t = F.regexp_replace(text, r"\r\n|\r", "\n")
-    t = F.regexp_replace(t, r"[ \t]+", " ")
+    t = F.regexp_replace(t, _SPACES, " ")
     return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
 def sentences(text: Column) -> Column:
     """Cut after . ! ? before a capital, digit or quote, but not after common abbreviations; empty ones dropped."""
     held = F.regexp_replace(text, _ABBREVIATIONS, "$1\u0001")
-    cut = F.split(held, r'(?U)(?<=[.!?])\s+(?=[A-Z0-9"])')
+    cut = F.split(held, r'(?U)\s(?<=[.!?]\s)\s*(?=[A-Z0-9"])')
     return F.filter(F.transform(cut, lambda s: strip(F.replace(s, F.lit("\u0001"), F.lit(".")))), lambda s: s != "")
 
 

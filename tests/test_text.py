@@ -172,3 +172,23 @@ def test_top_keywords_of_ids_that_repeat_and_without_words_in_shuffles(spark):
     assert got == [(0, 1, "cat", 3), (0, 2, "owl", 2), (1, 1, "tree", 2), (1, 2, "stone", 1), (3, 1, "tree", 2), (3, 2, "stone", 1)]
     plan = learn.top_keywords(spark.createDataFrame(rows[:3], "doc_id long, text string"), ("the",), 2)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_cleaning_and_cuts_at_odd_white_space(spark):
+    """A single space is no match of the cleaning pattern; runs, and cuts behind an end, are those of the plain patterns."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from clauselake.functions import text
+
+    draw = random.Random(3)
+    texts = ["".join(draw.choice([" ", " ", "\t", "\n", "\r", ".", "!", "A", "b", "Mr", "xMr", "No", "i.e", "\u00a0", "9", '"']) for _ in range(40)) for _ in range(300)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.clean_text(F.col("t")).alias("c"), text.sentences(F.col("t")).alias("s")).collect()
+    short = r"\b(Mr|Mrs|Ms|Dr|Prof|Sr|Jr|vs|etc|i\.e|e\.g|Inc|Ltd|Corp|Co|No|Sec|Art)\."
+    for r in got:
+        clean = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", re.sub(r"\r\n|\r", "\n", r["t"]))).strip()
+        cut = [x.replace("\x01", ".").strip() for x in re.split(r'(?<=[.!?])\s+(?=[A-Z0-9"])', re.sub(short, "\\1\x01", r["t"]))]
+        assert r["c"] == clean and r["s"] == [x for x in cut if x], r["t"]
+    assert not re.search(text._SPACES, "a b c") and re.search(text._SPACES, "a  b") and re.search(text._SPACES, "a\tb")
