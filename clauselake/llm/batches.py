@@ -66,6 +66,12 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def hashed(words: list[bytes]) -> np.ndarray:
+    """The hashes of WordHashes, worked out anew for each word. That takes less time where words are of very many kinds,
+    since a look-up has to hash the word, too, and to find it in memory."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers (the finaliser of splitmix64)."""
     x = x ^ (x >> np.uint64(30))

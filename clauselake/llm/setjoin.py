@@ -6,6 +6,10 @@ different sizes that share less do not. A heavy set posts its rarest elements, a
 elements. What is rarest is told by a table of counts over the whole corpus, of fixed size, in which elements share
 cells: any order will do, as long as all sets keep to it. Sets a little below the boundary do both.
 
+What two sets share is no more than what is behind the first element that they have in common, so each place among a set's
+rarest elements has a largest partner, and a list is cut by bands of sizes: sets that only share a rare element by
+chance, and are not of about the same size, do not meet.
+
 The boundary between light and heavy is the size with the least cost in all: subsets enumerated below it, and
 entries of lists scanned above it, as they were counted for these very sets.
 
@@ -18,6 +22,7 @@ a thirtieth to a sixtieth of a set, which tell how many elements two sets have a
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from itertools import combinations
@@ -26,11 +31,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.llm.batches import WordHashes, blocks, mix, windows
-from clauselake.llm.minhash import Forest, _checked, _dealt, _groups, _met, _mixed, _rooted, _sets, components, set_hash, shingles, text_hash
+from clauselake.llm.batches import blocks, hashed, mix, windows
+from clauselake.llm.minhash import Forest, _checked, _dealt, _groups, _met, _mixed, _rooted, _sets, components, set_hash, text_hash
 from clauselake.session import discard, materialize, ship, sized, written
 
 #: log2 of the cells of the table that elements are ordered by, and of the pieces that it is added up in.
@@ -103,8 +108,7 @@ def _levels(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
     bits, size, pieces = CELL_BITS, 1 << (CELL_BITS - PIECE_BITS), 1 << PIECE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hashes = np.zeros(1 << bits, np.int64), WordHashes()
-        held, most = [], 0
+        table, held, most = np.zeros(1 << bits, np.int64), [], 0
 
         def added() -> None:
             nonlocal table
@@ -114,7 +118,7 @@ def _levels(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
 
         for _, texts in blocks(batches, "text"):
             for t in texts:
-                w = windows(hashes.of(t.lower().split()), shingle)
+                w = windows(hashed(t.lower().split()), shingle)
                 held.append(w)
                 most += len(w)
             if most >= 4 << bits:
@@ -144,6 +148,13 @@ def _levels(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
     return np.minimum(8 * np.log2(out + 1), 255).astype(np.uint8)
 
 
+def _set(text: bytes, shingle: int) -> np.ndarray:
+    """What minhash.shingles() gives."""
+    h = hashed(text.lower().split())
+    s = np.sort(windows(h, min(shingle, len(h))))
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
+
+
 def _rarest(s: np.ndarray, levels: np.ndarray, count: int) -> np.ndarray:
     """The first `count` elements of a sorted set in the order of the corpus: by level, then by hash."""
     level = levels[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
@@ -156,11 +167,11 @@ def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int, percen
     levels, light = docs.sparkSession.sparkContext.broadcast(_levels(docs, text_col, shingle)), MOST_LIGHT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = WordHashes(), levels.value
+        held = levels.value
         for batch, texts in blocks(batches, "text"):
             n, hi, lo, posts, few, maps = [], [], [], [], [], []
             for t in texts:
-                s = shingles(t, hashes, shingle)
+                s = _set(t, shingle)
                 n.append(len(s))
                 h = set_hash(s) if len(s) else (None, None)
                 hi.append(h[0])
@@ -174,30 +185,67 @@ def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int, percen
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, th long, n long, hi long, lo long, posts array<long>, few array<long>, map binary")
 
 
+def reach(n: int, place: int, percent: int) -> int:
+    """The largest set that one of n elements has to meet at the one of its elements that is at `place`, from 0, in the
+    order of the corpus. If that is the first element that two sets share, they share no more than what is behind it, in
+    either, so that t(n, m) <= n - place. _met_at() applies it."""
+    return (100 + percent) * (n - place) // percent - n
+
+
+def _met_at(posts: DataFrame, percent: int) -> DataFrame:
+    """cid, size, bucket from rows cid, n, place, element. `size` holds n and reach() in one number. A bucket is of an element
+    and a band of sizes, in which a set is by its own size and by those of larger sets up to its reach: two sets that may
+    be linked meet in the band of the larger one."""
+    h = F.expr(f"{100 + percent} * (n - place) div {percent} - n")
+    width = math.log(100 / percent) or 1.0  # from a set to the largest one that may be linked with it
+    band = lambda c: F.floor(F.log(c) / width)
+    met = posts.withColumn("h", h).where(100 * F.col("h") >= percent * F.col("n"))
+    met = met.withColumn("band", F.explode(F.sequence(band("n"), F.greatest(band("n"), band("h")))))
+    return met.select("cid", _size(F.col("n"), F.col("h")), F.xxhash64("element", "band").alias("bucket"))
+
+
+def _size(n: Column, h: Column) -> Column:
+    return (F.shiftleft(n, 32) + h).alias("size")
+
+
+def _n(size: str) -> Column:
+    return F.shiftright(size, 32)
+
+
+def _h(size: str) -> Column:
+    return F.col(size).bitwiseAND(0xFFFFFFFF)
+
+
 def _enumerated(classes: DataFrame, most: int, percent: int) -> DataFrame:
-    """cid and bucket for each subset of the light sets."""
+    """cid, size, bucket for each subset of the light sets, which may meet any partner there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
-            for cid, few in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for cid, size, few in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 keys = np.unique(subsets(few.values.to_numpy().view(np.uint64), most, percent, known))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), cid), pa.int64()), pa.array(keys.view(np.int64))], ["cid", "bucket"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(keys), x), pa.int64()) for x in (cid, size)), pa.array(keys.view(np.int64))], ["cid", "size", "bucket"])
 
-    return classes.where((F.col("n") <= most) & F.col("few").isNotNull()).select("cid", "few").mapInArrow(run, "cid long, bucket long")
+    light = classes.where((F.col("n") <= most) & F.col("few").isNotNull())
+    return light.select("cid", _size(F.col("n"), F.expr(f"100 * n div {percent}")), "few").mapInArrow(run, "cid long, size long, bucket long")
 
 
 def _lists(slots: DataFrame) -> DataFrame:
-    """bucket, m, a: the lists that more than one set is in, with their length and least set."""
-    return slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("a")).where("m > 1")
+    """bucket, m, a, least: the lists that more than one set is in, with their length, least id and least size. Of the lists
+    of two, those whose sets are within reach of each other."""
+    lists = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("a"), F.min("size").alias("x"), F.max("size").alias("y"))
+    apart = (_n("y") > _h("x")) | (_n("x") > _h("y"))
+    return lists.where((F.col("m") > 2) | ((F.col("m") == 2) & ~apart)).select("bucket", "m", "a", _n("x").alias("least"))
 
 
 def _slots(classes: DataFrame, percent: int) -> DataFrame:
-    """cid and bucket: what sets meet in. The boundary comes from counts of at most MOST_LIGHT sizes."""
-    posts = classes.select("cid", "n", F.explode("posts").alias("bucket"))
-    small = posts.where(F.col("n") <= MOST_LIGHT).join(_lists(posts).select("bucket", "m"), "bucket", "left")
+    """cid, size, bucket: what sets meet in. The boundary comes from counts of at most MOST_LIGHT sizes, for which only sets
+    that may meet these are looked at."""
+    posts = classes.select("cid", "n", F.posexplode("posts").alias("place", "element"))
+    small = _met_at(posts.where(F.col("n") <= partners(MOST_LIGHT, percent)[-1]), percent)
+    small = small.join(_lists(small).select("bucket", "m"), "bucket", "left").withColumn("n", _n("size")).where(F.col("n") <= MOST_LIGHT)
     by_size = small.groupBy("n").agg(F.count_distinct("cid").alias("sets"), F.sum(F.coalesce("m", F.lit(1))).alias("entries")).collect()
     most = boundary({r["n"]: (r["sets"], r["entries"]) for r in by_size}, percent)
-    heavy = posts.where(F.col("n") >= partners(most + 1, percent)[0]).select("cid", "bucket")
+    heavy = _met_at(posts.where(F.col("n") >= partners(most + 1, percent)[0]), percent)
     return heavy.union(_enumerated(classes, most, percent)) if most else heavy
 
 
@@ -205,7 +253,9 @@ def _linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shi
     """node, root of the classes that links tie to a smaller one."""
     slots, at = written(_slots(classes, percent), "join-slots")
     lists, lists_at = written(_lists(slots), "join-lists")
-    members, members_at = written(slots.join(lists, "bucket"), "join-members")
+    # a set that has to meet smaller ones alone meets none where there are none
+    met = slots.join(lists, "bucket").where(_h("size") >= F.col("least")).select("bucket", "cid", "m", "a")
+    members, members_at = written(met, "join-members")
     discard(docs.sparkSession, at, lists_at)
     leaders = members.groupBy("cid").agg(F.min("a").alias("a")).where("a <> cid").select("a", F.col("cid").alias("b"))
     edges = materialize(_likely(leaders, classes, percent), "join-edges")

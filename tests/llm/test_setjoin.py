@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 
 from clauselake.llm import setjoin
+from clauselake.llm.batches import WordHashes, hashed
+from clauselake.llm.minhash import shingles
 from tests.llm.conftest import SCHEMA, rows
 from tests.llm.test_minhash import brute
 
@@ -117,6 +119,60 @@ def test_linked_sets_have_posted_enough():
     assert ruled_out > 100
 
 
+def test_linked_sets_are_within_reach_of_their_first_common_element():
+    r, ruled_out = np.random.default_rng(7), 0
+    for _ in range(3000):
+        n, percent = int(r.integers(1, 120)), int(r.choice([80, 90]))
+        pool = np.unique(r.integers(0, 2**63, 2 * n + 8)).astype(np.uint64)
+        r.shuffle(pool)
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[: n - int(r.integers(0, n // 8 + 1))], pool[n : n + int(r.integers(0, n // 16 + 2))]]))
+        common = np.intersect1d(a, b)
+        if not len(common):
+            continue
+        i, j = (int(np.searchsorted(x, common[0])) for x in (a, b))
+        may = len(b) <= setjoin.reach(n, i, percent) and n <= setjoin.reach(len(b), j, percent)
+        assert may or 100 * len(common) < percent * (len(a) + len(b) - len(common))
+        ruled_out += not may
+    assert ruled_out > 100
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90, 100])
+def test_sets_meet_in_lists_if_they_are_within_reach(spark, percent):
+    """All pairs of sizes and places, against the rule for numbers."""
+    entries = [(k, n, place, 5) for k, (n, place) in enumerate((n, place) for n in (1, 2, 9, 10, 11, 40, 44, 45, 1000, 1111, 1112) for place in range(0, min(n, 120), 1 + n // 12))]
+    met = setjoin._met_at(spark.createDataFrame(entries, "cid long, n long, place int, element long"), percent).collect()
+    at, size = {}, {}
+    for r in met:
+        at.setdefault(r["cid"], set()).add(r["bucket"])
+        size[r["cid"]] = (r["size"] >> 32, r["size"] & 0xFFFFFFFF)
+    for k, n, place, _ in entries:
+        assert k not in size or size[k] == (n, setjoin.reach(n, place, percent))
+    for (k, n, i, _), (o, m, j, _) in combinations(entries, 2):
+        if m <= setjoin.reach(n, i, percent) and n <= setjoin.reach(m, j, percent):
+            assert at[k] & at[o]
+
+
+def test_sets_of_other_sizes_share_no_list(spark, monkeypatch):
+    """Texts that share their rarest element with one that is a quarter longer are not dealt out to be compared."""
+    r, members, mixed = random.Random(4), [], setjoin._mixed
+    monkeypatch.setattr(setjoin, "_mixed", lambda m, comp: members.append(m.count()) or mixed(m, comp))
+    texts = []
+    for k in range(12):
+        body = " ".join(f"w{r.randrange(10**6)}" for _ in range(int(60 * 1.25**k)))
+        texts.append((k, " ".join([body] * 3 + [f"rare{k} p{k} q{k} rare{k + 1} p{k + 1} q{k + 1}"])))
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], SCHEMA).repartition(3)
+    got = {(x["doc_id"], x["n_shingles"], x["component_id"]) for x in setjoin.query(df).collect()}
+    assert got == brute(texts, 3, 90)
+    assert members == [0]
+
+
+def test_hashes_and_sets_are_those_of_the_other_operator():
+    words = b"One  two\tone \xc3\xa9 two one two ".split()
+    assert hashed(words).tolist() == WordHashes().of(words).tolist()
+    for text in (b"", b" ", b"One", b"one TWO", b"a b c d a b c", b"a b c d e a b c d e"):
+        assert setjoin._set(text, 3).tolist() == shingles(text, WordHashes(), 3).tolist()
+
+
 def test_bounds():
     for p in (80, 90):
         for n in range(1, 60):
